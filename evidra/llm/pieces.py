@@ -18,6 +18,8 @@ from __future__ import annotations
 
 import hashlib
 import re
+from collections import defaultdict
+from collections.abc import Callable, Iterable
 from itertools import chain
 
 import ahocorasick
@@ -37,10 +39,21 @@ def default_model() -> str:
     return public_tokenizers.path(MODEL)
 
 
+def _cutter(pieces: Iterable[str]) -> Callable[[str], list[str]]:
+    """A function that cuts normalised text where no piece of the model reaches over: always before a run of spaces,
+    and, where the pieces allow it, between Latin letters and other characters and at line ends."""
+    latin = "A-Za-z\u00c0-\u024f"
+    if any(re.search(f"[^{SPACE}]{SPACE}", p) for p in pieces):
+        raise ValueError("a piece reaches over a space: this model can't be cut into words")
+    if any("\n" in p or re.search(f"[{latin}][^{latin}]|[^{latin}{SPACE}][{latin}]", p) for p in pieces):
+        return re.compile(f"{SPACE}+[^{SPACE}]*|[^{SPACE}]+").findall
+    return re.compile(f"\n+|{SPACE}*[{latin}]+|{SPACE}*[^{latin}{SPACE}\n]+|{SPACE}+").findall
+
+
 class PieceCodec:
     """Encoder and decoder of one merge-type model."""
 
-    def __init__(self, model: bytes, kept: int = 100_000):
+    def __init__(self, model: bytes, kept: int = 160_000):
         sp = sentencepiece.SentencePieceProcessor(model_proto=model)
         self.score, self.ids, self.raw = {}, {}, []
         self.byte_ids = [sp.piece_to_id(f"<0x{b:02X}>") for b in range(256)]
@@ -58,15 +71,15 @@ class PieceCodec:
                 self.raw.append(piece.replace(SPACE, " ").encode())
                 if not sp.is_unused(i):
                     self.score[piece], self.ids[piece] = sp.get_score(i), i
-                    self.automaton.add_word(piece, len(piece))
+        for piece in self.score:
+            if len(piece) > 1 and self.alone(piece):
+                self.automaton.add_word(piece, len(piece))
         self.automaton.make_automaton()
-        joins = "\n" if not any("\n" in p for p in self.score) else ""
-        if any(re.search(f"[^{SPACE}]{SPACE}", p) for p in self.score):
-            raise ValueError("a piece reaches over a space: this model can't be cut into words")
-        self.cut = re.compile(f"{joins}+|{SPACE}+[^{SPACE}{joins}]*|[^{SPACE}{joins}]+" if joins else f"{SPACE}+[^{SPACE}]*|[^{SPACE}]+").findall
+        self.cut = _cutter(self.score)
         self.kept, self.young, self.old = kept, {}, {}
-        self.pairs: dict[str, bool] = {}
-        self.whole: dict[str, bool] = {}
+        self.pairs: dict[str, dict[str, bool]] = defaultdict(dict)
+        self.n_pairs = 0
+        self.printed = {piece: str(i) for piece, i in self.ids.items()}
 
     def merged(self, text: str) -> list[str]:
         """Merge encoding of a short text by its definition: best score first, leftmost among equals."""
@@ -84,75 +97,84 @@ class PieceCodec:
 
     def fits(self, left: str, right: str) -> bool:
         """Whether the two tokens stay two when merged again."""
-        key = f"{left}\0{right}"
-        known = self.pairs.get(key)
+        known = self.pairs[left].get(right)
         if known is None:
-            if len(self.pairs) >= 4 * self.kept:
+            if self.n_pairs >= 4 * self.kept:
                 self.pairs.clear()
-            known = self.pairs[key] = self.merged(left + right) == [left, right]
+                self.n_pairs = 0
+            self.n_pairs += 1
+            known = self.pairs[left][right] = self.merged(left + right) == [left, right]
         return known
 
     def alone(self, piece: str) -> bool:
         """Whether a piece encodes to itself; others can't occur in an encoding."""
-        known = self.whole.get(piece)
-        if known is None:
-            known = self.whole[piece] = len(self.merged(piece)) == 1
-        return known
+        return len(self.merged(piece)) == 1
 
     def tokens(self, text: str) -> list[str]:
         """Tokens of a stretch of normalised text, by backtracking."""
         n = len(text)
         starts: list[list[int]] = [[1] for _ in range(n)]  # any single character may stand alone
-        for end, length in self.automaton.iter(text):
-            if length > 1:
-                starts[end - length + 1].append(length)
-        for s in starts:
-            s.sort()
-        failed, stack, at = bytearray((n >> 3) + 1), [], 0
+        for end, length in self.automaton.iter(text):  # by end, so each start gets its lengths in rising order
+            starts[end - length + 1].append(length)
+        pairs, failed, stack, at, last = self.pairs, bytearray((n >> 3) + 1), [], 0, ""
         while at < n:
-            lengths, placed = starts[at], False
+            lengths = starts[at]
             while lengths:
                 end = at + lengths.pop()
                 if failed[end >> 3] >> (end & 7) & 1:
                     continue
                 token = text[at:end]
-                if (len(token) == 1 or self.alone(token)) and (not stack or self.fits(stack[-1], token)):
-                    stack.append(token)
-                    at, placed = end, True
-                    break
-            if not placed:
+                if last:
+                    fits = pairs[last].get(token)
+                    if fits is None:
+                        fits = self.fits(last, token)
+                    if not fits:
+                        continue
+                stack.append(token)
+                at, last = end, token
+                break
+            else:
                 failed[at >> 3] |= 1 << (at & 7)
                 at -= len(stack.pop())
+                last = stack[-1] if stack else ""
         return stack
 
-    def _stretch(self, stretch: str) -> tuple[int, str, tuple[int, ...]]:
+    def _stretch(self, stretch: str) -> tuple[str, tuple[int, ...]]:
         entry = self.old.get(stretch)
         if entry is None:
-            ids: list[int] = []
-            for token in self.tokens(stretch):
-                known = self.ids.get(token)
-                ids += [known] if known is not None else [self.byte_ids[b] for b in token.encode()]
-            entry = (len(ids), ",".join(map(str, ids)), tuple(ids))
+            tokens = self.tokens(stretch)
+            try:
+                entry = (",".join([self.printed[t] for t in tokens]), tuple([self.ids[t] for t in tokens]))
+            except KeyError:  # a character outside the model
+                ids = tuple(i for t in tokens for i in ([self.ids[t]] if t in self.ids else [self.byte_ids[b] for b in t.encode()]))
+                entry = (",".join(map(str, ids)), ids)
         if len(stretch) <= 64:
             if len(self.young) >= self.kept:
                 self.old, self.young = self.young, {}
             self.young[stretch] = entry
         return entry
 
-    def _entries(self, text: str | None) -> list[tuple[int, str, tuple[int, ...]]]:
+    def _entries(self, text: str | None) -> list[tuple[str, tuple[int, ...]]]:
         if not text:
             return []
         known, miss = self.young.get, self._stretch
-        return [known(s) or miss(s) for s in self.cut(SPACE + text.replace(" ", SPACE))]
+        found = []
+        for s in self.cut(SPACE + text.replace(" ", SPACE)):
+            entry = known(s)
+            if entry is None:
+                entry = miss(s)
+                known = self.young.get
+            found.append(entry)
+        return found
 
     def encode(self, text: str | None) -> list[int]:
         """Ids of a whole text."""
-        return list(chain.from_iterable([e[2] for e in self._entries(text)]))
+        return list(chain.from_iterable([e[1] for e in self._entries(text)]))
 
     def encode_printed(self, text: str | None) -> tuple[list[int], str]:
         """Ids of a whole text, also as decimals joined by commas."""
         entries = self._entries(text)
-        return list(chain.from_iterable([e[2] for e in entries])), ",".join([e[1] for e in entries])
+        return list(chain.from_iterable([e[1] for e in entries])), ",".join([e[0] for e in entries])
 
     def decode(self, ids: list[int]) -> str:
         """The text of ids: pieces and bytes joined, the space added in front removed."""

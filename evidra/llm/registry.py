@@ -8,12 +8,18 @@ from pyspark.sql import DataFrame, SparkSession
 
 from evidra.llm.line_dedup import OP4_SQL, op4_line_dedup
 from evidra.llm.mixing import OP2_SQL, op2_mixing
+from evidra.llm.pieces import op6_pieces
 from evidra.llm.warc import OP10_SQL, op10_warc
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     """One query per operator."""
-    return {"op2_mixing": op2_mixing, "op4_line_dedup": op4_line_dedup, "op10_warc": op10_warc}
+    return {
+        "op2_mixing": op2_mixing,
+        "op4_line_dedup": op4_line_dedup,
+        "op6_pieces": op6_pieces,
+        "op10_warc": op10_warc,
+    }
 
 
 def oracle_sql() -> dict[str, str]:
