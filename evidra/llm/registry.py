@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from evidra.llm.line_dedup import OP4_SQL, op4_line_dedup
 from evidra.llm.mixing import OP2_SQL, op2_mixing
 from evidra.llm.pieces import op6_pieces
+from evidra.llm.quality import op5_quality
 from evidra.llm.warc import OP10_SQL, op10_warc
 
 
@@ -17,6 +18,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op2_mixing": op2_mixing,
         "op4_line_dedup": op4_line_dedup,
+        "op5_quality": op5_quality,
         "op6_pieces": op6_pieces,
         "op10_warc": op10_warc,
     }
