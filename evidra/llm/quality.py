@@ -110,7 +110,7 @@ def featured_lines(text: str | None) -> tuple[list[list[int]], list[int]]:
     return [line_features(x, seen, i, i == len(lines) - 1) for i, x in enumerate(lines)], [len(x) for x in lines]
 
 
-def fit_crf(samples: list[tuple[str, int]], steps: int = 80) -> tuple[np.ndarray, np.ndarray]:
+def fit_crf(samples: list[tuple[str, int]], steps: int = 200) -> tuple[np.ndarray, np.ndarray]:
     """Emission weights (features x 2) and transition weights (2 x 2; 1 is content) by Adam on the log likelihood."""
     emit, move = np.zeros((N_FEATURES, 2)), np.zeros((2, 2))
     chunks = [(f[i : i + CHUNK], y) for text, y in samples for f in [featured_lines(text)[0]] for i in range(0, len(f), CHUNK)]
