@@ -65,7 +65,7 @@ def crc_mod(key: Column, n: int) -> Column:
     return (F.crc32(F.coalesce(key.cast("string"), F.lit("")).cast("binary")) % n).cast("int")
 
 
-_ARROW = {"long": pa.int64(), "int": pa.int32(), "double": pa.float64(), "string": pa.string(), "boolean": pa.bool_(), "binary": pa.binary()}
+_ARROW = {"long": pa.int64(), "int": pa.int32(), "double": pa.float64(), "string": pa.string(), "boolean": pa.bool_(), "binary": pa.binary(), "array<long>": pa.list_(pa.int64())}
 
 
 def map_rows(df: DataFrame, schema: str, factory: Callable[[], Callable[..., Iterable[tuple]]]) -> DataFrame:

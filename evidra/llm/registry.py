@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from evidra.llm.line_dedup import OP4_SQL, op4_line_dedup
+from evidra.llm.minhash import op1_minhash
 from evidra.llm.mixing import OP2_SQL, op2_mixing
 from evidra.llm.pieces import op6_pieces
 from evidra.llm.quality import op5_quality
@@ -16,6 +17,7 @@ from evidra.llm.warc import OP10_SQL, op10_warc
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     """One query per operator."""
     return {
+        "op1_minhash": op1_minhash,
         "op2_mixing": op2_mixing,
         "op4_line_dedup": op4_line_dedup,
         "op5_quality": op5_quality,
