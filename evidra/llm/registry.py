@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from evidra.llm.html_text import op8_html_text
 from evidra.llm.line_dedup import OP4_SQL, op4_line_dedup
 from evidra.llm.minhash import op1_minhash
 from evidra.llm.mixing import OP2_SQL, op2_mixing
@@ -22,6 +23,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op4_line_dedup": op4_line_dedup,
         "op5_quality": op5_quality,
         "op6_pieces": op6_pieces,
+        "op8_html_text": op8_html_text,
         "op10_warc": op10_warc,
     }
 
