@@ -12,6 +12,7 @@ from evidra.llm.minhash import op1_minhash
 from evidra.llm.mixing import OP2_SQL, op2_mixing
 from evidra.llm.pieces import op6_pieces
 from evidra.llm.quality import op5_quality
+from evidra.llm.toxicity import op7_toxicity
 from evidra.llm.warc import OP10_SQL, op10_warc
 
 
@@ -23,6 +24,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op4_line_dedup": op4_line_dedup,
         "op5_quality": op5_quality,
         "op6_pieces": op6_pieces,
+        "op7_toxicity": op7_toxicity,
         "op8_html_text": op8_html_text,
         "op10_warc": op10_warc,
     }
