@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from evidra.llm.html_text import op8_html_text
 from evidra.llm.line_dedup import OP4_SQL, op4_line_dedup
+from evidra.llm.lm_score import op9_lm_score
 from evidra.llm.minhash import op1_minhash
 from evidra.llm.mixing import OP2_SQL, op2_mixing
 from evidra.llm.pieces import op6_pieces
@@ -26,6 +27,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op6_pieces": op6_pieces,
         "op7_toxicity": op7_toxicity,
         "op8_html_text": op8_html_text,
+        "op9_lm_score": op9_lm_score,
         "op10_warc": op10_warc,
     }
 
