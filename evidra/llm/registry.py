@@ -13,6 +13,7 @@ from evidra.llm.minhash import op1_minhash
 from evidra.llm.mixing import OP2_SQL, op2_mixing
 from evidra.llm.pieces import op6_pieces
 from evidra.llm.quality import op5_quality
+from evidra.llm.topk import OP3_SQL, op3_topk
 from evidra.llm.toxicity import op7_toxicity
 from evidra.llm.warc import OP10_SQL, op10_warc
 
@@ -22,6 +23,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_minhash": op1_minhash,
         "op2_mixing": op2_mixing,
+        "op3_topk": op3_topk,
         "op4_line_dedup": op4_line_dedup,
         "op5_quality": op5_quality,
         "op6_pieces": op6_pieces,
@@ -34,4 +36,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 def oracle_sql() -> dict[str, str]:
     """DuckDB SQL where SQL can express the operator."""
-    return {"op2_mixing": OP2_SQL, "op4_line_dedup": OP4_SQL, "op10_warc": OP10_SQL}
+    return {"op2_mixing": OP2_SQL, "op3_topk": OP3_SQL, "op4_line_dedup": OP4_SQL, "op10_warc": OP10_SQL}
