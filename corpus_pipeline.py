@@ -8,7 +8,15 @@ from pyspark.sql import DataFrame, SparkSession
 
 from evidra.llm.common import table, written
 from evidra.llm.line_dedup import dedup_lines
+from evidra.llm.minhash import drop_near_duplicates
 from evidra.llm.mixing import mix_documents
+from evidra.llm.pieces import encode_digests
+from evidra.llm.quality import quality_filter
+
+
+def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality rules keep."""
+    return quality_filter(docs, table(spark, sf_dir, "labels"))
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -16,13 +24,29 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return dedup_lines(docs)
 
 
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each near-duplicate class: that with the smallest doc_id."""
+    return drop_near_duplicates(docs)
+
+
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as the mix of sources takes them."""
+    """Documents as often as the mix of sources takes them; a repeated document is a repeated row."""
     return mix_documents(docs)
 
 
+def encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Per document of the mix: the number of its ids and the digests of ids and decoded text."""
+    return encode_digests(docs)
+
+
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
-STAGES: list[tuple[str, Stage]] = [("line_dedup", line_dedup), ("mixing", mixing)]
+STAGES: list[tuple[str, Stage]] = [
+    ("quality_rules", quality_rules),
+    ("line_dedup", line_dedup),
+    ("near_dedup", near_dedup),
+    ("mixing", mixing),
+    ("encoding", encoding),
+]
 
 #: SQL can't express the first, third and last stage; tests hold the result against a brute-force version.
 ORACLE_SQL = None
