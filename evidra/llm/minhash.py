@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 from evidra.llm.common import map_rows, table, written
 
 K, ROWS, WORDS, SIMILARITY = 120, 5, 5, 0.8
-ROUNDS, BLOCK, SLACK = 3, 256, 0.2  # SLACK: 5.5 standard deviations of a signature's estimate at 0.8
+ROUNDS, BLOCK, SLACK = 2, 256, 0.17  # SLACK: 4.6 standard deviations of a signature's estimate at 0.8
 _U = np.uint64
 _PRIME = _U(0x9E3779B97F4A7C15)
 
@@ -166,34 +166,44 @@ def _verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame
     with_b = with_a.join(sets.select(F.col("node").alias("b"), F.col("shingles").alias("sb"), F.col("n").alias("m")), "b").where(need)
 
     def function(ca, cb, sa, sb):
-        x, y = np.frombuffer(sa, np.uint32), np.frombuffer(sb, np.uint32)
-        both = len(np.intersect1d(x, y, assume_unique=True))
-        if both >= similarity * (len(x) + len(y) - both) - 1e-9:
+        if _similar(np.frombuffer(sa, np.uint32), np.frombuffer(sb, np.uint32), similarity):
             yield ca, cb
 
     return map_rows(with_b.select("ca", "cb", "sa", "sb"), "a long, b long", lambda: function)
 
 
-def _block_pairs(state: DataFrame, mixed_buckets: DataFrame, sets: DataFrame, similarity: float, block: int) -> DataFrame:
-    """Pairs of bucket mates from different components whose signatures are close, found in blocks of bounded size."""
+def _block_links(state: DataFrame, apart: DataFrame, sets: DataFrame, similarity: float, rows: int, block: int) -> DataFrame:
+    """Links (a, b: components) between bucket mates of different components, found in pairs of blocks of bounded
+    size. A pair that shares several buckets is looked at in the one of its first common band."""
     blocks = F.ceil(F.col("g") / block).cast("int")
-    placed = state.join(mixed_buckets, "band").withColumn("mine", F.pmod(F.xxhash64(F.lit(7), "node"), blocks).cast("int"))
+    placed = state.join(apart, "band").withColumn("mine", F.pmod(F.xxhash64(F.lit(7), "node"), blocks).cast("int"))
     spread = placed.withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
     keyed = spread.select("band", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), "node", "comp")
-    rows = keyed.join(sets.select("node", "signature"), "node")
+    members = keyed.join(sets, "node")
 
-    def function(group: pa.Table) -> pa.Table:
-        nodes, comps = group["node"].to_numpy(), group["comp"].to_numpy()
+    def function(key: tuple, group: pa.Table) -> pa.Table:
+        comps, band = group["comp"].to_numpy(), key[0].as_py()
         signatures = np.stack([np.frombuffer(s.as_py(), np.uint32) for s in group["signature"]])
-        out = [[], [], [], []]
-        for x in range(len(nodes) - 1):
+        bands = np.stack([band_hashes(s, rows) for s in signatures])
+        shingles = [np.frombuffer(s.as_py(), np.uint32) for s in group["shingles"]]
+        found: set[tuple[int, int]] = set()
+        for x in range(len(comps) - 1):
             close = (signatures[x + 1 :] == signatures[x]).mean(1) >= similarity - SLACK
             for y in np.flatnonzero(close & (comps[x + 1 :] != comps[x])) + x + 1:
-                for column, value in zip(out, (nodes[x], nodes[y], comps[x], comps[y]), strict=True):
-                    column.append(value)
-        return pa.table({name: pa.array(c, pa.int64()) for name, c in zip(("a", "b", "ca", "cb"), out, strict=True)})
+                name = (min(int(comps[x]), int(comps[y])), max(int(comps[x]), int(comps[y])))
+                if name not in found and bands[x][(bands[x] == bands[y]).argmax()] == band and _similar(shingles[x], shingles[y], similarity):
+                    found.add(name)
+        return pa.table({n: pa.array([f[i] for f in found], pa.int64()) for i, n in enumerate("ab")})
 
-    return rows.groupBy("band", "i", "j").applyInArrow(function, "a long, b long, ca long, cb long")
+    return members.groupBy("band", "i", "j").applyInArrow(function, "a long, b long")
+
+
+def _similar(x: np.ndarray, y: np.ndarray, similarity: float) -> bool:
+    """Whether two sorted sets are as similar as asked."""
+    if min(len(x), len(y)) < similarity * max(len(x), len(y)) - 1e-9:
+        return False
+    both = len(np.intersect1d(x, y, assume_unique=True))
+    return both >= similarity * (len(x) + len(y) - both) - 1e-9
 
 
 def near_duplicate_classes(docs: DataFrame, similarity: float = SIMILARITY, words: int = WORDS, k: int = K, rows: int = ROWS, rounds: int = ROUNDS, block: int = BLOCK) -> DataFrame:
@@ -234,9 +244,9 @@ def near_duplicate_classes(docs: DataFrame, similarity: float = SIMILARITY, word
     sets = written(map_rows(chosen, "node long, n int, shingles binary, signature binary", sets_of).dropDuplicates(["node"]), "shingle-sets")
     labels = written(needed.select("node", F.col("node").alias("comp")), "labels")
 
-    def unite(pairs: DataFrame, labels: DataFrame) -> DataFrame | None:
-        links = written(_verified(pairs, sets, similarity).distinct(), "verified")
-        return None if links.isEmpty() else contracted(labels, links)
+    def unite(links: DataFrame, labels: DataFrame) -> DataFrame:
+        links = written(links.distinct(), "verified")
+        return labels if links.isEmpty() else contracted(labels, links)
 
     def state_of(labels: DataFrame) -> tuple[DataFrame, DataFrame]:
         """Buckets that hold several components: their members, and their sizes."""
@@ -247,18 +257,18 @@ def near_duplicate_classes(docs: DataFrame, similarity: float = SIMILARITY, word
 
     for nth in range(rounds):
         state, apart = state_of(labels)
+        if apart.isEmpty():
+            break
         turn = F.xxhash64(F.lit(nth), "node")
         first = written(state.groupBy("band").agg(F.min(turn).alias("turn")), "turns")
         lead = written(state.join(first, "band").where(turn == F.col("turn")).select("band", F.col("node").alias("a"), F.col("comp").alias("ca")), "leaders")
-        pairs = state.join(lead, "band").where("comp <> ca").select("a", F.col("node").alias("b"), "ca", F.col("comp").alias("cb")).distinct()
-        united = unite(pairs, labels)
-        if united is None:
-            break
-        labels = united
+        # Of the leaders of its buckets a node is compared with that of the lowest turn, which most of its mates share.
+        meets = state.join(lead, "band").where("comp <> ca").select(F.xxhash64(F.lit(nth), "a").alias("turn"), "a", "ca", F.col("node").alias("b"), F.col("comp").alias("cb"))
+        lowest = meets.groupBy("b", "cb").agg(F.min(F.struct("turn", "a", "ca")).alias("m"))
+        labels = unite(_verified(lowest.select("m.a", "b", "m.ca", "cb"), sets, similarity), labels)
     state, apart = state_of(labels)
-    apart = written(apart.where("g > 2"), "apart")
     if not apart.isEmpty():
-        labels = unite(_block_pairs(state, apart, sets, similarity, block).distinct(), labels) or labels
+        labels = unite(_block_links(state, apart, sets, similarity, rows, block), labels)
 
     named = nodes.select("node", "rep").join(labels, "node", "left").select("node", "rep", F.coalesce("comp", "node").alias("comp"))
     named = written(named, "components")
