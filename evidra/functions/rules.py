@@ -241,3 +241,7 @@ THEMES = {
     "Conclusion & Discussion": (["conclusion", "discussion", "summary", "future work", "limitation"], ["conclusion", "discussion", "summary", "future", "limitation", "implication"]),
 }
 METADATA_THEME = "author title date published journal affiliation university email doi abstract keywords institution department corresponding editor volume issue".split()
+
+# Words that speak of who made a document.
+AUTHORSHIP_TERMS = ["author", "authors", "written by", "created by", "built by", "developed by", "team", "student", "students", "contributor", "developer", "project"]
+FACT_STOP = "the a an and or but is are was were to of in on with which that this for it be has have had not as at by from".split()
