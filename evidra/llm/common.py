@@ -16,6 +16,7 @@ WORD_RE = r"[^\x20\x09-\x0D]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 _local_scratch: list[str] = []
+_made: list[str] = []
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -37,7 +38,14 @@ def scratch_dir(spark: SparkSession) -> str:
 
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh path in the shared folder."""
-    return f"{scratch_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    _made.append(f"{scratch_dir(spark)}/{name}-{uuid.uuid4().hex}")
+    return _made[-1]
+
+
+def drop_scratch(spark: SparkSession) -> None:
+    """Delete what operators have written to the shared folder; for use once their results are saved."""
+    while _made:
+        drop_path(spark, _made.pop())
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
@@ -70,7 +78,8 @@ _ARROW = {"long": pa.int64(), "int": pa.int32(), "double": pa.float64(), "string
 
 def map_rows(df: DataFrame, schema: str, factory: Callable[[], Callable[..., Iterable[tuple]]]) -> DataFrame:
     """Apply Python to rows in Arrow batches without keeping a partition: ``factory()`` runs once a task and returns
-    a function from a row's values to its output rows. ``schema`` is ``name type`` pairs of flat types."""
+    a function from a row's values to its output rows; its attribute ``finish``, if any, is called at the end of the
+    task. ``schema`` is ``name type`` pairs of flat types."""
     fields = [f.split() for f in schema.split(",")]
     arrow = pa.schema([(name, _ARROW[kind]) for name, kind in fields])
 
@@ -88,6 +97,7 @@ def map_rows(df: DataFrame, schema: str, factory: Callable[[], Callable[..., Ite
                         out, size = [], 0
         if out:
             yield _batch(out, arrow)
+        getattr(function, "finish", int)()  # workers outlive tasks: what a function keeps should not
 
     return df.mapInArrow(run, schema)
 

@@ -53,7 +53,7 @@ def _cutter(pieces: Iterable[str]) -> Callable[[str], list[str]]:
 class PieceCodec:
     """Encoder and decoder of one merge-type model."""
 
-    def __init__(self, model: bytes, kept: int = 160_000):
+    def __init__(self, model: bytes, kept: int = 130_000):
         sp = sentencepiece.SentencePieceProcessor(model_proto=model)
         self.score, self.ids, self.raw = {}, {}, []
         self.byte_ids = [sp.piece_to_id(f"<0x{b:02X}>") for b in range(256)]
@@ -167,6 +167,11 @@ class PieceCodec:
             found.append(entry)
         return found
 
+    def forget(self) -> None:
+        """Drop what is kept of earlier texts."""
+        self.young, self.old, self.n_pairs = {}, {}, 0
+        self.pairs.clear()
+
     def encode(self, text: str | None) -> list[int]:
         """Ids of a whole text."""
         return list(chain.from_iterable([e[1] for e in self._entries(text)]))
@@ -211,6 +216,7 @@ def encode_digests(docs: DataFrame, model_path: str | None = None) -> DataFrame:
             ids, printed = c.encode_printed(text)
             yield doc_id, len(ids), sha(printed.encode()).hexdigest(), sha(c.decode(ids).encode()).hexdigest()
 
+        row.finish = c.forget
         return row
 
     return map_rows(docs.select("doc_id", "text"), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string", factory)
