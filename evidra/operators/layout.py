@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from evidra.functions import rules
 from evidra.functions.text import strip
 from evidra.sources.views import is_header
 
@@ -175,3 +176,35 @@ def continuity(sectioned: DataFrame) -> DataFrame:
     after = lambda c: F.lead(c).over(order)
     goes_on = (after("page") == F.col("page") + 1) & (after("section") == F.col("section")) & ~is_header(after("text"))
     return sectioned.withColumn("next_pos", after("pos")).withColumn("goes_on", goes_on).where("goes_on").select("doc_id", "pos", "next_pos")
+
+
+def caption_lines(images: DataFrame, lines: DataFrame, near: float = 100.0) -> DataFrame:
+    """The first line near each image that reads like a caption."""
+    captions = image_lines(images, lines.where(strip(F.col("text")).rlike(rules.CAPTION)), near)
+    return captions.groupBy("doc_id", "image_id").agg(F.min("pos").alias("caption_pos"))
+
+
+def components(sectioned: DataFrame) -> DataFrame:
+    """Lines as components: their place in the section (from 0), the section's id and the label they are shown with;
+    a section is called by its first line if that is a header."""
+    section = Window.partitionBy("doc_id", "section").orderBy("pos")
+    first = F.first("text").over(section)
+    title = F.when(is_header(first), strip(first)).otherwise(F.concat(F.lit("Section "), F.col("section").cast("string")))
+    return sectioned.select(
+        "doc_id", "pos", (F.row_number().over(section) - 1).alias("order_in_section"), F.concat_ws("_", F.lit("sec"), F.col("doc_id").cast("string"), F.col("section").cast("string")).alias("section_id"), title.alias("label")
+    )
+
+
+def image_components(images: DataFrame) -> DataFrame:
+    """Images of 30 points a side or more with what is embedded for them; those without a description have no text."""
+    known = F.coalesce(F.trim("llm_description"), F.lit("")) != ""
+    text = F.substring(F.concat(F.lit("[Image on page "), F.col("page").cast("string"), F.lit("] "), F.trim("llm_description")), 1, 2000)
+    large = images.where("x1 - x0 >= 30 AND y1 - y0 >= 30")
+    return large.select("doc_id", "image_id", "page", F.when(known, "figure").otherwise("undetermined").alias("role"), F.when(known, text).alias("text"))
+
+
+def page_chains(sectioned: DataFrame, layout: DataFrame) -> DataFrame:
+    """Order in which a page's lines are embedded: its chains of one section by the height of their first line."""
+    placed = sectioned.select("doc_id", "pos", "section").join(layout.select("doc_id", "page", "pos", "y0"), ["doc_id", "pos"])
+    head = placed.withColumn("head_y0", F.first("y0").over(Window.partitionBy(*PAGE, "section").orderBy("pos")))
+    return head.select("doc_id", "page", "pos", F.row_number().over(Window.partitionBy(*PAGE).orderBy("head_y0", "section", "pos")).alias("chain_order"))

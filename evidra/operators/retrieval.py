@@ -195,3 +195,20 @@ def theme_hits(members: DataFrame, themes: dict[str, str], questions: DataFrame)
 def literal_terms(question: Column) -> Column:
     """Search terms of a question as an array."""
     return F.array_except(F.filter(tokens(question), lambda w: F.char_length(w) > 2), literals(rules.RECALL_STOP))
+
+
+def rerank(hits: DataFrame, score: Column, k: int = 25) -> DataFrame:
+    """Hits ordered anew by a cross-encoder's score: its logistic value blended with their alignment. Without scores
+    (null) the order stays."""
+    blended = F.when(score.isNull(), F.col("alignment_score")).otherwise(F.least(F.lit(1.0), 0.55 / (1 + F.exp(-score)) + 0.45 * F.col("alignment_score")))
+    return best(hits.drop("rank").withColumn("cross_encoder_score", score).withColumn("alignment_score", blended), k)
+
+
+def relevance_blend(relevance: Column, alignment: Column, cross_encoder: Column) -> Column:
+    """Final score where a language model has judged relevance."""
+    return F.least(F.lit(1.0), 0.45 * relevance + 0.35 * alignment + 0.20 * cross_encoder)
+
+
+def cascade(hits: DataFrame, score: Column, pools: tuple[int, int, int] = (40, 25, 8)) -> DataFrame:
+    """Three ranked filters: a pool of candidates, re-ranked, of which the first few answer."""
+    return rerank(best(hits, pools[0]), score, pools[1]).where(F.col("rank") <= pools[2])

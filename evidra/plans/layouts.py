@@ -168,6 +168,30 @@ def image_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return layout.image_lines(images, lines, 80).select("doc_id", "image_id", "pos")
 
 
+@query(f"""WITH {sql.LAYOUT}, l AS (SELECT * REPLACE (CASE WHEN pos % 5 = 0 THEN 'Figure ' || pos ELSE text END AS text) FROM layout), i AS (SELECT doc_id, page, pos AS image_id, 72 AS x0, y0, 540 AS x1, y1 FROM layout WHERE pos % 13 = 0)
+SELECT l.doc_id, i.image_id, min(l.pos) AS caption_pos FROM i JOIN l ON l.doc_id = i.doc_id AND l.page = i.page
+WHERE sqrt(power((i.x0 + i.x1 - l.x0 - l.x1) / 2, 2) + power((i.y0 + i.y1 - l.y0 - l.y1) / 2, 2)) < 250 AND regexp_matches({_S.replace("text", "l.text")}, {sql.text(rules.CAPTION)}) GROUP BY ALL""")
+def caption_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Caption of each image; every fifth line plays one."""
+    lines = _layout(spark, sf_dir).withColumn("text", F.when(F.col("pos") % 5 == 0, F.concat(F.lit("Figure "), F.col("pos").cast("string"))).otherwise(F.col("text")))
+    images = lines.where("pos % 13 = 0").select("doc_id", "page", F.col("pos").alias("image_id"), F.lit(72).alias("x0"), "y0", F.lit(540).alias("x1"), "y1")
+    return layout.caption_lines(images, lines, 250)
+
+
+@query(f"""WITH {sql.SECTIONED}, c AS (SELECT doc_id, pos, section, row_number() OVER o - 1 AS n, first(text) OVER o AS f FROM sectioned WINDOW o AS (PARTITION BY doc_id, section ORDER BY pos))
+SELECT doc_id, pos, n::INTEGER AS order_in_section, 'sec_' || doc_id || '_' || section AS section_id, CASE WHEN {sql.is_header("f")} THEN {sql.strip("f")} ELSE 'Section ' || section END AS label FROM c""")
+def components(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines with their place and label."""
+    return layout.components(_sectioned(spark, sf_dir))
+
+
+@query(f"""WITH {sql.SECTIONED}, l AS (SELECT *, (pos % 40) * 18 AS y0 FROM sectioned), h AS (SELECT *, first(y0) OVER (PARTITION BY doc_id, page, section ORDER BY pos) AS head FROM l)
+SELECT doc_id, page, pos, row_number() OVER (PARTITION BY doc_id, page ORDER BY head, section, pos)::INTEGER AS chain_order FROM h""")
+def page_chains(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Order in which the lines of a page are embedded."""
+    return layout.page_chains(_sectioned(spark, sf_dir), _layout(spark, sf_dir))
+
+
 @query(f"""WITH {sql.LAYOUT}, g AS (SELECT doc_id, page, pos, (pos % 40 // 3) * 18 AS y0, (pos % 3) * 100 AS x0 FROM layout),
   o AS (SELECT *, CASE WHEN abs(y0 - lag(y0) OVER w) < 10 THEN 0 ELSE 1 END AS opens FROM g WINDOW w AS (PARTITION BY doc_id, page ORDER BY y0, x0, pos)),
   r AS (SELECT *, sum(opens) OVER (PARTITION BY doc_id, page ORDER BY y0, x0, pos) AS r FROM o), c AS (SELECT doc_id, page, r, count(*) AS cells FROM r GROUP BY ALL HAVING count(*) >= 2)

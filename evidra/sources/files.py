@@ -51,3 +51,11 @@ def check_vectors(vectors: DataFrame, dimension: int, column: str = "v") -> Data
 def documents_in(spark: SparkSession, path: str) -> DataFrame:
     """Documents of a stored graph, from the names of its partitions."""
     return spark.read.parquet(f"{path}/nodes").select("doc_id").distinct()
+
+
+def delete_document(spark: SparkSession, path: str, doc_id) -> None:
+    """Remove a document's partitions."""
+    jvm = spark.sparkContext._jvm
+    for name in ("nodes", "edges"):
+        target = jvm.org.apache.hadoop.fs.Path(f"{path}/{name}/doc_id={doc_id}")
+        target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)

@@ -175,3 +175,18 @@ def test_sections_open_at_headers(spark):
 
 def test_vocabulary_is_complete():
     assert set(rules.INFORMATION_TYPES) | {"fact"} <= set(rules.DENSITY_WEIGHTS)
+
+
+def test_rerank_and_cascade(spark):
+    hits = spark.createDataFrame([(1, 1, i, 0.9 - i / 100) for i in range(50)], "query_id int, doc_id long, pos int, alignment_score double")
+    kept = retrieval.cascade(hits, F.lit(None).cast("double")).orderBy("rank").collect()
+    assert [r.pos for r in kept] == list(range(8))
+    turned = retrieval.rerank(hits.where("pos < 3"), F.col("pos").cast("double"), 2).orderBy("rank").collect()
+    assert [r.pos for r in turned] == [2, 1]
+
+
+def test_images(spark):
+    rows = [(1, "a", 1, 0.0, 0.0, 29.0, 50.0, "x"), (1, "b", 2, 0.0, 0.0, 30.0, 30.0, "a chart"), (1, "c", 3, 0.0, 0.0, 40.0, 40.0, None)]
+    images = spark.createDataFrame(rows, "doc_id int, image_id string, page int, x0 double, y0 double, x1 double, y1 double, llm_description string")
+    got = {r.image_id: (r.role, r.text) for r in layout.image_components(images).collect()}
+    assert got == {"b": ("figure", "[Image on page 2] a chart"), "c": ("undetermined", None)}

@@ -28,6 +28,8 @@ def test_graph_round_trip(spark, tmp_path):
     export = json.loads(files.node_link_json(n, e).first().graph)
     assert len(export["nodes"]) == 2 and export["directed"]
     assert sorted(r.doc_id for r in files.documents_in(spark, path).collect()) == [1, 2]
+    files.delete_document(spark, path, 1)
+    assert [r.doc_id for r in files.documents_in(spark, path).collect()] == [2]
 
 
 def test_seams(spark):
