@@ -59,45 +59,61 @@ def _levels() -> list[tuple[float, float, int, int, np.ndarray]]:
 LEVELS = _levels()
 
 
-def dart_signature(elements: np.ndarray, weights: np.ndarray | None = None, k: int = K) -> np.ndarray:
-    """DartMinHash signature: 32-bit names of the earliest dart in each of ``k`` coordinates.
+def dart_signatures(elements: np.ndarray, owners: np.ndarray, n: int, k: int = K, caught: np.ndarray | None = None) -> np.ndarray:
+    """Signatures (n x k, 32-bit names of the earliest darts) of n sets at once.
 
-    elements: distinct 64-bit hashes; weights: positive, all 1 if None."""
-    if weights is not None:  # unit layers, of which the last catches only darts below the rest of the weight
-        layers = np.ceil(weights).astype(np.int64)
-        layer = np.concatenate([np.arange(n) for n in layers]).astype(_U)
-        caught = np.minimum(1.0, np.repeat(weights, layers) - layer)
-        elements = np.where(layer == 0, np.repeat(elements, layers), mixed(np.repeat(elements, layers) + layer * _PRIME))
-    else:
-        caught = None
-    signature = np.zeros(k, np.uint32)
-    empty = np.ones(k, bool)
-    if not len(elements):
-        return signature
+    elements: 64-bit hashes; owners: number of the set that holds each; caught: the weight, up to 1, that each holds (1
+    if None). Sets whose coordinates are all filled leave, so later cells are looked at for small sets only."""
+    signature, empty = np.zeros(n * k, np.uint32), np.ones(n * k, bool)
     for start, width, cells, nth, p in LEVELS:
-        per = max(1, (1 << 20) // len(elements))
+        if not len(elements):
+            break
+        per = max(1, (1 << 18) // len(elements))
         for first in range(0, cells, per):
             here = np.arange(first, min(cells, first + per))
             place = mixed(elements[:, None] + (_U(nth) + here.astype(_U)) * _PRIME).ravel()
             darts = np.searchsorted(p, (place >> _U(11)).astype(np.float64) * 2.0**-53, side="right")
             hit = np.flatnonzero(darts)
-            n = darts[hit]
-            owner = np.repeat(hit, n)
-            order = (np.arange(len(owner)) - np.repeat(np.cumsum(n) - n, n)).astype(_U)
-            dart = mixed(place[owner] ^ mixed(order + _PRIME))
-            rank = start + (owner % len(here) + first) * width + (dart >> _U(32)).astype(np.float64) * (width * 2.0**-32)
+            n_darts = darts[hit]
+            source = np.repeat(hit, n_darts)
+            order = (np.arange(len(source)) - np.repeat(np.cumsum(n_darts) - n_darts, n_darts)).astype(_U)
+            dart = mixed(place[source] ^ mixed(order + _PRIME))
+            element, cell = source // len(here), source % len(here)
+            rank = start + (cell + first) * width + (dart >> _U(32)).astype(np.float64) * (width * 2.0**-32)
             more = mixed(dart)
-            coordinate = ((more >> _U(32)) * _U(k) >> _U(32)).astype(np.int64)
-            keep = empty[coordinate]
+            slot = owners[element] * k + ((more >> _U(32)) * _U(k) >> _U(32)).astype(np.int64)
+            keep = empty[slot]
             if caught is not None:
-                keep &= (mixed(more) >> _U(11)).astype(np.float64) * 2.0**-53 < caught[owner // len(here)]
+                keep &= (mixed(more) >> _U(11)).astype(np.float64) * 2.0**-53 < caught[element]
             keep = np.flatnonzero(keep)
             keep = keep[np.argsort(-rank[keep], kind="stable")]  # the earliest is written last
-            signature[coordinate[keep]] = (more[keep] & _U(0xFFFFFFFF)).astype(np.uint32)
-            empty[coordinate[keep]] = False
-        if not empty.any():
-            break
-    return signature
+            signature[slot[keep]] = (more[keep] & _U(0xFFFFFFFF)).astype(np.uint32)
+            empty[slot[keep]] = False
+            if first + per < cells and not empty.any():
+                break
+        stay = empty.reshape(n, k).any(1)[owners]
+        elements, owners = elements[stay], owners[stay]
+        caught = caught[stay] if caught is not None else None
+    return signature.reshape(n, k)
+
+
+def dart_signature(elements: np.ndarray, weights: np.ndarray | None = None, k: int = K) -> np.ndarray:
+    """DartMinHash signature of one set.
+
+    elements: distinct 64-bit hashes; weights: positive, all 1 if None."""
+    if weights is None:
+        return dart_signatures(elements, np.zeros(len(elements), np.int64), 1, k)[0]
+    # Unit layers, of which the last catches only darts below the rest of the weight.
+    layers = np.ceil(weights).astype(np.int64)
+    layer = np.concatenate([np.arange(n) for n in layers]).astype(_U)
+    caught = np.minimum(1.0, np.repeat(weights, layers) - layer)
+    spread = np.repeat(elements, layers)
+    return dart_signatures(np.where(layer == 0, spread, mixed(spread + layer * _PRIME)), np.zeros(len(spread), np.int64), 1, k, caught)[0]
+
+
+def _together(sets: list[np.ndarray], k: int) -> np.ndarray:
+    """Signatures of several sets."""
+    return dart_signatures(np.concatenate(sets), np.repeat(np.arange(len(sets)), [len(s) for s in sets]), len(sets), k)
 
 
 class Shingler:
@@ -130,14 +146,40 @@ class Shingler:
 
 
 def band_hashes(signature: np.ndarray, rows: int = ROWS) -> np.ndarray:
-    """A 64-bit hash for each band of a signature."""
-    bands = signature[: len(signature) // rows * rows].reshape(-1, rows).astype(_U)
-    h = mixed(np.arange(1, len(bands) + 1, dtype=_U) * _PRIME)
+    """A 64-bit hash for each band of a signature, or of several."""
+    n = signature.shape[-1] // rows
+    bands = signature[..., : n * rows].reshape(*signature.shape[:-1], n, rows).astype(_U)
+    h = np.broadcast_to(mixed(np.arange(1, n + 1, dtype=_U) * _PRIME), bands.shape[:-1])
     for i in range(rows):
-        h = mixed(h ^ bands[:, i]) + _PRIME
+        h = mixed(h ^ bands[..., i]) + _PRIME
     return h.astype(np.int64)
 
 
+def _in_groups(df: DataFrame, schema: str, factory, elements: int = 60_000) -> DataFrame:
+    """Like ``map_rows`` for functions of many rows: ``factory()`` gives (prepare, finish); rows are prepared one by
+    one to (row, set of hashes or None) and finished in groups of about so many hashes."""
+    names, kinds = zip(*(f.split() for f in schema.split(", ")), strict=True)
+    arrow = pa.schema([(n, {"long": pa.int64(), "int": pa.int32(), "binary": pa.binary(), "array<long>": pa.list_(pa.int64())}[t]) for n, t in zip(names, kinds, strict=True)])
+
+    def run(batches):
+        prepare, finish = factory()
+        held, size = [], 0
+        for batch in batches:
+            for row in zip(*batch.columns, strict=True):
+                found = prepare(*(v.as_py() for v in row))
+                if found is None:
+                    continue
+                held.append(found)
+                size += 20 + (0 if found[1] is None else len(found[1]))
+                if size >= elements:
+                    yield pa.RecordBatch.from_pylist([dict(zip(names, r, strict=True)) for r in finish(held)], arrow)
+                    held, size = [], 0
+        if held:
+            yield pa.RecordBatch.from_pylist([dict(zip(names, r, strict=True)) for r in finish(held)], arrow)
+
+    return df.mapInArrow(run, schema)
+
+
 def contracted(labels: DataFrame, links: DataFrame) -> DataFrame:
     """Labels (node, comp) after uniting the components of ``links`` (a, b: component names).
 
@@ -184,7 +226,7 @@ def _block_links(state: DataFrame, apart: DataFrame, sets: DataFrame, similarity
     def function(key: tuple, group: pa.Table) -> pa.Table:
         comps, band = group["comp"].to_numpy(), key[0].as_py()
         signatures = np.stack([np.frombuffer(s.as_py(), np.uint32) for s in group["signature"]])
-        bands = np.stack([band_hashes(s, rows) for s in signatures])
+        bands = band_hashes(signatures, rows)
         shingles = [np.frombuffer(s.as_py(), np.uint32) for s in group["shingles"]]
         found: set[tuple[int, int]] = set()
         for x in range(len(comps) - 1):
@@ -212,17 +254,19 @@ def near_duplicate_classes(docs: DataFrame, similarity: float = SIMILARITY, word
     def mark():
         shingler = Shingler(words)
 
-        def row(doc_id, text, print_):
+        def prepare(doc_id, text, print_):
             found = shingler(text)
-            if found is None:
-                yield doc_id, print_, None, None
-            else:
-                yield doc_id, print_, found[0], band_hashes(dart_signature(found[2], k=k), rows).tolist()
+            return ((doc_id, print_, None), None) if found is None else ((doc_id, print_, found[0]), found[2])
 
-        return row
+        def finish(held):
+            sets = [s for _, s in held if s is not None]
+            bands = iter(band_hashes(_together(sets, k), rows).tolist() if sets else ())
+            return [(*row, None if s is None else next(bands)) for row, s in held]
+
+        return prepare, finish
 
     texts = docs.select("doc_id", "text", F.xxhash64("text").alias("_ev_row"))
-    marked = written(map_rows(texts, "doc_id long, _ev_row long, node long, bands array<long>", mark), "marked")
+    marked = written(_in_groups(texts, "doc_id long, _ev_row long, node long, bands array<long>", mark), "marked")
     nodes = written(marked.where("node IS NOT NULL").groupBy("node").agg(F.min("doc_id").alias("rep"), F.first("bands").alias("bands")), "nodes")
     banded = nodes.select("node", F.explode("bands").alias("band"))
     shared = written(banded.groupBy("band").count().where("count > 1").select("band"), "shared-bands")
@@ -232,16 +276,18 @@ def near_duplicate_classes(docs: DataFrame, similarity: float = SIMILARITY, word
     def sets_of():
         shingler = Shingler(words)
 
-        def row(node, text):
+        def prepare(node, text):
             found = shingler(text)
-            if found is not None and found[0] == node:
-                short = np.unique((found[2] >> _U(32)).astype(np.uint32))
-                yield node, len(short), short.tobytes(), dart_signature(found[2], k=k).tobytes()
+            return (node, found[2]) if found is not None and found[0] == node else None
+
+        def finish(held):
+            short = [np.unique((s >> _U(32)).astype(np.uint32)) for _, s in held]
+            return [(node, len(x), x.tobytes(), y.tobytes()) for (node, _), x, y in zip(held, short, _together([s for _, s in held], k), strict=True)]
 
-        return row
+        return prepare, finish
 
     chosen = docs.select("doc_id", "text").join(needed, F.col("doc_id").eqNullSafe(F.col("rep"))).select("node", "text")
-    sets = written(map_rows(chosen, "node long, n int, shingles binary, signature binary", sets_of).dropDuplicates(["node"]), "shingle-sets")
+    sets = written(_in_groups(chosen, "node long, n int, shingles binary, signature binary", sets_of).dropDuplicates(["node"]), "shingle-sets")
     labels = written(needed.select("node", F.col("node").alias("comp")), "labels")
 
     def unite(links: DataFrame, labels: DataFrame) -> DataFrame:
