@@ -33,8 +33,10 @@ AROUND = frozenset(
     "ad ads adv advert adverts advertisement advertising banner banners breadcrumb breadcrumbs comment comments commentlist contentinfo cookie cookies copyright "
     "dialog disqus footer footnav form gdpr login masthead menu menus modal nav navbar navigation navigational newsletter notice notices notification pagination pager "
     "popup promo promoted promotion related replies reply respond search share sharing sidebar sidebars signup social sponsor sponsored subscribe toolbar topbar widget widgets "
-    "complementary alert consent disclaimer legal".split()
+    "complementary alert consent disclaimer legal adsbygoogle adbox adslot adunit responses crumbs popover".split()
 )
+#: Words that make a header one of the article and not of the site.
+TITLE = frozenset("article content entry main post story text title".split())
 _TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*>?|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']++|"[^"]*+"|'[^']*+')*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>|[^<]+|<""", re.S)
 _MARKS = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 _PARTS = re.compile(r"[^a-z]+")
@@ -42,11 +44,12 @@ _BESIDE = re.compile(r"\b(?:has|with|no|without)[-_ ]\w+")
 _HIDDEN = re.compile(r"\bhidden\b|aria-hidden\s*=\s*[\"']?true|display\s*:\s*none", re.I)
 
 
-def _is_around(attributes: str) -> bool:
+def _is_around(attributes: str, article: bool) -> bool:
     for found in _MARKS.finditer(attributes):
         value = found[1] or found[2] or found[3] or ""
         plain = _BESIDE.sub(" ", re.sub(r"(?<=[a-z])(?=[A-Z])", " ", value).lower())
-        if not AROUND.isdisjoint(_PARTS.split(plain)):
+        parts = _PARTS.split(plain)
+        if not AROUND.isdisjoint(parts) or not article and "header" in parts and not TITLE.intersection(parts):
             return True
     return bool(_HIDDEN.search(attributes))
 
@@ -110,7 +113,7 @@ def page_lines(html: str) -> list[tuple[str, bool, bool, int]]:
                 if block and stack and stack[-1][0] == "p" or name in ("li", "td", "th", "tr", "dt", "dd") and stack and stack[-1][0] == name:
                     stack.pop()
                     outside, article = (stack[-1][1], stack[-1][2]) if stack else (False, False)
-                around = name in OUTSIDE or name == "header" and not article or bool(attributes.strip()) and name not in ("html", "body", "article", "main") and _is_around(attributes)
+                around = name in OUTSIDE or name == "header" and not article or bool(attributes.strip()) and name not in ("html", "body", "article", "main") and _is_around(attributes, article)
                 around = around or name == "article" and "comment" in attributes.lower()
                 if around and not outside and not block:
                     flush()

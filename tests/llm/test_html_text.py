@@ -21,6 +21,7 @@ LONG = "This paragraph of the article goes on for quite some time so that it sta
         ("<article><p>unclosed <script>var x", "unclosed"),
         ("a < b and c", "a < b and c"),
         (f"<div class='page has-sidebar'><p>{LONG}</p></div><div class=cookieNotice>we use</div>", LONG),
+        (f"<div class='site-header'>Site</div><div class='post-header'><h1>Head of it</h1></div><p>{LONG}</p>", f"Head of it {LONG}"),
         ("<article><p>&lt;p&gt; &#233; &nbsp; &hellip;</article>", "<p> é …"),
     ],
 )
