@@ -15,6 +15,7 @@ WHITE = " \t\n\x0b\x0c\r"
 WORD_RE = r"[^\x20\x09-\x0D]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
+_BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
 _local_scratch: list[str] = []
 _made: list[str] = []
 
@@ -51,9 +52,15 @@ def drop_scratch(spark: SparkSession) -> None:
 def written(df: DataFrame, name: str) -> DataFrame:
     """The same rows, read back from a Parquet table in the shared folder: lineage ends there, and what is
     read more than once is computed once. A lost executor costs no more than the reading task."""
-    path = scratch_path(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    spark = df.sparkSession
+    path = scratch_path(spark, name)
+    before = spark.conf.get(_BATCH_ROWS)
+    spark.conf.set(_BATCH_ROWS, str(min(int(before), 1000) if int(before) > 0 else 1000))  # texts are long: small batches
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(_BATCH_ROWS, before)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def drop_path(spark: SparkSession, path: str) -> None:
