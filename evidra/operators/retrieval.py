@@ -6,6 +6,7 @@ from __future__ import annotations
 
 from functools import reduce
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -133,10 +134,11 @@ def consolidate(candidates: DataFrame, questions: DataFrame, lines: DataFrame, b
     return joined.withColumn("match", match).select("query_id", "doc_id", "pos", "section", "text", "confidence", F.col("score").alias("semantic"), F.least(score, F.lit(1.0)).alias("alignment_score"))
 
 
-def best(scored: DataFrame, k: int) -> DataFrame:
-    """The k best candidates of each question with their rank; a group limit before the shuffle."""
+def best(scored: DataFrame, k: int | None) -> DataFrame:
+    """The k best candidates of each question (or all) with their rank; a group limit before the shuffle."""
     order = Window.partitionBy("query_id").orderBy(F.desc(F.round("alignment_score", 9)), "doc_id", "pos")
-    return scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+    ranked = scored.withColumn("rank", F.row_number().over(order))
+    return ranked if k is None else ranked.where(F.col("rank") <= k)
 
 
 def with_context(hits: DataFrame, sectioned: DataFrame, before: int = 2, after: int = 4) -> DataFrame:
@@ -146,15 +148,33 @@ def with_context(hits: DataFrame, sectioned: DataFrame, before: int = 2, after:
     return hits.join(texts, ["doc_id", "pos"])
 
 
-def without_near_duplicates(hits: DataFrame, text: str = "context", largest: float = 0.6) -> DataFrame:
-    """Hits whose words don't overlap too much with a better hit that stays. An ordered fold over each question's hits,
-    of which there are as many as the rank limit lets through."""
-    items = F.array_sort(F.collect_list(F.struct(F.col("rank"), F.col("doc_id"), F.col("pos"), F.array_distinct(words(F.lower(text))).alias("w"))))
-    grouped = hits.groupBy("query_id").agg(items.alias("items"))
-    fold = f"""aggregate(items, cast(array() as array<struct<rank:int,doc_id:bigint,pos:int,w:array<string>>>),
-      (kept, x) -> if(exists(kept, k -> size(k.w) > 0 AND size(x.w) > 0 AND size(array_intersect(k.w, x.w)) / least(size(k.w), size(x.w)) > {largest}),
-                      kept, array_append(kept, x)))"""
-    return grouped.select("query_id", F.explode(F.expr(fold)).alias("k")).select("query_id", "k.rank", "k.doc_id", "k.pos")
+def without_near_duplicates(hits: DataFrame, text: str = "context", largest: float = 0.6, k: int | None = None) -> DataFrame:
+    """Hits whose words don't overlap too much with a better hit that stays: all of them, or the k best. An ordered fold
+    over each question's hits, however many there are: they pass by sorted, and only those that stay are held."""
+    schema = hits.drop(text).schema
+    items = hits.withColumn("w", F.array_distinct(words(F.lower(text)))).drop(text)
+
+    def fold(batches):
+        question, kept = None, []
+        for batch in batches:
+            stays, w = [], batch.column("w")
+            for i, asked in enumerate(batch.column("query_id").to_pylist()):
+                if asked != question:
+                    question, kept = asked, []
+                if k is not None and len(kept) == k:
+                    continue
+                own = set(w[i].as_py() or ())
+                if not any(own and x and len(own & x) / min(len(own), len(x)) > largest for x in kept):
+                    kept.append(own)
+                    stays.append(i)
+            yield batch.select(schema.names).take(pa.array(stays, pa.int64()))
+
+    return items.repartition("query_id").sortWithinPartitions("query_id", "rank").mapInArrow(fold, schema)
+
+
+def renumbered(hits: DataFrame) -> DataFrame:
+    """Hits of each question with ranks from 1 on, in the order of their ranks."""
+    return hits.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy("rank")))
 
 
 def citation_confidence(alignment: Column, ocr: Column, cross_encoder: Column, contributed: Column) -> Column:

@@ -137,12 +137,11 @@ def edge_expand(spark: SparkSession, sf_dir: str) -> DataFrame:
     return retrieval.expand_edges(retrieval.keyword_recall(_bench(spark, sf_dir), lines), edges).select("query_id", "doc_id", "pos", F.round(F.col("score") * 10000).cast("long").alias("score"))
 
 
-def _ranked(spark: SparkSession, sf_dir: str, k: int) -> tuple[DataFrame, DataFrame]:
+def _scored(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     lines, bench = _lines(spark, sf_dir), _bench(spark, sf_dir)
     asked = bench.select("query_id", F.col("text").alias("question"), questions.intent(F.col("text")).alias("intent"))
     candidates = retrieval.keyword_recall(bench, lines)
-    scored = retrieval.consolidate(candidates, asked, lines.select("doc_id", "pos", "section", "text", "confidence"))
-    return retrieval.best(scored, k), lines
+    return retrieval.consolidate(candidates, asked, lines.select("doc_id", "pos", "section", "text", "confidence")), lines
 
 
 def _match_sql(q: str, t: str) -> str:
@@ -167,25 +166,31 @@ def text_match(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def consolidate_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The eight best lines for each benchmark question."""
-    hits, _ = _ranked(spark, sf_dir, 8)
-    return hits.select("query_id", "doc_id", "pos", "rank", tenthousandths(F.col("alignment_score")).alias("score"))
+    scored, _ = _scored(spark, sf_dir)
+    return retrieval.best(scored, 8).select("query_id", "doc_id", "pos", "rank", tenthousandths(F.col("alignment_score")).alias("score"))
+
+
+def _unlike(scored: DataFrame, lines: DataFrame, k: int) -> DataFrame:
+    """The k best candidates of each question that aren't near repeats of better ones, numbered anew."""
+    every = retrieval.best(scored, None).select("query_id", "rank", "doc_id", "pos", "alignment_score", "confidence")
+    return retrieval.renumbered(retrieval.without_near_duplicates(retrieval.with_context(every, lines), k=k))
+
+
+def _passages(scored: DataFrame, lines: DataFrame) -> DataFrame:
+    cited = retrieval.citation_confidence(F.col("alignment_score"), F.col("confidence"), F.lit(None).cast("double"), F.col("rank") <= 3)
+    return retrieval.with_context(_unlike(scored, lines, 8), lines).select("query_id", "rank", "doc_id", "pos", "context", cited.alias("citation_confidence"))
 
 
 @query()
 def near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The hits of each question, widened by the lines around them, without near repeats."""
-    hits, lines = _ranked(spark, sf_dir, 25)
-    return retrieval.without_near_duplicates(retrieval.with_context(hits, lines))
+    """The 25 best hits of each question when near repeats among all its hits, widened by the lines around them, are out."""
+    return _unlike(*_scored(spark, sf_dir), 25).select("query_id", "rank", "doc_id", "pos")
 
 
 @query()
 def best_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Passages that answer benchmark questions, with the confidence of their citation."""
-    hits, lines = _ranked(spark, sf_dir, 25)
-    wide = retrieval.with_context(hits, lines)
-    kept = retrieval.without_near_duplicates(wide).select("query_id", "rank")
-    cited = retrieval.citation_confidence(F.col("alignment_score"), F.col("confidence"), F.lit(None).cast("double"), F.col("rank") <= 3)
-    return wide.join(kept, ["query_id", "rank"]).where("rank <= 8").select("query_id", "rank", "doc_id", "pos", "context", cited.alias("citation_confidence"))
+    return _passages(*_scored(spark, sf_dir))
 
 
 @query(f"""WITH {sql.SECTIONED} SELECT doc_id, pos, string_agg(text, ' ') OVER (PARTITION BY doc_id, section ORDER BY pos ROWS BETWEEN 2 PRECEDING AND 4 FOLLOWING) AS context FROM sectioned""")
