@@ -156,8 +156,8 @@ def _match_sql(q: str, t: str) -> str:
 @query(f"""WITH {sql.LINES}, {_TERMS}, r AS (SELECT r.query_id, r.doc_id, r.pos, b.text AS q, l.text AS t FROM recall r JOIN benchmark b ON b.item_id = r.query_id JOIN lines l ON l.doc_id = r.doc_id AND l.pos = r.pos)
 SELECT query_id, doc_id, pos, floor(({_match_sql("q", "t")})::DOUBLE * 1000 + 0.5)::BIGINT AS text_match FROM r WHERE query_id < 3""")
 def text_match(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Overlap of recalled lines with three questions."""
-    lines, bench = views.lines(table(spark, sf_dir, "documents")), _bench(spark, sf_dir).where("query_id < 3")
+    """Overlap of recalled lines with benchmark questions."""
+    lines, bench = views.lines(table(spark, sf_dir, "documents")), _bench(spark, sf_dir)
     parts = lines.select("doc_id", "pos", retrieval.line_parts(F.col("text")).alias("l"))
     pairs = retrieval.keyword_recall(bench, lines).join(parts, ["doc_id", "pos"]).join(bench.select("query_id", retrieval.question_parts(F.col("text")).alias("q")), "query_id")
     return pairs.select("query_id", "doc_id", "pos", F.floor(retrieval.text_match(F.col("q"), F.col("l")) * 1000 + 0.5).cast("long").alias("text_match"))

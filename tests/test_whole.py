@@ -1,5 +1,9 @@
 """Queries over their whole input: brute force on small tables where a limit once cut it."""
 
+import random
+
+import pytest
+
 from evidra.plans import catalog
 
 
@@ -15,3 +19,30 @@ def test_ocr_lines_of_long_documents(spark, tmp_path):
     got = run(spark, tmp_path, "ocr_lines", documents=([(d, " ".join(w)) for d, w in texts.items()], "doc_id long, text string"))
     want = {(d, i // 100, i // 10 % 10): " ".join(w[i : i + 10]) for d, w in texts.items() for i in range(0, len(w), 10)}
     assert {(r.doc_id, r.block_num, r.line_num): r.text for r in got} == want and len(got) == len(want)
+
+
+def test_every_question_meets_lines_and_labels(spark, tmp_path):
+    bench = ([(i, f"where is the city number{i}") for i in range(12)], "item_id long, text string")
+    documents = ([(d, f"the city lies near number{d} and the coast") for d in range(12)], "doc_id long, text string")
+    got = run(spark, tmp_path, "text_match", benchmark=bench, documents=documents)
+    # each question shares two words with its own line; with the others one word and the beginnings of both
+    assert {(r.query_id, r.doc_id) for r in got} == {(q, d) for q in range(12) for d in range(12)}
+    kept = {r.query_id for r in got if r.text_match == max(x.text_match for x in got if x.query_id == r.query_id) and r.doc_id == r.query_id}
+    assert kept == set(range(12))
+    labels = run(spark, tmp_path, "label_value", benchmark=bench, region=([(0,)], "r_regionkey long"))
+    assert len(labels) == 12 * 6 and {r.match for r in labels if r.label == "City"} == {10000}
+
+
+@pytest.mark.parametrize(("query", "k", "worse"), [
+    ("knn_topk", 8, lambda a, b: -sum(x * y for x, y in zip(a, b))),
+    ("knn_l2", 5, lambda a, b: sum((x - y) ** 2 for x, y in zip(a, b))),
+])
+def test_every_fiftieth_vector_asks(spark, tmp_path, query, k, worse):
+    draw = random.Random(7)
+    made = {i: [float(draw.randint(-9, 9)) for _ in range(8)] for i in range(170)}
+    got = run(spark, tmp_path, query, embeddings=(list(made.items()), "vec_id long, embedding array<float>"))
+    want = set()
+    for q in (0, 50, 100, 150):
+        near = sorted((worse(made[q], v), i) for i, v in made.items() if i != q)[:k]
+        want |= {(q, i, n + 1) for n, (_, i) in enumerate(near)}
+    assert {(r.query_id, r.vec_id, r["rank"]) for r in got} == want
