@@ -46,3 +46,19 @@ def test_every_fiftieth_vector_asks(spark, tmp_path, query, k, worse):
         near = sorted((worse(made[q], v), i) for i, v in made.items() if i != q)[:k]
         want |= {(q, i, n + 1) for n, (_, i) in enumerate(near)}
     assert {(r.query_id, r.vec_id, r["rank"]) for r in got} == want
+
+
+def test_all_lines_are_evidence_for_all_facts(spark, tmp_path):
+    n = 40
+    text = "\n".join(f"Fact alpha{i} beta{i} gamma{i} holds {i + 100} units." for i in range(n))
+    documents = ([(1, text)], "doc_id long, text string")
+    assert {r.pos for r in run(spark, tmp_path, "citations", documents=documents)} == set(range(n))
+    by_score = sorted(range(n), key=lambda p: (-((p * 37 + 1) % 101), p))[:15]
+    shown = run(spark, tmp_path, "raw_evidence", documents=documents)
+    assert [r.text.split()[1] for r in sorted(shown, key=lambda r: r["rank"])] == [f"alpha{p}" for p in by_score]
+    edges = run(spark, tmp_path, "evidence_subgraph", documents=documents)
+    assert {r.dst for r in edges if r.relationship == "RETRIEVES"} == {f"evidence:1:{p}" for p in by_score}
+    (parts,) = run(spark, tmp_path, "confidence_breakdown", documents=documents)
+    assert parts.semantic_alignment == int(sum((p * 37 + 1) % 101 for p in range(n)) / n * 10 + 0.5)
+    found = run(spark, tmp_path, "fact_sources", documents=documents)
+    assert {(r.nth, r.pos, r.grounded) for r in found} == {(i, i, True) for i in range(n)}
