@@ -88,12 +88,22 @@ def fallback_sentences(evidence: DataFrame, k: int = 3) -> DataFrame:
     return once.withColumn("r", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("overlap"), "rank", "nth"))).where(F.col("r") <= k)
 
 
-def label_matches(label: Column, question: Column) -> Column:
-    """How well the label of a 'label: value' line names what a question asks for: 1 a word, 0.7 a beginning."""
-    asked = F.filter(F.array_distinct(tokens(question)), lambda w: (F.char_length(w) > 2) & ~w.isin(rules.RECALL_STOP[:27]))
+def hint_words(question: Column) -> Column:
+    """Words of a question that say what it asks for."""
+    return F.filter(F.array_distinct(tokens(question)), lambda w: (F.char_length(w) > 2) & ~w.isin(rules.RECALL_STOP[:27]))
+
+
+def expanded_hints(question: Column) -> Column:
+    """Those words and the labels that can stand for them."""
+    asked = hint_words(question)
     none = F.array().cast("array<string>")
     added = [F.when(F.array_contains(asked, trigger), literals(names.split())).otherwise(none) for trigger, names in rules.LABEL_SYNONYMS.items()]
-    hints = F.array_distinct(F.concat(asked, *added))
+    return F.array_distinct(F.concat(asked, *added))
+
+
+def label_matches(label: Column, question: Column) -> Column:
+    """How well the label of a 'label: value' line names what a question asks for: 1 a word, 0.7 a beginning."""
+    hints = expanded_hints(question)
 
     def one(word: Column) -> Column:
         begins = F.exists(hints, lambda h: (F.char_length(word) >= 4) & (F.char_length(h) >= 4) & (F.substring(word, 1, 4) == F.substring(h, 1, 4)))

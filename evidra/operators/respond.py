@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from evidra.functions import rules
 from evidra.functions.text import common, has_any, strip, tokens, words
+from evidra.operators import answers
 
 
 def within_budget(lines: DataFrame, budget: int, *group: str) -> DataFrame:
@@ -111,15 +112,30 @@ def authorship_context(typed: DataFrame, max_chars: int = 9000, max_lines: int =
 
 
 def extractive_answers(evidence: DataFrame, label_match: Column, least: float = 0.3) -> DataFrame:
-    """The best value of a 'label: value' line whose label names what is asked for. Evidence also holds ``question``;
-    ``label_match`` scores its column ``label``."""
+    """The best span for each question, by the first of three ways that a line allows: the value of a 'label: value' line
+    whose label names what is asked for; a line of up to 20 words with names or numbers that shares words with the question or
+    their synonyms; a line of up to 25 words that shares words with it. Evidence also holds ``question``; ``label_match``
+    scores its column ``label``."""
     pattern = r"^([A-Za-z][A-Za-z\s]{0,30})\s*[:\-–—]\s*(.+)"
-    line = evidence.withColumn("line", F.explode(F.split("text", "\n"))).withColumn("line", strip(F.col("line")))
+    w = r"[\p{L}\p{N}_]"
+    edge = f"(?:(?<={w})(?!{w})|(?<!{w})(?={w}))"
+    found = lambda p: F.size(F.array_distinct(F.regexp_extract_all("line", F.lit(p), 0)))
+    line = evidence.select("*", F.posexplode(F.split("text", "\n")).alias("nth", "line")).withColumn("line", strip(F.col("line"))).where("line <> ''")
     parts = line.withColumn("label", F.lower(strip(F.regexp_extract("line", pattern, 1)))).withColumn("value", strip(F.regexp_extract("line", pattern, 2)))
-    scored = parts.where("label <> '' AND length(value) > 1").withColumn("match", label_match).where("match >= 0.7")
-    valued = scored.withColumn("score", F.col("alignment_score") + 0.3 + 0.12 * F.col("match")).where(F.col("score") > least)
-    best = valued.withColumn("r", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc(F.round("score", 9)), "doc_id", "pos"))).where("r = 1")
-    return best.select("query_id", F.regexp_replace("value", r"\.+$", "").alias("answer"), "doc_id", "pos")
+    seen, n = F.array_distinct(tokens(F.col("line"))), F.size(words(F.col("line")))
+    counted = parts.withColumn("match", label_match).withColumns({
+        "valuable": found(f"{edge}[A-Z][a-z]{{2,}}{edge}") + found(rf"{edge}\p{{Nd}}[\p{{Nd}}.,]*{edge}"),
+        "expanded": F.size(F.array_intersect(answers.expanded_hints(F.col("question")), seen)),
+        "shared": F.size(F.array_intersect(answers.hint_words(F.col("question")), seen)),
+        "n": n,
+    })
+    labelled = (F.col("label") != "") & (F.char_length("value") > 1) & (F.col("match") >= 0.7)
+    high, short = (F.col("valuable") >= 1) & (F.col("n") <= 20) & (F.col("expanded") > 0), (F.col("shared") > 0) & (F.col("n") <= 25)
+    added = F.when(labelled, 0.3 + 0.12 * F.col("match")).when(high, 0.06 * F.col("expanded") + 0.04 * F.col("valuable")).when(short, 0.05 * F.col("shared"))
+    scored = counted.withColumn("score", F.col("alignment_score") + added).withColumn("span", F.when(labelled, F.col("value")).otherwise(F.col("line")))
+    order = Window.partitionBy("query_id").orderBy(F.desc(F.round("score", 9)), "doc_id", "pos", "nth")
+    best = scored.where(F.col("score") > least).withColumn("r", F.row_number().over(order)).where("r = 1")
+    return best.select("query_id", strip(F.regexp_replace("span", r"\.+$", "")).alias("answer"), "doc_id", "pos")
 
 
 def claim_backlinks(hits: DataFrame, edges: DataFrame, claims: DataFrame, factor: float = 0.65) -> DataFrame:

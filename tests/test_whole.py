@@ -4,6 +4,9 @@ import random
 
 import pytest
 
+from pyspark.sql import functions as F
+
+from evidra.operators import answers, respond
 from evidra.plans import catalog
 
 
@@ -62,3 +65,28 @@ def test_all_lines_are_evidence_for_all_facts(spark, tmp_path):
     assert parts.semantic_alignment == int(sum((p * 37 + 1) % 101 for p in range(n)) / n * 10 + 0.5)
     found = run(spark, tmp_path, "fact_sources", documents=documents)
     assert {(r.nth, r.pos, r.grounded) for r in found} == {(i, i, True) for i in range(n)}
+
+
+def test_every_order_has_an_answer(spark, tmp_path):
+    import datetime
+
+    made = [(i, i % 7, datetime.date(1996, 1, 2), 173.5, f"{i % 5}-LEVEL", "O") for i in range(1, 61)]
+    schema = "o_orderkey long, o_custkey long, o_orderdate date, o_totalprice double, o_orderpriority string, o_orderstatus string"
+    got = run(spark, tmp_path, "extractive_answer", orders=(made, schema))
+    assert {r.query_id: r.answer for r in got} == {i: f"{i % 5}-LEVEL" for i in range(1, 61)}
+
+
+def test_extractive_answers_in_three_ways(spark):
+    question = "Who is the author of the bridge study?"
+    rows = [
+        (1, 1, 0, "the study of the bridge\nAuthors: Jane Roe.", 0.2),  # label and value
+        (2, 1, 0, "the study of bridge decks", 0.3), (2, 1, 1, "A study by Doe from 1999.", 0.3),  # 0.36 + 2 names or numbers
+        (3, 1, 0, "nothing here", 0.9), (3, 1, 1, "the study of bridge decks...", 0.3),  # 0.4: shares two words
+        (4, 1, 0, "the study", 0.2),  # 0.25: too little
+        (5, 1, 0, "Bridge " + "word " * 19 + "end", 0.3), (5, 1, 1, "study " + "word " * 25, 0.9),  # over 20 words; over 25
+        (6, 1, 0, "Note: the Bridge", 0.3),  # a label that isn't asked for falls to the next way
+    ]
+    evidence = spark.createDataFrame(rows, "query_id int, doc_id long, pos int, text string, alignment_score double").withColumn("question", F.lit(question))
+    got = respond.extractive_answers(evidence, answers.label_matches(F.col("label"), F.col("question")))
+    want = {1: "Jane Roe", 2: "A study by Doe from 1999", 3: "the study of bridge decks", 5: "Bridge " + "word " * 19 + "end", 6: "Note: the Bridge"}
+    assert {r.query_id: r.answer for r in got.collect()} == want
