@@ -121,10 +121,10 @@ SELECT kind, doc_id, pos, score::BIGINT AS score100 FROM h WHERE score IS NOT NU
 
 @query(_scan_sql())
 def metadata_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Lines that look like dates, mail addresses, identifiers, titles, keywords or publishers."""
-    kinds = spark.createDataFrame([(k, k) for k in ("date", "email", "doi", "title", "keyword", "publisher")], "query_id string, kind string")
-    found = retrieval.metadata_scan(kinds, typed_lines(spark, sf_dir))
-    return found.select(F.col("query_id").alias("kind"), "doc_id", "pos", F.round(F.col("score") * 100).cast("long").alias("score100"))
+    """Lines that look like the metadata that questions ask for, of all nine kinds."""
+    intents = views.questions(spark, sf_dir).select("query_id", F.explode(questions.metadata_intents(F.col("text"))).alias("kind"))
+    found = retrieval.metadata_scan(intents, typed_lines(spark, sf_dir))
+    return found.select("query_id", "doc_id", "pos", F.round(F.col("score") * 100).cast("long").alias("score100"))
 
 
 @query(f"""WITH {sql.SECTIONED}, {_TERMS}, n AS (SELECT doc_id, pos, section, lead(pos) OVER o AS np, lead(section) OVER o AS ns FROM sectioned WINDOW o AS (PARTITION BY doc_id ORDER BY pos)),

@@ -90,3 +90,26 @@ def test_extractive_answers_in_three_ways(spark):
     got = respond.extractive_answers(evidence, answers.label_matches(F.col("label"), F.col("question")))
     want = {1: "Jane Roe", 2: "A study by Doe from 1999", 3: "the study of bridge decks", 5: "Bridge " + "word " * 19 + "end", 6: "Note: the Bridge"}
     assert {r.query_id: r.answer for r in got.collect()} == want
+
+
+def test_questions_scan_for_all_kinds(spark, tmp_path):
+    asked = {
+        0: "who is the author", 1: "which title has it", 2: "on which date", 3: "which journal", 4: "which university",
+        5: "an email please", 6: "the doi please", 7: "an abstract please", 8: "the keywords please", 9: "no such thing", 10: "its title and date",
+    }
+    lines = [
+        "Jane Roe", "Title: a", "Date: 1999", "Journal: b", "School: c", "x@host.org", "doi: 10.1234/z", "Abstract: d", "Keywords: e", "7 plain words only",
+        *["..."] * 80, "Title: later",
+    ]
+    got = run(
+        spark, tmp_path, "metadata_scan",
+        benchmark=(list(asked.items()), "item_id long, text string"), documents=([(1, "\n".join(lines))], "doc_id long, text string"),
+        conversations=([(7, 0, "user", "Who is the AUTHOR?"), (7, 1, "assistant", "the title")], "conv_id long, turn int, role string, text string"),
+    )
+    score = {(r.query_id, r.pos): r.score100 for r in got}
+    assert {q for q, _ in score} == {f"b{i}" for i in asked if i != 9} | {"c7.0"}
+    for i in range(9):
+        assert score[f"b{i}", i] >= 90
+    assert score["b1", 90] in (65, 70) and score["b10", 1] >= 90 and score["b10", 2] >= 90
+    assert score["b0", 9] == 45 and ("b1", 9) not in score  # the weak rule of authors only
+    assert {p: s for (q, p), s in score.items() if q == "c7.0"} == {p: s for (q, p), s in score.items() if q == "b0"}
