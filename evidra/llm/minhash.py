@@ -319,16 +319,17 @@ def near_duplicate_classes(docs: DataFrame, similarity: float = SIMILARITY, word
     named = nodes.select("node", "rep").join(labels, "node", "left").select("node", "rep", F.coalesce("comp", "node").alias("comp"))
     named = written(named, "components")
     smallest = written(named.groupBy("comp").agg(F.min("rep").alias("class_id")), "classes")
-    classes = written(named.join(smallest, "comp").select(F.col("node").alias("of"), "class_id"), "node-classes")
+    classes = written(named.join(smallest, "comp").select(F.col("node").alias("of"), "class_id", F.col("comp").alias("_ev_class")), "node-classes")
     return marked.join(classes, marked["node"] == classes["of"], "left").select(
-        "doc_id", F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"), "_ev_row"
+        "doc_id", F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"), "_ev_row", "_ev_class"
     )
 
 
 def drop_near_duplicates(docs: DataFrame, **parameters) -> DataFrame:
-    """The documents, same columns, with one of each class: that with the smallest doc_id."""
+    """The documents, same columns, with one of each class: that with the smallest doc_id. Classes that share it, as a
+    doc_id with different texts makes them, keep one each."""
     classes = near_duplicate_classes(docs, **parameters).where("doc_id <=> class_id")
-    once = classes.withColumn("nth", F.row_number().over(Window.partitionBy("class_id").orderBy("_ev_row"))).where("class_id IS NULL OR nth = 1")
+    once = classes.withColumn("nth", F.row_number().over(Window.partitionBy("class_id", "_ev_class").orderBy("_ev_row"))).where("class_id IS NULL OR _ev_class IS NULL OR nth = 1")
     kept = written(once.select(F.col("doc_id").alias("_ev_doc"), "_ev_row").distinct(), "kept")
     same = docs["doc_id"].eqNullSafe(kept["_ev_doc"]) & (F.xxhash64(docs["text"]) == kept["_ev_row"])
     return docs.join(kept, same, "left_semi").dropDuplicates(["doc_id", "text"])

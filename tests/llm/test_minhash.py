@@ -74,6 +74,13 @@ def test_one_of_each_class_stays(make_docs):
     assert drop_near_duplicates(make_docs([]).limit(0)).count() == 0
 
 
+def test_texts_of_one_id_stay_apart(make_docs):
+    one, two = (" ".join(f"{c}{i}" for i in range(60)) for c in "ab")
+    rows = [(1, one, "s"), (1, two, "s"), (2, one + " end", "s"), (3, two + " end", "s"), (1, "", "s"), (1, " ", "s")]
+    kept = sorted((r.doc_id, r.text) for r in drop_near_duplicates(make_docs(rows)).collect())
+    assert kept == sorted([(1, one), (1, two), (1, ""), (1, " ")])
+
+
 def test_signatures_estimate_weighted_similarity():
     rng = np.random.default_rng(0)
     elements = mixed(rng.integers(0, 2**63, 300, dtype=np.uint64))
