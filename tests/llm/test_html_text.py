@@ -1,6 +1,11 @@
+import os
+import random
+import time
+from html.parser import HTMLParser
+
 import pytest
 
-from evidra.llm.html_text import extract, main_text
+from evidra.llm.html_text import AROUND, extract, main_text
 
 LONG = "This paragraph of the article goes on for quite some time so that it stands out among the lines of the page."
 
@@ -29,9 +34,146 @@ def test_main_text(html, text):
     assert main_text(html) == text
 
 
-def test_broken_markup_stays_linear():
-    assert main_text("<article>" + '<a b="' * 20_000) is not None
+BROKEN = ['<a "x ', "<a ", '<a b="', '<a ="', "<!-", "<script ", "<div>", "<b>", "<li>", "<p><b>x", "&a", "<a class = ", "<a b='\" "]
+
+
+@pytest.mark.parametrize("piece", BROKEN)
+def test_broken_markup_stays_linear(piece):
+    began = time.perf_counter()
+    assert main_text("<article>" + piece * 200_000) is not None
+    assert main_text(piece * 200_000 + "</p>" * 200_000 + ">") is not None
+    assert time.perf_counter() - began < 10
+
+
+def test_long_pages_are_whole():
     assert len(main_text("<article>" + "<p>word</p>" * 50_000 + "</article>")) == 50_000 * 5 - 1
+    assert len(main_text("<article><p>" + "w " * 2_000_000)) == 4_000_000 - 1
+
+
+MENU = "".join(f"<li><a href=/{i}>Entry {i}</a></li>" for i in range(5))
+
+
+@pytest.mark.parametrize(
+    ("html", "text"),
+    [
+        (f"<article><ul>{MENU}</ul><h1><a>Head</a></h1><p>{LONG}</p><ul>{MENU}</ul></article>", f"Head {LONG}"),
+        (f"<article><p><a>Up</a></p><p>{LONG}</p><p><a>Source</a></p></article>", f"Up {LONG} Source"),
+        (f"<article><p>{LONG}</p><div class=ad>{LONG}</div><p>End</p></article>", f"{LONG} End"),
+        (f"<div>{MENU}</div><p>{LONG}</p><ul>{MENU}</ul><p>{LONG}</p><ul>{MENU}</ul>", f"{LONG} {LONG}"),
+        (f"<p>{LONG}</p>" + "<p>x</p>" * 9 + f"<p>{LONG}</p>" + "<p>y</p>" * 9, " ".join([LONG, *"x" * 9, LONG, "y", "y"])),
+        (f"<form id=aspnet><p>{LONG * 8}</p><label>Name</label></form>", LONG * 8),
+        (f"<div>We use things.</div><article><p>{LONG}</p></article><div>Made by us.</div>", LONG),
+    ],
+)
+def test_windows_decide(html, text):
+    assert main_text(html) == text
+
+
+class Walk(HTMLParser):
+    """Lines of well-formed pages with the elements around them."""
+
+    def __init__(self):
+        super().__init__(convert_charrefs=True)
+        self.path, self.lines, self.parts = [], [], []
+
+    def cut(self):
+        text = " ".join("".join(p for p, _ in self.parts).split())
+        if text and not any(n in ("head", "script", "style") for n, _ in self.path):
+            plain = " ".join("".join(p for p, a in self.parts if not a).split())
+            self.lines.append((text, len(text) - len(plain), list(self.path)))
+        self.parts = []
+
+    def handle_starttag(self, tag, attrs):
+        if tag not in ("a", "b"):
+            self.cut()
+        if tag not in ("meta", "br"):
+            self.path.append((tag, " ".join(v or "" for k, v in attrs if k in ("class", "id", "role"))))
+
+    def handle_endtag(self, tag):
+        if tag not in ("a", "b"):
+            self.cut()
+        self.path.pop()
+
+    def handle_data(self, data):
+        names = [n for n, _ in self.path]
+        self.parts.append((data, "a" in names and "h1" not in names))
+
+
+def walked(html):
+    """The text of a page by the definition, window by window."""
+    walk = Walk()
+    walk.feed(html)
+    walk.cut()
+    rows = []
+    for text, linked, path in walk.lines:
+        names = [n for n, _ in path]
+        around = not {"nav", "footer", "aside"}.isdisjoint(names) or any(set(c.split()) & AROUND for _, c in path)
+        rows.append((text, len(text) - 2 * linked, around, "form" in names, "article" in names))
+    named = any(article and not around for *_, around, _, article in rows)
+    weights = [
+        n / 16 - 320 if around else n / 4 - 100 if form else (n + 80 if n >= 0 else n) if article else n / 8 - 160 if named else n
+        for _, n, around, form, article in rows
+    ]
+    n = len(rows)
+    hard = {i for i in range(n) if weights[i] <= -80}
+
+    def windows(i):
+        for k in (1, 2, 3):
+            if i + k <= n and hard.isdisjoint(range(i, i + k)):
+                yield sum(weights[i : i + k])
+
+    surge = [weights[i] > 0 and max(windows(i), default=-1) >= 80 for i in range(n)]
+    dive = [i in hard or max(windows(i)) <= 0 for i in range(n)]
+    kept = set()
+    for i in range(n):
+        before = next((j for j in range(i, -1, -1) if surge[j] or dive[j]), None)
+        if before is None or not surge[before]:
+            continue
+        after = next((j for j in range(i + 1, n) if surge[j] or dive[j]), None)
+        if after is not None and surge[after] or i < before + 3:
+            kept.add(i)
+    for i in range(n):  # short runs of article lines between text and a break
+        if i in kept or i in hard:
+            continue
+        low = next((j for j in range(i, -1, -1) if j in hard), -1)
+        high = next((j for j in range(i, n) if j in hard), n)
+        inside = [j for j in range(low + 1, high) if j in kept]
+        if inside and (i < inside[0] and inside[0] - low <= 3 and all(rows[j][4] for j in range(low + 1, inside[0]))
+                       or i > inside[-1] and high - inside[-1] <= 3 and all(rows[j][4] for j in range(inside[-1] + 1, high))):
+            rows[i] = (*rows[i][:5], True)
+    found = [i for i in range(n) if i in kept or len(rows[i]) > 5]
+    return " ".join(rows[i][0] for i in found or [i for i in range(n) if weights[i] > 0])
+
+
+def random_page(r):
+    def block(depth):
+        kind = r.random()
+        words = " ".join(r.choice(("of", "river", "A&amp;B", "walks")) for _ in range(r.choice([1, 2, 5, 30])))
+        if kind < 0.4 or depth > 4:
+            return f"<p>{words}</p>"
+        if kind < 0.6:
+            return f"<p><a>{words}</a>{r.choice(['', ' more'])}</p>"
+        if kind < 0.7:
+            return f"<h1>{r.choice(['', '<a>'])}Head{words}</h1>".replace("<a>Head", "<a>Head</a> ")
+        name = r.choice(["div", "div class=ad", "section", "article", "nav", "aside", "form", "div id=x"])
+        return f"<{name}>" + "".join(block(depth + 1) for _ in range(r.randint(1, 6))) + f"</{name.split()[0]}>"
+
+    return "<html><head><title>t</title><style>p{}</style></head><body>" + "".join(block(0) for _ in range(r.randint(1, 12))) + "</body></html>"
+
+
+def test_equals_a_walk_over_the_tree():
+    r = random.Random(4)
+    for _ in range(3000):
+        html = random_page(r)
+        assert main_text(html) == walked(html), html
+
+
+def test_equals_the_walk_on_given_pages(spark):
+    path = "/root/testdata/sf0.001/pages.parquet"
+    if not os.path.exists(path):
+        pytest.skip("no test data")
+    for html, text in extract(spark.read.parquet(path)).join(spark.read.parquet(path).select("page_id", "html"), "page_id").select("html", "text").collect():
+        assert text == walked(html.replace("<p><b>", "<p>").replace("<br>", "</p>"))
 
 
 def test_rows(spark):
