@@ -6,8 +6,9 @@ stored bytes are hashed again on reading. ``records`` stores the exact header bl
 its payload is found under. The original records come back through a join on the digest.
 
 Defined cases: a null html is an empty payload; the response among records of equal payload is the smallest page_id
-(nulls last), rows that repeat it are responses too; a null url leaves an empty target URI; extra columns are
-ignored; an empty table gives an empty archive.
+(nulls last), rows that repeat it are responses too; a null url leaves an empty target URI; white space and control
+characters of a url, which could end a header line, are percent-encoded in UTF-8, all else of it is kept; extra columns
+are ignored; an empty table gives an empty archive.
 """
 
 from __future__ import annotations
@@ -19,6 +20,9 @@ from evidra.llm.common import scratch_path, table
 
 CRLF = "\r\n"
 BASE32 = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
+DATE, CONTENT_TYPE = "1970-01-01T00:00:00Z", "text/html; charset=utf-8"
+#: Characters that may not stand in a header's URI: controls, white space and what some readers take for a line end.
+UNSAFE = [*range(0x21), 0x7F, 0x85, 0x2028, 0x2029]
 
 
 def base32_sha1(sha1_hex: Column) -> Column:
@@ -30,6 +34,15 @@ def base32_sha1(sha1_hex: Column) -> Column:
     return F.concat(*letters)
 
 
+def safe_uri(url: Column) -> Column:
+    """A url in one line: unsafe characters are percent-encoded; an empty text for null."""
+    plain = F.coalesce(url, F.lit(""))
+    encoded = plain
+    for code in UNSAFE:
+        encoded = F.replace(encoded, F.lit(chr(code)), F.lit("".join(f"%{b:02X}" for b in chr(code).encode())))
+    return F.when(F.rlike(plain, F.lit(r"[\x00-\x20\x7F\x{85}\x{2028}\x{2029}]")), encoded).otherwise(plain)
+
+
 def _merge_payloads(pages: DataFrame, min_payload: int) -> DataFrame:
     """One row per payload: its bytes, digests, and the record that stands for it."""
     with_digest = pages.select("page_id", F.coalesce("html", F.lit("")).cast("binary").alias("payload")).withColumn("sha256", F.sha2("payload", 256))
@@ -52,8 +65,9 @@ def _merge_payloads(pages: DataFrame, min_payload: int) -> DataFrame:
     )
 
 
-def write_archive(pages: DataFrame, path: str, min_payload: int = 0) -> None:
-    """Write ``payloads`` and ``records`` of an archive under ``path``; page_id and url of a page name its record."""
+def write_archive(pages: DataFrame, path: str, min_payload: int = 0, date: str = DATE) -> None:
+    """Write ``payloads`` and ``records`` of an archive under ``path``; page_id and url of a page name its record,
+    ``date`` (UTC, in ISO 8601) is when they were captured."""
     _merge_payloads(pages, min_payload).write.parquet(f"{path}/payloads")
     stored = pages.sparkSession.read.parquet(f"{path}/payloads").drop("payload")
     named = pages.select("page_id", "url", F.sha2(F.coalesce("html", F.lit("")).cast("binary"), 256).alias("sha256"))
@@ -69,11 +83,13 @@ def write_archive(pages: DataFrame, path: str, min_payload: int = 0) -> None:
         F.lit(f"WARC/1.1{CRLF}"),
         field("WARC-Type", F.when(is_response, "response").otherwise("revisit")),
         field("WARC-Record-ID", identifier("page_id")),
-        field("WARC-Target-URI", F.coalesce("url", F.lit(""))),
+        field("WARC-Date", date),
+        field("WARC-Target-URI", safe_uri(F.col("url"))),
         field("WARC-Payload-Digest", F.concat(F.lit("sha1:"), "digest")),
         F.when(is_response, F.lit("")).otherwise(
             F.concat(field("WARC-Refers-To", identifier("owner")), field("WARC-Profile", "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"))
         ),
+        field("Content-Type", CONTENT_TYPE),
         field("Content-Length", F.when(is_response, F.col("payload_bytes")).otherwise(0).cast("string")),
         F.lit(CRLF),
     )
@@ -105,17 +121,32 @@ def read_archive(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
-def original_records(archive: DataFrame) -> DataFrame:
-    """Each record's bytes as a WARC file holds them: header block, payload of responses, two line ends."""
+def record_bytes() -> Column:
+    """A record of an archive that was read, as a WARC file holds it: header block, payload of responses, two line
+    ends."""
     body = F.when(F.col("record_type") == "response", F.col("payload")).otherwise(F.lit(b""))
-    return archive.select("page_id", F.concat(F.col("header").cast("binary"), body, F.lit((CRLF * 2).encode())).alias("record"))
+    return F.concat(F.col("header").cast("binary"), body, F.lit((CRLF * 2).encode()))
+
+
+def original_records(archive: DataFrame) -> DataFrame:
+    """The bytes of each record."""
+    return archive.select("page_id", record_bytes().alias("record"))
 
 
 def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Archive all pages, read the archive back, and tell what each record is."""
+    """Archive all pages, read the archive back, and tell what each record is; its bytes are rebuilt and digested."""
     path = scratch_path(spark, "warc")
     write_archive(table(spark, sf_dir, "pages").select("page_id", "url", "html"), path)
-    return read_archive(spark, path).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+    archive = read_archive(spark, path)
+    return archive.select(
+        "page_id",
+        "payload_bytes",
+        "payload_digest",
+        "record_type",
+        "refers_to",
+        F.octet_length(record_bytes()).cast("long").alias("record_bytes"),
+        F.sha2(record_bytes(), 256).alias("record_sha256"),
+    )
 
 
 def _base32_sql(hex_sql: str) -> str:
@@ -123,14 +154,33 @@ def _base32_sql(hex_sql: str) -> str:
     return " || ".join(letter.format(h=hex_sql, a=10 * part + 1, s=35 - 5 * i) for part in range(4) for i in range(8))
 
 
+def _safe_sql(url: str) -> str:
+    for code in UNSAFE:
+        if code:  # DuckDB's texts hold no NUL
+            url = f"replace({url}, chr({code}), '{''.join(f'%{b:02X}' for b in chr(code).encode())}')"
+    return url
+
+
 OP10_SQL = f"""
 WITH p AS (
-  SELECT page_id, coalesce(html, '') AS body, sha1(coalesce(html, '')) AS h FROM pages
+  SELECT page_id, coalesce(url, '') AS url, coalesce(html, '') AS body, sha1(coalesce(html, '')) AS h FROM pages
 ), o AS (
   SELECT *, min(page_id) OVER (PARTITION BY body) AS owner FROM p
+), r AS (
+  SELECT page_id, octet_length(encode(body))::BIGINT AS payload_bytes, {_base32_sql("h")} AS payload_digest,
+         page_id = owner AS is_response, owner, url, body, chr(13) || chr(10) AS e FROM o
+), w AS (
+  SELECT *, 'WARC/1.1' || e || 'WARC-Type: ' || CASE WHEN is_response THEN 'response' ELSE 'revisit' END || e
+    || 'WARC-Record-ID: <urn:page:' || page_id || '>' || e || 'WARC-Date: {DATE}' || e
+    || 'WARC-Target-URI: ' || {_safe_sql("url")} || e || 'WARC-Payload-Digest: sha1:' || payload_digest || e
+    || CASE WHEN is_response THEN '' ELSE 'WARC-Refers-To: <urn:page:' || owner || '>' || e
+         || 'WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest' || e END
+    || 'Content-Type: {CONTENT_TYPE}' || e
+    || 'Content-Length: ' || CASE WHEN is_response THEN payload_bytes ELSE 0 END || e || e
+    || CASE WHEN is_response THEN body ELSE '' END || e || e AS record FROM r
 )
-SELECT page_id, octet_length(encode(body))::BIGINT AS payload_bytes, {_base32_sql("h")} AS payload_digest,
-       CASE WHEN page_id = owner THEN 'response' ELSE 'revisit' END AS record_type,
-       CASE WHEN page_id = owner THEN NULL ELSE owner END AS refers_to
-FROM o
+SELECT page_id, payload_bytes, payload_digest, CASE WHEN is_response THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN is_response THEN NULL ELSE owner END AS refers_to,
+       octet_length(encode(record))::BIGINT AS record_bytes, sha256(record) AS record_sha256
+FROM w
 """
