@@ -2,7 +2,7 @@ import random
 import re
 from collections import Counter
 
-from evidra.llm.quality import base_features, featured_lines, fit_crf, judge, quality_filter, viterbi
+from evidra.llm.quality import MAX_LABELLED, base_features, content_share, featured_lines, fit_field, judge, quality_filter, shared_lines, viterbi
 
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -66,4 +66,59 @@ def test_without_labels_the_base_rule_decides(spark, make_docs):
     none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
     assert all(r.kept == (not r.base_failed) for r in judge(make_docs(good + bad), none).collect())
     assert judge(make_docs([]).limit(0), none).count() == 0
-    assert fit_crf([])[0].any() == False and featured_lines(None) == ([], [])  # noqa: E712
+    assert fit_field([]).emit[0] == [0.0, 0.0] and featured_lines(None) == ([], [], [])
+
+
+def mixed_corpus():
+    """Good documents with shared lines, bad ones with shouted lines around prose."""
+    r = random.Random(6)
+    shared = [prose(r, 9) for _ in range(4)]
+    shout = lambda n: " ".join(w.upper() + "!!" for w in prose(r, n).split())
+    good = ["\n".join(r.sample([prose(r, 25) for _ in range(4)] + r.sample(shared, r.randint(0, 2)), k=4)) for _ in range(80)]
+    bad = ["\n".join([shout(25) for _ in range(4)] + [prose(r, 20)]) for _ in range(50)]
+    return good, bad, shared
+
+
+def test_lines_of_one_document_get_both_labels():
+    good, bad, shared = mixed_corpus()
+    field = fit_field([(t, 1) for t in good[:60]] + [(t, 0) for t in bad[:40]])
+    right = []
+    for text in good[60:]:
+        marked = viterbi(featured_lines(text, field.shared)[0], field.emit, field.move)
+        right += [(y, x not in shared) for x, y in zip(text.split("\n"), marked, strict=True)]
+    assert sum(y == want for y, want in right) >= 0.9 * len(right)
+    assert {y for y, want in right if not want} == {0}
+    for text in bad[40:]:
+        features, sizes, _ = featured_lines(text, field.shared)
+        assert content_share(viterbi(features, field.emit, field.move), sizes) < 0.5
+
+
+def test_lines_of_copies_are_not_shared():
+    good, _, shared = mixed_corpus()
+    copies = [good[0]] * 50 + [good[1].replace("river", f"x{i}", 1) for i in range(5)]
+    assert not shared_lines(copies)
+    assert len(shared_lines(good)) == len(shared)
+
+
+def test_verdicts_are_those_of_the_best_paths(spark, make_docs):
+    import itertools
+
+    good, bad, _ = mixed_corpus()
+    rows = [(i, t, "s") for i, t in enumerate(good[:30] + bad[:20] + [None, "", "x", good[0] + "\n" + bad[0]])]
+    labels = spark.createDataFrame([(i, int(i < 30), 0) for i in range(50)], "doc_id long, quality int, toxic int")
+    docs = make_docs(rows)
+    from evidra.llm.quality import fitted
+
+    field = fitted(docs, labels, MAX_LABELLED)
+    got = {r.doc_id: r for r in judge(docs, labels).collect()}
+    for i, text, _ in rows:
+        features, sizes, _ = featured_lines(text, field.shared)
+        best = max(
+            itertools.product((0, 1), repeat=len(features)),
+            key=lambda p: sum(field.emit[f][y] for x, y in zip(features, p, strict=True) for f in x) + sum(field.move[a][b] for a, b in zip(p, p[1:], strict=False)),
+        )
+        share = sum(s for s, y in zip(sizes, best, strict=True) if y) / (sum(sizes) or 1)
+        words, _, _, _, covered = base(text)
+        failed = words < 50 or 100 * covered > 50 * words
+        assert (got[i].base_failed, got[i].kept, got[i].n_content_lines) == (failed, not failed and share >= 0.5, sum(best))
+    assert sum(got[i].kept for i in range(30)) >= 27 and not any(got[i].kept for i in range(30, 53))
