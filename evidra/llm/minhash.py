@@ -1,22 +1,28 @@
 """Near-duplicate classes by DartMinHash signatures, banding and exact verification.
 
-Signatures. Each element (a hashed shingle) owns the plane of weight x rank. Darts fall on it as a Poisson process
-whose places are drawn by hashing, so all documents see the same darts for an element; an element of weight w catches
-those below weight w. Every dart names one of K coordinates. Working through cells of rising rank, each coordinate keeps
-its earliest dart; the expected work is |elements| + K log K hashes, not |elements| x K. Two documents agree in a
-coordinate with the probability of their weighted Jaccard similarity.
+Signatures. A text is a weighted set: its distinct word shingles, each with the number of times it occurs. Each element
+(a hashed shingle) owns the plane of weight x rank. Darts fall on it as a Poisson process whose places are drawn by
+hashing, so all documents see the same darts for an element; an element of weight w catches those below weight w. Every
+dart names one of K coordinates. Working through cells of rising rank, each coordinate keeps its earliest dart; the
+expected work is total weight + K log K hashes, not K times as much. Two documents agree in a coordinate with the
+probability of their weighted Jaccard similarity, sum of smaller counts / sum of larger counts.
+
+Weights are whole numbers, so the region of an element is stacked from unit layers, and a weighted set is the plain set
+of its layers: (shingle, 1) to (shingle, count). Jaccard similarity of layers is the weighted one, exactly.
 
 Classes. Documents of equal words are one node. Nodes that agree in a whole band share a bucket. In each bucket all
-members are compared with one leader, and what the exact Jaccard similarity of the shingle sets confirms is united;
-buckets that still hold several classes get other leaders in the next round. Whatever is still apart after the
-rounds is compared in blocks of bounded size, pair by pair across classes, with signatures first and shingle sets
-then. So no link between bucket mates is lost, and a group of near copies costs a few comparisons a member. Exact
-copies are counted once, before anything is shuffled by bucket.
+members are compared with one leader, and what the exact similarity confirms is united; buckets that still hold several
+classes get other leaders in the next round. Whatever is still apart after the rounds is compared in pairs of blocks of
+bounded size, across classes, by size and signature first and by layers then. So no link between bucket mates is lost,
+and a group of near copies costs a few comparisons a member. Exact copies are counted once, before anything is shuffled
+by bucket. Nodes are told apart by two 64-bit prints of their words (128 bits); their names are 56 bits of the first
+and a number among those that agree in these.
 
 Defined cases: words are cut at ASCII white space and lower-cased; a text of fewer than five words is one shingle;
-a null text or one without words is a class of its own; a class is named by its smallest doc_id; rows that repeat a
-doc_id are rows of their own; extra columns are ignored by ``near_duplicate_classes`` and kept by
-``drop_near_duplicates``; an empty table gives an empty table.
+a null text or one without words is a class of its own; a class is named by its smallest doc_id, null if no member has
+one (``_ev_class`` tells such classes apart); rows that repeat a doc_id are rows of their own; extra columns are ignored
+by ``near_duplicate_classes`` and kept by ``drop_near_duplicates``, which keeps every row without words; an empty table
+gives an empty table.
 """
 
 from __future__ import annotations
@@ -29,10 +35,12 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from evidra.llm.common import map_rows, table, written
+from evidra.llm.common import WORD_RE, map_rows, table, written
 
 K, ROWS, WORDS, SIMILARITY = 120, 5, 5, 0.8
-ROUNDS, BLOCK, SLACK = 2, 256, 0.17  # SLACK: 4.6 standard deviations of a signature's estimate at 0.8
+ROUNDS, SLACK = 2, 0.17  # SLACK: 4.6 standard deviations of a signature's estimate at 0.8
+BLOCK, BLOCK_BYTES = 2048, 16 << 20  # nodes, and bytes of their layers, that a block holds on average
+PIECE = 1 << 18  # layers looked at together
 _U = np.uint64
 _PRIME = _U(0x9E3779B97F4A7C15)
 
@@ -59,12 +67,12 @@ def _levels() -> list[tuple[float, float, int, int, np.ndarray]]:
 LEVELS = _levels()
 
 
-def dart_signatures(elements: np.ndarray, owners: np.ndarray, n: int, k: int = K, caught: np.ndarray | None = None) -> np.ndarray:
-    """Signatures (n x k, 32-bit names of the earliest darts) of n sets at once.
+def dart_signatures(elements: np.ndarray, owners: np.ndarray, n: int, k: int = K, caught: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Signatures (n x k, 32-bit names of the earliest darts) of n sets at once, and the darts' ranks.
 
     elements: 64-bit hashes; owners: number of the set that holds each; caught: the weight, up to 1, that each holds (1
     if None). Sets whose coordinates are all filled leave, so later cells are looked at for small sets only."""
-    signature, empty = np.zeros(n * k, np.uint32), np.ones(n * k, bool)
+    signature, ranks, empty = np.zeros(n * k, np.uint32), np.full(n * k, np.inf), np.ones(n * k, bool)
     for start, width, cells, nth, p in LEVELS:
         if not len(elements):
             break
@@ -88,32 +96,53 @@ def dart_signatures(elements: np.ndarray, owners: np.ndarray, n: int, k: int = K
             keep = np.flatnonzero(keep)
             keep = keep[np.argsort(-rank[keep], kind="stable")]  # the earliest is written last
             signature[slot[keep]] = (more[keep] & _U(0xFFFFFFFF)).astype(np.uint32)
+            ranks[slot[keep]] = rank[keep]
             empty[slot[keep]] = False
             if first + per < cells and not empty.any():
                 break
         stay = empty.reshape(n, k).any(1)[owners]
         elements, owners = elements[stay], owners[stay]
         caught = caught[stay] if caught is not None else None
-    return signature.reshape(n, k)
+    return signature.reshape(n, k), ranks.reshape(n, k)
+
+
+def layered(elements: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """The unit layers of a weighted set: the elements themselves, and further ones for counts above 1."""
+    if counts.max(initial=0) <= 1:
+        return elements
+    layer = np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)
+    spread = np.repeat(elements, counts)
+    return np.where(layer == 0, spread, mixed(spread + layer.astype(_U) * _PRIME))
 
 
 def dart_signature(elements: np.ndarray, weights: np.ndarray | None = None, k: int = K) -> np.ndarray:
     """DartMinHash signature of one set.
 
-    elements: distinct 64-bit hashes; weights: positive, all 1 if None."""
+    elements: distinct 64-bit hashes; weights: positive, all 1 if None. Of an element's layers the last one catches only
+    darts below the rest of a weight that isn't whole."""
     if weights is None:
-        return dart_signatures(elements, np.zeros(len(elements), np.int64), 1, k)[0]
-    # Unit layers, of which the last catches only darts below the rest of the weight.
+        weights = np.ones(len(elements))
     layers = np.ceil(weights).astype(np.int64)
-    layer = np.concatenate([np.arange(n) for n in layers]).astype(_U)
+    layer = np.arange(layers.sum()) - np.repeat(np.cumsum(layers) - layers, layers)
     caught = np.minimum(1.0, np.repeat(weights, layers) - layer)
-    spread = np.repeat(elements, layers)
-    return dart_signatures(np.where(layer == 0, spread, mixed(spread + layer * _PRIME)), np.zeros(len(spread), np.int64), 1, k, caught)[0]
+    return dart_signatures(layered(elements, layers), np.zeros(len(layer), np.int64), 1, k, caught)[0][0]
 
 
 def _together(sets: list[np.ndarray], k: int) -> np.ndarray:
-    """Signatures of several sets."""
-    return dart_signatures(np.concatenate(sets), np.repeat(np.arange(len(sets)), [len(s) for s in sets]), len(sets), k)
+    """Signatures of several sets of layers; large sets are taken in pieces, of which each coordinate keeps the earliest
+    dart."""
+    out = np.zeros((len(sets), k), np.uint32)
+    small = [i for i, s in enumerate(sets) if len(s) <= PIECE]
+    if small:
+        out[small] = dart_signatures(np.concatenate([sets[i] for i in small]), np.repeat(np.arange(len(small)), [len(sets[i]) for i in small]), len(small), k)[0]
+    for i in (i for i, s in enumerate(sets) if len(s) > PIECE):
+        best = np.full(k, np.inf)
+        for at in range(0, len(sets[i]), PIECE):
+            piece = sets[i][at : at + PIECE]
+            signature, ranks = dart_signatures(piece, np.zeros(len(piece), np.int64), 1, k)
+            better = ranks[0] < best
+            out[i, better], best[better] = signature[0, better], ranks[0, better]
+    return out
 
 
 class Shingler:
@@ -123,7 +152,7 @@ class Shingler:
         self.words, self.kept, self.known = words, kept, {}
 
     def __call__(self, text: str | None) -> tuple[int, int, np.ndarray] | None:
-        """Node (print of the words), second print, and the sorted distinct shingle hashes; None without words."""
+        """Two prints of the words, and the sorted layers of the weighted shingle set; None without words."""
         words = (text or "").lower().encode().split()
         if not words:
             return None
@@ -142,7 +171,9 @@ class Shingler:
         shingle = np.zeros(n, _U)
         for i in range(min(self.words, len(words))):
             shingle = shingle * _PRIME + hashes[i : i + n]
-        return xxhash.xxh3_64_intdigest(joined) - 2**63, xxhash.xxh64_intdigest(joined) - 2**63, np.unique(mixed(shingle))
+        layers = layered(*np.unique(mixed(shingle), return_counts=True))
+        layers.sort()
+        return xxhash.xxh3_64_intdigest(joined) - 2**63, xxhash.xxh64_intdigest(joined) - 2**63, layers
 
 
 def band_hashes(signature: np.ndarray, rows: int = ROWS) -> np.ndarray:
@@ -202,13 +233,13 @@ def contracted(labels: DataFrame, links: DataFrame) -> DataFrame:
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
-    """Pairs (a, b, and the components ca, cb) whose shingle sets are as similar as asked."""
+    """Pairs (a, b, and the components ca, cb) whose sets of layers are as similar as asked."""
     need = f"cast(least(n, m) as double) >= {similarity} * greatest(n, m)"
-    with_a = pairs.join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("sa"), F.col("n")), "a")
-    with_b = with_a.join(sets.select(F.col("node").alias("b"), F.col("shingles").alias("sb"), F.col("n").alias("m")), "b").where(need)
+    with_a = pairs.join(sets.select(F.col("node").alias("a"), F.col("layers").alias("sa"), F.col("n")), "a")
+    with_b = with_a.join(sets.select(F.col("node").alias("b"), F.col("layers").alias("sb"), F.col("n").alias("m")), "b").where(need)
 
     def function(ca, cb, sa, sb):
-        if _similar(np.frombuffer(sa, np.uint32), np.frombuffer(sb, np.uint32), similarity):
+        if _similar(np.frombuffer(sa, _U), np.frombuffer(sb, _U), similarity):
             yield ca, cb
 
     return map_rows(with_b.select("ca", "cb", "sa", "sb"), "a long, b long", lambda: function)
@@ -216,25 +247,32 @@ def _verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame
 
 def _block_links(state: DataFrame, apart: DataFrame, sets: DataFrame, similarity: float, rows: int, block: int) -> DataFrame:
     """Links (a, b: components) between bucket mates of different components, found in pairs of blocks of bounded
-    size. A pair that shares several buckets is looked at in the one of its first common band."""
-    blocks = F.ceil(F.col("g") / block).cast("int")
-    placed = state.join(apart, "band").withColumn("mine", F.pmod(F.xxhash64(F.lit(7), "node"), blocks).cast("int"))
-    spread = placed.withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
+    size. A pair that shares several buckets is looked at in the one of its first common band. A bucket of g nodes sends
+    each of them to g / ``block`` tasks, or to one for every ``BLOCK_BYTES`` of its members' layers."""
+    in_bytes = state.join(sets.select("node", F.col("n").cast("long").alias("n")), "node").groupBy("band").agg((8 * F.sum("n")).alias("bytes"))
+    sizes = apart.join(in_bytes, "band").select("band", F.ceil(F.greatest(F.col("g") / block, F.col("bytes") / BLOCK_BYTES)).cast("int").alias("blocks"))
+    placed = state.join(written(sizes, "block-sizes"), "band").withColumn("mine", F.pmod(F.xxhash64(F.lit(7), "node"), "blocks").cast("int"))
+    spread = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     keyed = spread.select("band", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), "node", "comp")
     members = keyed.join(sets, "node")
 
     def function(key: tuple, group: pa.Table) -> pa.Table:
-        comps, band = group["comp"].to_numpy(), key[0].as_py()
+        comps, sizes, band = group["comp"].to_numpy(), group["n"].to_numpy(), key[0].as_py()
         signatures = np.stack([np.frombuffer(s.as_py(), np.uint32) for s in group["signature"]])
         bands = band_hashes(signatures, rows)
-        shingles = [np.frombuffer(s.as_py(), np.uint32) for s in group["shingles"]]
+        layers = group["layers"]
+        order = np.argsort(sizes, kind="stable")  # mates of x lie in a stretch of sizes
+        comps, sizes, signatures, bands = comps[order], sizes[order], signatures[order], bands[order]
+        ends = np.searchsorted(sizes, sizes / similarity + 1e-9, side="right")
         found: set[tuple[int, int]] = set()
         for x in range(len(comps) - 1):
-            close = (signatures[x + 1 :] == signatures[x]).mean(1) >= similarity - SLACK
-            for y in np.flatnonzero(close & (comps[x + 1 :] != comps[x])) + x + 1:
+            mates = np.flatnonzero(comps[x + 1 : ends[x]] != comps[x]) + x + 1
+            for y in mates[(signatures[mates] == signatures[x]).mean(1) >= similarity - SLACK] if len(mates) else ():
                 name = (min(int(comps[x]), int(comps[y])), max(int(comps[x]), int(comps[y])))
-                if name not in found and bands[x][(bands[x] == bands[y]).argmax()] == band and _similar(shingles[x], shingles[y], similarity):
-                    found.add(name)
+                if name not in found and bands[x][(bands[x] == bands[y]).argmax()] == band:
+                    a, b = (np.frombuffer(layers[int(order[z])].as_py(), _U) for z in (x, y))
+                    if _similar(a, b, similarity):
+                        found.add(name)
         return pa.table({n: pa.array([f[i] for f in found], pa.int64()) for i, n in enumerate("ab")})
 
     return members.groupBy("band", "i", "j").applyInArrow(function, "a long, b long")
@@ -248,15 +286,30 @@ def _similar(x: np.ndarray, y: np.ndarray, similarity: float) -> bool:
     return both >= similarity * (len(x) + len(y) - both) - 1e-9
 
 
+def _named(prints: DataFrame) -> DataFrame:
+    """Nodes (p1, p2, ...) with exact 64-bit names: 56 bits of the first print, and in the other eight a number among
+    the nodes that agree in these. Few nodes ever do, so only they are numbered and joined."""
+    prefix = F.col("p1").bitwiseAND(F.lit(-256))
+    alike = written(prints.groupBy(prefix.alias("prefix")).count().where("count > 1").select("prefix"), "alike")
+    if alike.isEmpty():
+        return prints.withColumn("node", prefix)
+    among = prints.select("p1", "p2", prefix.alias("prefix")).join(alike, "prefix")
+    nth = F.row_number().over(Window.partitionBy("prefix").orderBy("p1", "p2")) - 1
+    sound = F.when(nth < 256, nth).otherwise(F.raise_error(F.lit("more than 256 nodes agree in 56 bits")))
+    ranks = written(among.select("p1", "p2", sound.cast("long").alias("nth")), "numbers")
+    return prints.join(ranks, ["p1", "p2"], "left").withColumn("node", prefix.bitwiseOR(F.coalesce("nth", F.lit(0)))).drop("nth")
+
+
 def near_duplicate_classes(docs: DataFrame, similarity: float = SIMILARITY, words: int = WORDS, k: int = K, rows: int = ROWS, rounds: int = ROUNDS, block: int = BLOCK) -> DataFrame:
-    """Per document row: doc_id, class_id (smallest doc_id of its class) and ``_ev_row``, the print of its text."""
+    """Per document row: doc_id, class_id (smallest doc_id of its class), ``_ev_row``, the print of its text, and
+    ``_ev_class``, its class's inner name (null without words)."""
 
     def mark():
         shingler = Shingler(words)
 
         def prepare(doc_id, text, print_):
             found = shingler(text)
-            return ((doc_id, print_, None), None) if found is None else ((doc_id, print_, found[0]), found[2])
+            return ((doc_id, print_, None, None), None) if found is None else ((doc_id, print_, *found[:2]), found[2])
 
         def finish(held):
             sets = [s for _, s in held if s is not None]
@@ -266,28 +319,28 @@ def near_duplicate_classes(docs: DataFrame, similarity: float = SIMILARITY, word
         return prepare, finish
 
     texts = docs.select("doc_id", "text", F.xxhash64("text").alias("_ev_row"))
-    marked = written(_in_groups(texts, "doc_id long, _ev_row long, node long, bands array<long>", mark), "marked")
-    nodes = written(marked.where("node IS NOT NULL").groupBy("node").agg(F.min("doc_id").alias("rep"), F.first("bands").alias("bands")), "nodes")
+    marked = written(_in_groups(texts, "doc_id long, _ev_row long, p1 long, p2 long, bands array<long>", mark), "marked")
+    prints = written(marked.where("p1 IS NOT NULL").groupBy("p1", "p2").agg(F.min("doc_id").alias("rep"), F.first("bands").alias("bands")), "prints")
+    nodes = _named(prints)
     banded = nodes.select("node", F.explode("bands").alias("band"))
     shared = written(banded.groupBy("band").count().where("count > 1").select("band"), "shared-bands")
     grouped = written(banded.join(shared, "band"), "buckets")
-    needed = grouped.select("node").distinct().join(nodes.select("node", "rep"), "node")
+    needed = grouped.select("node").distinct().join(nodes.select("node", "rep", "p1", "p2"), "node")
 
     def sets_of():
         shingler = Shingler(words)
 
-        def prepare(node, text):
+        def prepare(node, p1, p2, text):
             found = shingler(text)
-            return (node, found[2]) if found is not None and found[0] == node else None
+            return (node, found[2]) if found is not None and found[:2] == (p1, p2) else None
 
         def finish(held):
-            short = [np.unique((s >> _U(32)).astype(np.uint32)) for _, s in held]
-            return [(node, len(x), x.tobytes(), y.tobytes()) for (node, _), x, y in zip(held, short, _together([s for _, s in held], k), strict=True)]
+            return [(node, len(x), x.tobytes(), y.tobytes()) for (node, x), y in zip(held, _together([s for _, s in held], k), strict=True)]
 
         return prepare, finish
 
-    chosen = docs.select("doc_id", "text").join(needed, F.col("doc_id").eqNullSafe(F.col("rep"))).select("node", "text")
-    sets = written(_in_groups(chosen, "node long, n int, shingles binary, signature binary", sets_of).dropDuplicates(["node"]), "shingle-sets")
+    chosen = docs.select("doc_id", "text").join(needed, F.col("doc_id").eqNullSafe(F.col("rep"))).select("node", "p1", "p2", "text")
+    sets = written(_in_groups(chosen, "node long, n int, layers binary, signature binary", sets_of).dropDuplicates(["node"]), "layer-sets")
     labels = written(needed.select("node", F.col("node").alias("comp")), "labels")
 
     def unite(links: DataFrame, labels: DataFrame) -> DataFrame:
@@ -316,23 +369,31 @@ def near_duplicate_classes(docs: DataFrame, similarity: float = SIMILARITY, word
     if not apart.isEmpty():
         labels = unite(_block_links(state, apart, sets, similarity, rows, block), labels)
 
-    named = nodes.select("node", "rep").join(labels, "node", "left").select("node", "rep", F.coalesce("comp", "node").alias("comp"))
+    named = nodes.select("p1", "p2", "node", "rep").join(labels, "node", "left").select("p1", "p2", "rep", F.coalesce("comp", "node").alias("comp"))
     named = written(named, "components")
     smallest = written(named.groupBy("comp").agg(F.min("rep").alias("class_id")), "classes")
-    classes = written(named.join(smallest, "comp").select(F.col("node").alias("of"), "class_id", F.col("comp").alias("_ev_class")), "node-classes")
-    return marked.join(classes, marked["node"] == classes["of"], "left").select(
-        "doc_id", F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"), "_ev_row", "_ev_class"
+    classes = written(named.join(smallest, "comp").select(F.col("p1").alias("of1"), F.col("p2").alias("of2"), "class_id", F.col("comp").alias("_ev_class")), "node-classes")
+    return marked.join(classes, (marked["p1"] == classes["of1"]) & (marked["p2"] == classes["of2"]), "left").select(
+        "doc_id", F.when(F.col("p1").isNull(), F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"), "_ev_row", "_ev_class"
     )
 
 
 def drop_near_duplicates(docs: DataFrame, **parameters) -> DataFrame:
     """The documents, same columns, with one of each class: that with the smallest doc_id. Classes that share it, as a
-    doc_id with different texts makes them, keep one each."""
-    classes = near_duplicate_classes(docs, **parameters).where("doc_id <=> class_id")
-    once = classes.withColumn("nth", F.row_number().over(Window.partitionBy("class_id", "_ev_class").orderBy("_ev_row"))).where("class_id IS NULL OR _ev_class IS NULL OR nth = 1")
-    kept = written(once.select(F.col("doc_id").alias("_ev_doc"), "_ev_row").distinct(), "kept")
-    same = docs["doc_id"].eqNullSafe(kept["_ev_doc"]) & (F.xxhash64(docs["text"]) == kept["_ev_row"])
-    return docs.join(kept, same, "left_semi").dropDuplicates(["doc_id", "text"])
+    doc_id with different texts makes them, keep one each; rows without words all stay. Whole texts meet the list of
+    what stays in one shuffle, or none where it is small enough to be sent; rows that repeat a doc_id and a text are
+    found in the same partitioning."""
+    kind = lambda doc, row: F.xxhash64(doc, row)
+    classes = near_duplicate_classes(docs, **parameters).where("_ev_class IS NOT NULL AND doc_id <=> class_id")
+    once = classes.groupBy("_ev_class").agg(F.min("class_id").alias("_ev_doc"), F.min("_ev_row").alias("_ev_print"))
+    kept = written(once.select("_ev_doc", "_ev_print", kind("_ev_doc", "_ev_print").alias("_ev_kind")).distinct(), "kept")
+    with_words = F.coalesce(F.rlike("text", F.lit(WORD_RE)), F.lit(False))
+    rows = docs.withColumn("_ev_words", with_words).withColumn("_ev_row", F.xxhash64("text"))
+    rows = rows.withColumn("_ev_nth", F.when(F.col("_ev_words"), 0).otherwise(F.monotonically_increasing_id()))
+    rows = rows.withColumn("_ev_key", F.when(F.col("_ev_words"), kind("doc_id", "_ev_row")).otherwise(F.xxhash64("_ev_nth")))
+    same = (rows["_ev_key"] == kept["_ev_kind"]) & rows["_ev_words"] & rows["doc_id"].eqNullSafe(kept["_ev_doc"]) & (rows["_ev_row"] == kept["_ev_print"])
+    stay = rows.join(kept, same, "left").where(~F.col("_ev_words") | F.col("_ev_kind").isNotNull())
+    return stay.dropDuplicates(["_ev_key", "doc_id", "_ev_row", "_ev_nth"]).select(*docs.columns)
 
 
 def op1_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
