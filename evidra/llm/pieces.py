@@ -8,7 +8,8 @@ position that failed once can be marked in a bit field and never be tried again.
 texts without a space.
 
 Words recur, so encodings of space-delimited stretches are kept in a bounded two-generation store; no piece of the
-model joins such stretches, which is checked when a model is loaded.
+model joins such stretches, which is checked when a model is loaded. A long stretch without a space takes a few bytes a
+character: lengths of matches, lengths of tokens and ids are flat arrays.
 
 Defined cases: a null or empty text has no tokens and decodes to the empty text; characters outside the model become
 their UTF-8 bytes; extra columns pass through ``encode``; an empty table gives an empty table.
@@ -16,10 +17,12 @@ their UTF-8 bytes; extra columns pass through ``encode``; an empty table gives a
 
 from __future__ import annotations
 
+import codecs
 import hashlib
 import re
+from array import array
 from collections import defaultdict
-from collections.abc import Callable, Iterable
+from collections.abc import Callable, Iterable, Iterator, Sequence
 from itertools import chain
 
 import ahocorasick
@@ -30,6 +33,11 @@ from evidra.llm.common import map_rows, table
 
 SPACE = "▁"
 MODEL = "piece_bpe_32k.model"
+PIECE = 4096  # stretches, or ids of a long one, that are printed and decoded together
+KEPT = 64  # characters of a stretch that may be kept
+_DECODER = codecs.getincrementaldecoder("utf-8")
+#: A stretch's ids as decimals joined by commas (None for a long one), and the ids.
+Entry = tuple[str | None, Sequence[int]]
 
 
 def default_model() -> str:
@@ -71,15 +79,14 @@ class PieceCodec:
                 self.raw.append(piece.replace(SPACE, " ").encode())
                 if not sp.is_unused(i):
                     self.score[piece], self.ids[piece] = sp.get_score(i), i
-        for piece in self.score:
-            if len(piece) > 1 and self.alone(piece):
-                self.automaton.add_word(piece, len(piece))
+        self.whole = frozenset(piece for piece in self.score if len(piece) > 1 and self.alone(piece))
+        for piece in self.whole:
+            self.automaton.add_word(piece, len(piece))
         self.automaton.make_automaton()
         self.cut = _cutter(self.score)
         self.kept, self.young, self.old = kept, {}, {}
         self.pairs: dict[str, dict[str, bool]] = defaultdict(dict)
         self.n_pairs = 0
-        self.printed = {piece: str(i) for piece, i in self.ids.items()}
 
     def merged(self, text: str) -> list[str]:
         """Merge encoding of a short text by its definition: best score first, leftmost among equals."""
@@ -110,62 +117,90 @@ class PieceCodec:
         """Whether a piece encodes to itself; others can't occur in an encoding."""
         return len(self.merged(piece)) == 1
 
-    def tokens(self, text: str) -> list[str]:
-        """Tokens of a stretch of normalised text, by backtracking."""
+    def lengths(self, text: str) -> array:
+        """Lengths of the tokens of a stretch of normalised text, by backtracking."""
         n = len(text)
-        starts: list[list[int]] = [[1] for _ in range(n)]  # any single character may stand alone
-        for end, length in self.automaton.iter(text):  # by end, so each start gets its lengths in rising order
-            starts[end - length + 1].append(length)
-        pairs, failed, stack, at, last = self.pairs, bytearray((n >> 3) + 1), [], 0, ""
+        left = array("H", [1]) * n  # longest match not tried yet
+        for end, length in self.automaton.iter(text):  # by end, so the last match of a start is its longest
+            left[end - length + 1] = length
+        pairs, whole, failed, stack, at, last = self.pairs, self.whole, bytearray((n >> 3) + 1), array("H"), 0, ""
         while at < n:
-            lengths = starts[at]
-            while lengths:
-                end = at + lengths.pop()
-                if failed[end >> 3] >> (end & 7) & 1:
-                    continue
-                token = text[at:end]
-                if last:
-                    fits = pairs[last].get(token)
-                    if fits is None:
-                        fits = self.fits(last, token)
-                    if not fits:
-                        continue
-                stack.append(token)
-                at, last = end, token
-                break
+            length = left[at]
+            while length:
+                end = at + length
+                if not failed[end >> 3] >> (end & 7) & 1:
+                    token = text[at:end]
+                    if last:
+                        fits = pairs[last].get(token)
+                        if fits is None:
+                            fits = self.fits(last, token)
+                    else:
+                        fits = True
+                    if fits:
+                        left[at] = length - 1
+                        stack.append(length)
+                        at, last = end, token
+                        break
+                length -= 1
+                while length > 1 and text[at : at + length] not in whole:
+                    length -= 1
             else:
                 failed[at >> 3] |= 1 << (at & 7)
-                at -= len(stack.pop())
-                last = stack[-1] if stack else ""
+                at -= stack.pop()
+                last = text[at - stack[-1] : at] if stack else ""
+                length = left[at]
+                while length > 1 and text[at : at + length] not in whole:
+                    length -= 1
+                left[at] = length
         return stack
 
-    def _stretch(self, stretch: str) -> tuple[str, tuple[int, ...]]:
+    def tokens(self, text: str) -> list[str]:
+        """Tokens of a stretch of normalised text."""
+        found, at = [], 0
+        for length in self.lengths(text):
+            found.append(text[at : at + length])
+            at += length
+        return found
+
+    def stretch_ids(self, stretch: str) -> array:
+        """Ids of a stretch of normalised text; characters outside the model become their bytes."""
+        found, ids, byte_ids, at = array("i"), self.ids, self.byte_ids, 0
+        for length in self.lengths(stretch):
+            token = stretch[at : at + length]
+            at += length
+            i = ids.get(token)
+            if i is not None:
+                found.append(i)
+            else:
+                found.extend([byte_ids[b] for b in token.encode()])
+        return found
+
+    def _stretch(self, stretch: str) -> Entry:
         entry = self.old.get(stretch)
         if entry is None:
-            tokens = self.tokens(stretch)
-            try:
-                entry = (",".join([self.printed[t] for t in tokens]), tuple([self.ids[t] for t in tokens]))
-            except KeyError:  # a character outside the model
-                ids = tuple(i for t in tokens for i in ([self.ids[t]] if t in self.ids else [self.byte_ids[b] for b in t.encode()]))
-                entry = (",".join(map(str, ids)), ids)
-        if len(stretch) <= 64:
-            if len(self.young) >= self.kept:
-                self.old, self.young = self.young, {}
-            self.young[stretch] = entry
+            if len(stretch) > KEPT:
+                return None, self.stretch_ids(stretch)
+            ids = tuple(self.stretch_ids(stretch))
+            entry = (_printed(ids), ids)
+        if len(self.young) >= self.kept:
+            self.old, self.young = self.young, {}
+        self.young[stretch] = entry
         return entry
 
-    def _entries(self, text: str | None) -> list[tuple[str, tuple[int, ...]]]:
+    def _entries(self, text: str | None) -> tuple[list[Entry], bool]:
+        """Entries of a text's stretches, and whether all of them are short ones."""
         if not text:
-            return []
+            return [], True
         known, miss = self.young.get, self._stretch
-        found = []
+        found, short = [], True
         for s in self.cut(SPACE + text.replace(" ", SPACE)):
             entry = known(s)
             if entry is None:
                 entry = miss(s)
                 known = self.young.get
+                short = short and entry[0] is not None
             found.append(entry)
-        return found
+        return found, short
 
     def forget(self) -> None:
         """Drop what is kept of earlier texts."""
@@ -174,12 +209,29 @@ class PieceCodec:
 
     def encode(self, text: str | None) -> list[int]:
         """Ids of a whole text."""
-        return list(chain.from_iterable([e[1] for e in self._entries(text)]))
+        return list(chain.from_iterable([e[1] for e in self._entries(text)[0]]))
 
     def encode_printed(self, text: str | None) -> tuple[list[int], str]:
         """Ids of a whole text, also as decimals joined by commas."""
-        entries = self._entries(text)
-        return list(chain.from_iterable([e[1] for e in entries])), ",".join([e[0] for e in entries])
+        entries, _ = self._entries(text)
+        return list(chain.from_iterable([e[1] for e in entries])), ",".join([_printed(e[1]) if e[0] is None else e[0] for e in entries])
+
+    def digests(self, text: str | None) -> tuple[int, str, str]:
+        """Number of a text's ids, and the digests of the printed ids and of the decoded text. All are made piece by
+        piece, so that a long text takes a few bytes an id."""
+        ids_sha, text_sha, n = hashlib.sha256(), hashlib.sha256(), 0
+        decoder, raw, first = _DECODER("replace"), self.raw, True
+        entries, short = self._entries(text)
+        for at in range(0, len(entries), PIECE):
+            part = entries[at : at + PIECE]
+            for printed, ids in [_joined(part)] if short else _pieces(part):
+                ids_sha.update(("," + printed if n else printed).encode())
+                n += len(ids)
+                decoded = decoder.decode(b"".join(map(raw.__getitem__, ids)))
+                text_sha.update((decoded.removeprefix(" ") if first else decoded).encode())
+                first = first and not decoded
+        text_sha.update(decoder.decode(b"", True).encode())
+        return n, ids_sha.hexdigest(), text_sha.hexdigest()
 
     def decode(self, ids: list[int]) -> str:
         """The text of ids: pieces and bytes joined, the space added in front removed."""
@@ -188,6 +240,23 @@ class PieceCodec:
         return joined.decode("utf-8", "replace").removeprefix(" ")
 
 
+def _printed(ids: Sequence[int]) -> str:
+    return ",".join(map(str, ids))
+
+
+def _joined(entries: list[Entry]) -> tuple[str, list[int]]:
+    """Printed ids and ids of entries of short stretches."""
+    return ",".join([e[0] for e in entries]), list(chain.from_iterable([e[1] for e in entries]))
+
+
+def _pieces(entries: list[Entry]) -> Iterator[tuple[str, Sequence[int]]]:
+    """The same one by one, with those of long stretches cut."""
+    for printed, ids in entries:
+        for at in range(0, len(ids), PIECE):
+            part = ids[at : at + PIECE]
+            yield _printed(part) if printed is None or len(part) < len(ids) else printed, part
+
+
 _codecs: dict[bytes, PieceCodec] = {}
 
 
@@ -210,11 +279,10 @@ def encode_digests(docs: DataFrame, model_path: str | None = None) -> DataFrame:
     model = _model_bytes(model_path or default_model())
 
     def factory():
-        c, sha = codec(model), hashlib.sha256
+        c = codec(model)
 
         def row(doc_id, text):
-            ids, printed = c.encode_printed(text)
-            yield doc_id, len(ids), sha(printed.encode()).hexdigest(), sha(c.decode(ids).encode()).hexdigest()
+            yield doc_id, *c.digests(text)
 
         row.finish = c.forget
         return row

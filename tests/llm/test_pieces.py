@@ -24,6 +24,23 @@ def test_encoding_equals_the_library(model):
         ids, printed = codec.encode_printed(text)
         assert ids == library.encode(text), text
         assert printed == ",".join(map(str, ids)) and codec.decode(ids) == library.decode(ids)
+        digests = [hashlib.sha256(x.encode()).hexdigest() for x in (printed, library.decode(ids))]
+        assert codec.digests(text) == (len(ids), *digests)
+
+
+def test_long_stretches_take_little_memory(model):
+    import tracemalloc
+
+    library, codec, r = sentencepiece.SentencePieceProcessor(model_proto=model), pieces.PieceCodec(model, kept=1000), random.Random(3)
+    text = "".join(chr(r.randint(0x4E00, 0x9FA5)) for _ in range(300_000))
+    want = library.encode(text)
+    tracemalloc.start()
+    got = codec.digests(text)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    printed = ",".join(map(str, want))
+    assert got == (len(want), hashlib.sha256(printed.encode()).hexdigest(), hashlib.sha256(library.decode(want).encode()).hexdigest())
+    assert peak < 30 * len(text)  # bytes a character
 
 
 def test_backtracking_equals_merging(model):
