@@ -20,11 +20,11 @@ EMAIL = r"[\p{L}\p{N}_.+-]+@[\p{L}\p{N}_-]+\.[\p{L}\p{N}_.-]+"
 AFFILIATION = r"\b(?:University|Institute|School\s+of|Department\s+of|College|Laboratory|Research\s+(?:Center|Centre|Institute)|VIT|IIT|MIT|UCLA|IEEE|ACM)\b"
 PROPER_NAME = r"^[A-Z][a-z]*\.?(?:\s+[A-Z][a-z]*\.?){1,4}\s*$"
 
-# Weight of an information type in semantic density, in ten-thousandths.
+# Weight of an information type in semantic density.
 DENSITY_WEIGHTS = {
-    "definition": 1500, "statistic": 1500, "result": 1300, "conclusion": 1300, "methodology": 1000, "hypothesis": 1000, "equation": 1000,
-    "table_data": 1000, "comparison": 800, "figure_description": 800, "fact": 500, "enumeration": 500, "example": 500, "background": 300,
-    "reference": 200, "metadata": 0,
+    "definition": 0.15, "statistic": 0.15, "result": 0.13, "methodology": 0.10, "conclusion": 0.13, "hypothesis": 0.10, "comparison": 0.08,
+    "equation": 0.10, "fact": 0.05, "background": 0.03, "reference": 0.02, "metadata": 0.00, "enumeration": 0.05, "example": 0.05,
+    "table_data": 0.10, "figure_description": 0.08,
 }
 
 TABLE_TYPES = {
@@ -75,10 +75,11 @@ ANSWER_TYPES = {
     "explanation": ["why", "reason", "cause"],
     "yes_no": ["is it", "does it", "can it", "has it", "are there"],
 }
-ENTITY_STOP = (
-    "what which how where when who why does do is are was were the a an of in on for to and or this that with from about can could would "
-    "should will be been being have has had not it its they their them there describe explain tell me give find show"
-).split()
+ENTITY_STOP = [
+    "what", "which", "how", "where", "when", "who", "why", "does", "do", "is", "are", "was", "were", "the", "a", "an", "of", "in", "on", "for", "to",
+    "and", "or", "this", "that", "with", "from", "about", "can", "could", "would", "should", "will", "be", "been", "being", "have", "has", "had",
+    "not", "it", "its", "they", "their", "them", "there", "describe", "explain", "tell", "me", "give", "find", "show",
+]
 EXPANSIONS = {
     "author": (["author of the document", "written by", "paper by", "contributed by"], ["author", "authors", "written", "writer", "contributor", "name", "by", "affiliation"]),
     "student": (
@@ -141,26 +142,35 @@ METADATA_PATTERNS = {
     "abstract": [r"(?i)(?:abstract)\s*[:\-–—]\s*(.+)"],
     "keyword": [r"(?i)(?:keywords?|index\s+terms?|tags)\s*[:\-–—]\s*(.+)"],
 }
-RECALL_STOP = (
-    "the a an is are was were of in for and or what who which where when this that does do did how by to with at on it be not from as but "
-    "has have had can will would could should its so"
-).split()
+RECALL_STOP = [
+    "the", "a", "an", "is", "are", "was", "were", "of", "in", "for", "and", "or", "what", "who", "which", "where", "when", "this", "that", "does",
+    "do", "did", "how", "by", "to", "with", "at", "on", "it", "be", "not", "from", "as", "but", "has", "have", "had", "can", "will", "would",
+    "could", "should", "its", "so",
+]
 
 FACTUAL_START = r"(?i)^(who|what|which|when|where|whom|whose)\b"
-FACTUAL_KEYWORDS = "author name title date year founder creator publisher editor affiliation institution location city country number version".split()
-METADATA_KEYWORDS = (
-    "author authors writer written wrote student students team member members developer developers made built created developed title name "
-    "heading date year published publication issued submitted received accepted publisher journal venue conference editor editors affiliation "
-    "institution university department school college organization email contact doi isbn issn identifier abstract keywords subject version "
-    "revision edition creator contributor owner"
-).split()
+FACTUAL_KEYWORDS = [
+    "author", "name", "title", "date", "year", "founder", "creator", "publisher", "editor", "affiliation", "institution", "location", "city",
+    "country", "number", "version",
+]
+METADATA_KEYWORDS = [
+    "author", "authors", "writer", "written", "wrote", "student", "students", "team", "member", "members", "developer", "developers", "made",
+    "built", "created", "developed", "title", "name", "heading", "date", "year", "published", "publication", "issued", "submitted", "received",
+    "accepted", "publisher", "journal", "venue", "conference", "editor", "editors", "affiliation", "institution", "university", "department",
+    "school", "college", "organization", "email", "contact", "doi", "isbn", "issn", "identifier", "abstract", "keywords", "subject", "version",
+    "revision", "edition", "creator", "contributor", "owner", "document", "paper", "report", "manuscript", "article", "metadata", "details",
+    "information about",
+]
 METADATA_PHRASES = [
     "who wrote", "who is the author", "who are the authors", "who made this project", "who built this project", "who created this project",
     "students who made this project", "student contributors", "project team", "what is the title", "when was this", "when was it",
     "where was this published", "what journal", "which journal", "document details", "document information", "document metadata",
     "paper details", "what year", "publication year",
 ]
-AUTHORSHIP_KEYWORDS = "author authors student students team developer developers creator creators contributor contributors member members".split()
+AUTHORSHIP_KEYWORDS = [
+    "author", "authors", "student", "students", "team", "developer", "developers", "creator", "creators", "contributor", "contributors", "member",
+    "members",
+]
 AUTHORSHIP_PHRASES = [
     "who is the author", "who are the authors", "who made this project", "who built this project", "who created this project",
     "students who made this project", "student who made this project", "project team", "team members", "developed by", "built by", "created by",
@@ -173,15 +183,18 @@ NO_EVIDENCE = [
     "based on the document, there is no", "insufficient document evidence",
 ]
 REFUSALS = ["insufficient knowledge", "no information found", "i don't have", "not available", "does not contain", "no relevant information"]
-ANSWER_STOP = (
-    "the a an and or but is are was were to of in on with that this for it be has have had not as at by from can do does will would could "
-    "should its their they we he she been about into also so very just there then these those some any"
-).split()
-CITATION_STOP = (
-    "the a an and or but is are was were to of in on with which that this for it be has have had not as at by from can do does did will "
-    "would could should may might its their they we he she been being about into through during before after between each all both such "
-    "than also so only very just where when how what there then these those some any more most other"
-).split()
+ANSWER_STOP = [
+    "the", "a", "an", "and", "or", "but", "is", "are", "was", "were", "to", "of", "in", "on", "with", "that", "this", "for", "it", "be", "has",
+    "have", "had", "not", "as", "at", "by", "from", "can", "do", "does", "will", "would", "could", "should", "its", "their", "they", "we", "he",
+    "she", "been", "about", "into", "also", "so", "very", "just", "there", "then", "these", "those", "some", "any",
+]
+CITATION_STOP = [
+    "the", "a", "an", "and", "or", "but", "is", "are", "was", "were", "to", "of", "in", "on", "with", "which", "that", "this", "for", "it", "be",
+    "has", "have", "had", "not", "as", "at", "by", "from", "can", "do", "does", "did", "will", "would", "could", "should", "may", "might", "its",
+    "their", "they", "we", "he", "she", "been", "being", "about", "into", "through", "during", "before", "after", "between", "each", "all", "both",
+    "such", "than", "also", "so", "only", "very", "just", "where", "when", "how", "what", "there", "then", "these", "those", "some", "any", "more",
+    "most", "other",
+]
 
 SECTION_HEADERS = [r"(?i)^(MODULE|SECTION|CHAPTER|PART)\s+\d+", r"(?i)^\d+(\.\d+)*\s+[A-Z]", r"(?i)^[A-Z]{2,}(\s+[A-Z]{2,})*$", r"(?i)^Project:\s+.*", r"(?i)^Objective:?\s*.*"]
 LIST_ITEMS = [r"(?i)^\s*[•‣◦⁃∙\-\*]\s+", r"(?i)^\s*\d+[\.\)]\s+", r"(?i)^\s*[a-zA-Z][\.\)]\s+", r"(?i)^\s*[ivxlcdm]+[\.\)]\s+"]
@@ -189,7 +202,7 @@ CAPTION = r"(?i)^(Figure|Fig\.|Table|Image|Diagram|Chart|Graph|Exhibit)\s+\d+"
 
 EDGE_WEIGHTS = {
     "NEXT_LINE": 0.95, "CONTINUES_ON_PAGE": 0.93, "SEMANTICALLY_RELATED": 0.85, "SEMANTIC_ALIGNMENT": 0.82, "TOPIC_BRIDGE": 0.80,
-    "DEFINITION_USED_IN": 0.78, "EVIDENCE_CHAIN": 0.75, "TABLE_CONTEXT": 0.72, "SECTION_SUMMARY_OF": 0.70, "PARAGRAPH_SUMMARY_OF": 0.70,
+    "DEFINITION_USED_IN": 0.78, "EVIDENCE_CHAIN": 0.75, "SECTION_SUMMARY_OF": 0.70, "PARAGRAPH_SUMMARY_OF": 0.70, "TABLE_CONTEXT": 0.72,
     "IMAGE_CONTEXT": 0.68, "THEME_MEMBER": 0.65,
 }
 SEARCH_POOL = {"summarization": 50, "comparative": 45, "enumerative": 45, "causal": 40, "definition": 35, "procedural": 35}
@@ -197,7 +210,7 @@ INTENT_BOOSTS = {
     "factual_lookup": {"definition": 0.12, "fact": 0.10, "statistic": 0.10, "result": 0.08},
     "comparative": {"comparison": 0.15, "result": 0.10, "statistic": 0.10, "table_data": 0.08},
     "summarization": {"conclusion": 0.12, "result": 0.10, "methodology": 0.08, "background": 0.06},
-    "quantitative": {"statistic": 0.18, "table_data": 0.15, "result": 0.12, "fact": 0.08},
+    "quantitative": {"statistic": 0.18, "result": 0.12, "table_data": 0.15, "fact": 0.08},
     "definition": {"definition": 0.18, "fact": 0.10, "background": 0.08},
     "causal": {"result": 0.12, "conclusion": 0.12, "methodology": 0.10, "fact": 0.08},
     "procedural": {"methodology": 0.18, "enumeration": 0.10, "fact": 0.08},
@@ -214,19 +227,33 @@ TOKEN_BUDGETS = {
     "summarization": 3200, "comparative": 2400, "procedural": 2400, "enumerative": 2000, "causal": 1800, "quantitative": 1600,
     "definition": 1400, "factual_lookup": 1024,
 }
-GROUNDING = {"evidence_graph": 1.0, "merged": 0.95, "deep_analysis": 0.92, "llm_direct": 0.6, "none": 0.0}
+GROUNDING = {"merged": 0.95, "evidence_graph": 1.0, "llm_direct": 0.6, "deep_analysis": 0.92, "none": 0.0}
 LABEL_SYNONYMS = {
-    "author": "author authors written writer writers by", "wrote": "author authors written writer by", "written": "author authors written writer by",
-    "writer": "author authors writer writers by", "title": "title name heading subject", "name": "name title called named label",
-    "date": "date published year issued received accepted submitted", "year": "date year published issued",
-    "published": "date published publication year issued", "publisher": "publisher published publication press journal",
-    "journal": "journal publisher publication published", "editor": "editor editors edited",
-    "affiliation": "affiliation affiliations institution university department school college organization",
-    "institution": "institution university affiliation department school college organization",
-    "university": "university institution affiliation school college", "location": "location city country address place",
-    "city": "city location place address", "country": "country location nation", "email": "email mail contact e-mail", "doi": "doi identifier id",
-    "abstract": "abstract summary overview", "keyword": "keyword keywords tags terms", "version": "version release revision",
-    "founder": "founder founded creator established", "creator": "creator created founder author",
+    "author": ["author", "authors", "written", "writer", "writers", "by"],
+    "wrote": ["author", "authors", "written", "writer", "by"],
+    "written": ["author", "authors", "written", "writer", "by"],
+    "writer": ["author", "authors", "writer", "writers", "by"],
+    "title": ["title", "name", "heading", "subject"],
+    "name": ["name", "title", "called", "named", "label"],
+    "date": ["date", "published", "year", "issued", "received", "accepted", "submitted"],
+    "year": ["date", "year", "published", "issued"],
+    "published": ["date", "published", "publication", "year", "issued"],
+    "publisher": ["publisher", "published", "publication", "press", "journal"],
+    "journal": ["journal", "publisher", "publication", "published"],
+    "editor": ["editor", "editors", "edited"],
+    "affiliation": ["affiliation", "affiliations", "institution", "university", "department", "school", "college", "organization"],
+    "institution": ["institution", "university", "affiliation", "department", "school", "college", "organization"],
+    "university": ["university", "institution", "affiliation", "school", "college"],
+    "location": ["location", "city", "country", "address", "place"],
+    "city": ["city", "location", "place", "address"],
+    "country": ["country", "location", "nation"],
+    "email": ["email", "mail", "contact", "e-mail"],
+    "doi": ["doi", "identifier", "id"],
+    "abstract": ["abstract", "summary", "overview"],
+    "keyword": ["keyword", "keywords", "tags", "terms"],
+    "version": ["version", "release", "revision"],
+    "founder": ["founder", "founded", "creator", "established"],
+    "creator": ["creator", "created", "founder", "author"],
 }
 THEMES = {
     "Introduction & Background": (["introduction", "background", "overview", "related work", "literature"], ["introduction", "background", "overview", "context", "motivation", "prior work"]),
@@ -240,8 +267,14 @@ THEMES = {
     ),
     "Conclusion & Discussion": (["conclusion", "discussion", "summary", "future work", "limitation"], ["conclusion", "discussion", "summary", "future", "limitation", "implication"]),
 }
-METADATA_THEME = "author title date published journal affiliation university email doi abstract keywords institution department corresponding editor volume issue".split()
+METADATA_THEME = [
+    "author", "title", "date", "published", "journal", "affiliation", "university", "email", "doi", "abstract", "keywords", "institution",
+    "department", "corresponding", "editor", "volume", "issue",
+]
 
 # Words that speak of who made a document.
 AUTHORSHIP_TERMS = ["author", "authors", "written by", "created by", "built by", "developed by", "team", "student", "students", "contributor", "developer", "project"]
-FACT_STOP = "the a an and or but is are was were to of in on with which that this for it be has have had not as at by from".split()
+FACT_STOP = [
+    "the", "a", "an", "and", "or", "but", "is", "are", "was", "were", "to", "of", "in", "on", "with", "which", "that", "this", "for", "it", "be",
+    "has", "have", "had", "not", "as", "at", "by", "from",
+]

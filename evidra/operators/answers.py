@@ -97,7 +97,7 @@ def expanded_hints(question: Column) -> Column:
     """Those words and the labels that can stand for them."""
     asked = hint_words(question)
     none = F.array().cast("array<string>")
-    added = [F.when(F.array_contains(asked, trigger), literals(names.split())).otherwise(none) for trigger, names in rules.LABEL_SYNONYMS.items()]
+    added = [F.when(F.array_contains(asked, trigger), literals(names)).otherwise(none) for trigger, names in rules.LABEL_SYNONYMS.items()]
     return F.array_distinct(F.concat(asked, *added))
 
 

@@ -28,7 +28,7 @@ def semantic_density(text: Column, information_type_: Column) -> Column:
     caps = F.size(F.filter(F.slice(w, 2, F.greatest(F.size(w), F.lit(1))), lambda x: x.rlike(r"^\p{Lu}")))
     numbers = F.size(F.filter(w, lambda x: x.rlike("[0-9]")))
     long = F.size(F.filter(w, lambda x: F.char_length(x) >= 9))
-    weights = F.create_map(*[F.lit(v) for pair in rules.DENSITY_WEIGHTS.items() for v in pair])
+    weights = F.create_map(*[F.lit(v) for kind, weight in rules.DENSITY_WEIGHTS.items() for v in (kind, round(weight * 10000))])
     score = F.lit(5000) + F.least(F.lit(1200), caps * 250) + F.least(F.lit(1200), numbers * 400) + F.least(F.lit(800), long * 200)
     score = score + F.coalesce(weights[F.coalesce(information_type_, F.lit("fact"))], F.lit(0))
     score = F.when(F.size(w) < 3, F.floor(score * 3 / 10)).otherwise(score)

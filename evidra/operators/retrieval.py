@@ -13,27 +13,33 @@ from pyspark.sql import functions as F
 from evidra.functions import rules
 from evidra.functions.text import common, literals, matches_any, strip, tokens, words
 from evidra.operators.classify import is_structural_noise
+from evidra.operators.questions import key_entities
 
 
 def question_terms(questions: DataFrame) -> DataFrame:
-    """Search terms of each question (query_id, term), without stop words and short words."""
+    """Search terms of each question (query_id, term, entity): its words without stop words and short words, and the
+    words of its key entities."""
     kept = F.filter(F.array_distinct(tokens(F.col("text"))), lambda w: (F.char_length(w) > 2) & ~w.isin(rules.RECALL_STOP))
-    return questions.select("query_id", F.explode(kept).alias("term"))
+    named = F.filter(tokens(F.array_join(key_entities(F.col("text")), " ")), lambda w: F.char_length(w) > 2)
+    asked = questions.select("query_id", named.alias("named"), F.explode(F.array_union(kept, named)).alias("term"))
+    return asked.select("query_id", "term", F.array_contains("named", F.col("term")).alias("entity"))
 
 
 def keyword_recall(questions: DataFrame, lines: DataFrame) -> DataFrame:
-    """Lines that share words or word beginnings with a question, through an inverted index: both sides are exploded
-    to distinct tokens and joined on them, so only pairs that share something meet."""
+    """Lines that share words or word beginnings with a question, through an inverted index: a question is exploded to
+    its search terms and their beginnings, a line to its distinct tokens and beginnings, and both are joined on them, so
+    only pairs that share something meet. A line's hits leave the join one after another, so that they are counted
+    before the shuffle; words that questions don't ask for never leave it."""
     terms = question_terms(questions)
-    long = lines.where(F.char_length("text") >= 15).select("doc_id", "pos", F.array_distinct(tokens(F.col("text"))).alias("t"))
-    exact = terms.join(long.select("doc_id", "pos", F.explode("t").alias("term")), "term").select("query_id", "doc_id", "pos", F.lit("e").alias("kind"))
     stems = lambda w: F.array(F.when(F.char_length(w) >= 4, F.substring(w, 1, 4)), F.when(F.char_length(w) >= 5, F.substring(w, 1, 5)))
-    q_stems = terms.select("query_id", F.explode(F.array_compact(stems(F.col("term")))).alias("stem")).distinct()
-    line_stems = long.select("doc_id", "pos", F.explode(F.array_distinct(F.array_compact(F.flatten(F.transform("t", stems))))).alias("stem"))
-    fuzzy = q_stems.join(line_stems, "stem").select("query_id", "doc_id", "pos", F.lit("f").alias("kind"))
-    hits = exact.unionByName(fuzzy).groupBy("query_id", "doc_id", "pos").agg(F.count_if(F.col("kind") == "e").alias("exact"), F.count_if(F.col("kind") == "f").alias("fuzzy"))
-    strong = hits.where(F.col("exact") * 10 + F.col("fuzzy") * 4 >= 15)
-    score = F.least(F.lit(55), F.lit(15) + F.col("exact") * 6 + F.col("fuzzy") * 3) / 100
+    q_stems = terms.select("query_id", F.explode(F.array_compact(stems(F.col("term")))).alias("key")).distinct()
+    asked = terms.select("query_id", F.concat(F.lit("="), "term").alias("key"), F.lit(1).alias("e"), F.col("entity").cast("int").alias("n"), F.lit(0).alias("f"))
+    asked = asked.unionByName(q_stems.select("query_id", "key", F.lit(0).alias("e"), F.lit(0).alias("n"), F.lit(1).alias("f")))
+    long = lines.where(F.char_length("text") >= 15).select("doc_id", "pos", F.array_distinct(tokens(F.col("text"))).alias("t"))
+    keys = F.concat(F.transform("t", lambda w: F.concat(F.lit("="), w)), F.array_distinct(F.array_compact(F.flatten(F.transform("t", stems)))))
+    hits = long.select("doc_id", "pos", F.explode(keys).alias("key")).join(asked, "key").groupBy("query_id", "doc_id", "pos").agg(*[F.sum(c).alias(c) for c in "enf"])
+    strong = hits.where((F.col("e") * 10 + F.col("n") * 15 + F.col("f") * 4 >= 15) | (F.col("n") > 0))
+    score = F.least(F.lit(55), F.lit(15) + F.col("e") * 6 + F.col("n") * 10 + F.col("f") * 3) / 100
     return strong.select("query_id", "doc_id", "pos", score.alias("score"))
 
 

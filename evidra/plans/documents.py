@@ -20,7 +20,7 @@ _TYPE_SQL = f"""CASE WHEN {sql.strip("text")} = '' THEN NULL ELSE {sql.rule_chai
 _WORDS = sql.words(sql.strip("text"))
 _RAW = f"""(5000 + least(1200, 250 * len(list_filter(w[2:], lambda x: regexp_matches(x, '^\\p{{Lu}}'))))
   + least(1200, 400 * len(list_filter(w, lambda x: regexp_matches(x, '[0-9]')))) + least(800, 200 * len(list_filter(w, lambda x: length(x) >= 9)))
-  + {sql.mapped("coalesce(information_type, 'fact')", rules.DENSITY_WEIGHTS, 0)})"""
+  + {sql.mapped("coalesce(information_type, 'fact')", {k: round(w * 10000) for k, w in rules.DENSITY_WEIGHTS.items()}, 0)})"""
 TYPED = f""", typed AS (
   SELECT *, CASE WHEN {sql.strip("text")} = '' THEN 0 ELSE least(10000, greatest(0, CASE WHEN len(w) < 3 THEN floor({_RAW} * 3 / 10) ELSE {_RAW} END)) END::BIGINT AS density
   FROM (SELECT *, {_TYPE_SQL} AS information_type, {_WORDS} AS w FROM paged))"""
@@ -133,7 +133,7 @@ def structural_noise(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("""WITH v AS (SELECT vec_id, embedding FROM embeddings), s AS (
   SELECT q.vec_id AS query_id, c.vec_id, round(list_sum(list_transform(list_zip(q.embedding, c.embedding), lambda p: p[1]::DOUBLE * p[2]::DOUBLE)), 9) AS score
-  FROM v q JOIN v c ON q.vec_id <> c.vec_id WHERE q.vec_id < 5)
+  FROM v q JOIN v c ON q.vec_id <> c.vec_id WHERE q.vec_id % 50 = 0)
 SELECT query_id, vec_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INTEGER AS rank FROM s QUALIFY rank <= 8""")
 def knn_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The eight nearest vectors by inner product to every fiftieth vector."""
@@ -143,7 +143,7 @@ def knn_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("""WITH v AS (SELECT vec_id, embedding FROM embeddings), s AS (
   SELECT q.vec_id AS query_id, c.vec_id, round(list_sum(list_transform(list_zip(q.embedding, c.embedding), lambda p: (p[1]::DOUBLE - p[2]::DOUBLE) * (p[1]::DOUBLE - p[2]::DOUBLE))), 9) AS d
-  FROM v q JOIN v c ON q.vec_id <> c.vec_id WHERE q.vec_id < 5)
+  FROM v q JOIN v c ON q.vec_id <> c.vec_id WHERE q.vec_id % 50 = 0)
 SELECT query_id, vec_id, row_number() OVER (PARTITION BY query_id ORDER BY d, vec_id)::INTEGER AS rank FROM s QUALIFY rank <= 5""")
 def knn_l2(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The five nearest vectors by distance to every fiftieth vector."""

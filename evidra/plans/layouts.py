@@ -120,7 +120,7 @@ def ocr_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""WITH w AS (SELECT doc_id, generate_subscripts(s, 1) - 1 AS i, unnest(s) AS text FROM (SELECT doc_id, string_split(text, ' ') AS s FROM documents)),
-  g AS (SELECT doc_id, i // 100 AS block_num, i // 10 % 10 AS line_num, i % 10 AS n, text, (i * 7) % 100 - 5 AS conf FROM w WHERE i < 500)
+  g AS (SELECT doc_id, i // 100 AS block_num, i // 10 % 10 AS line_num, i % 10 AS n, text, (i * 7) % 100 - 5 AS conf FROM w)
 SELECT doc_id, block_num::INTEGER AS block_num, line_num::INTEGER AS line_num, string_agg(text, ' ' ORDER BY n) AS text, min(n * 50)::INTEGER AS x0, max(n * 50 + 45)::INTEGER AS x1,
   floor(coalesce(avg(conf) FILTER (WHERE conf > 0) / 100, 0.5) * 10000 + 0.5)::BIGINT AS confidence FROM g GROUP BY doc_id, block_num, line_num""")
 def ocr_lines(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -14,7 +14,7 @@ from evidra.sources import views
 from evidra.sources.views import table
 
 _S = sql.strip("text")
-_EVIDENCE = sql.SECTIONED + ", evidence AS (SELECT doc_id AS query_id, doc_id, pos, page, section, text, ((pos * 37 + doc_id) % 101) / 100.0::DOUBLE AS alignment_score FROM sectioned WHERE pos % 7 < 2)"
+_EVIDENCE = sql.SECTIONED + ", evidence AS (SELECT doc_id AS query_id, doc_id, pos, page, section, text, ((pos * 37 + doc_id) % 101) / 100.0::DOUBLE AS alignment_score FROM sectioned)"
 _RANKED = ", ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY alignment_score DESC, doc_id, pos)::INTEGER AS rank FROM evidence QUALIFY rank <= 15)"
 _CITED = f""", once AS (SELECT * FROM evidence WHERE {_S} <> '' QUALIFY row_number() OVER (PARTITION BY query_id, page, section, left({_S}, 50) ORDER BY alignment_score DESC, doc_id, pos) = 1),
   cited AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY alignment_score DESC, doc_id, pos)::INTEGER AS rank FROM once)"""
