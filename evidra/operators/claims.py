@@ -10,15 +10,28 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from evidra.functions import rules
-from evidra.functions.text import strip
+from evidra.functions.text import has_any, strip
 
 
 def extract(lines: DataFrame) -> DataFrame:
     """All claims of the lines, numbered c1, c2 ... in each document by line, rule and match. One pass over the text:
     every rule fills an array and the arrays are exploded together."""
 
+    low = F.lower("text")
+    digit = F.rlike("text", F.lit("[0-9]"))
+    # What a line must hold for a rule to find anything: literal tests keep patterns from most lines.
+    gates = {
+        "entity_date": digit,
+        "entity_money": digit & has_any(low, ["$", "usd", "eur", "gbp", "inr", "rs", "€", "£"]),
+        "entity_statistic": F.contains("text", F.lit("%")),
+        "entity_duration": digit & has_any(low, ["day", "week", "month", "year", "hr", "hour", "min"]),
+        "entity_contact": F.contains("text", F.lit("@")),
+    }
+    defines = has_any(low, ["means", "is defined as", "refers to"])
+    pairs = F.contains("text", F.lit(":"))
+
     def every(rule: int, kind: str, pattern: str, confidence: float):
-        values = F.regexp_extract_all("text", F.lit(pattern), 0)
+        values = F.when(gates[kind], F.regexp_extract_all("text", F.lit(pattern), 0)).otherwise(F.array().cast("array<string>"))
         return F.transform(
             values, lambda v, i: F.struct(F.lit(rule).alias("rule"), i.alias("nth"), F.lit(kind).alias("claim_type"), v.alias("value"), F.lit(confidence).alias("confidence"))
         )
@@ -31,10 +44,10 @@ def extract(lines: DataFrame) -> DataFrame:
 
     group = lambda pattern, i: F.regexp_extract("text", pattern, i)
     definition = F.concat(strip(group(rules.DEFINITION_CLAIM, 1)), F.lit(" = "), strip(group(rules.DEFINITION_CLAIM, 2)))
-    found.append(single(5, "fact_definition", definition, F.col("text").rlike(rules.DEFINITION_CLAIM), 0.8))
+    found.append(single(5, "fact_definition", definition, defines & F.col("text").rlike(rules.DEFINITION_CLAIM), 0.8))
     pair = F.concat(strip(group(rules.KEY_VALUE_CLAIM, 1)), F.lit(": "), strip(group(rules.KEY_VALUE_CLAIM, 2)))
     short = F.char_length(group(rules.KEY_VALUE_CLAIM, 2)) < 50
-    found.append(single(6, "fact_specification", pair, F.col("text").rlike(rules.KEY_VALUE_CLAIM) & short, 0.75))
+    found.append(single(6, "fact_specification", pair, pairs & F.col("text").rlike(rules.KEY_VALUE_CLAIM) & short, 0.75))
     claims = lines.select("doc_id", "section", "pos", F.explode(F.concat(*found)).alias("c")).select("doc_id", "section", "pos", "c.*")
     order = Window.partitionBy("doc_id").orderBy("pos", "rule", "nth")
     return claims.withColumn("claim_no", F.row_number().over(order))

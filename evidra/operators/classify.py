@@ -9,22 +9,44 @@ from evidra.functions import rules
 from evidra.functions.text import first_rule, has_any, matches_any, strip, words
 
 
+def looked_at(text: Column) -> Column:
+    """What the rules look at: the stripped text, the same in lower case, and its words."""
+    stripped = strip(text)
+    return F.struct(stripped.alias("stripped"), F.lower(stripped).alias("low"), words(stripped).alias("words"))
+
+
+def with_looks(lines: DataFrame) -> DataFrame:
+    """Lines with a column ``look``. A generator makes it, which the optimizer doesn't fold into the rules that use it:
+    each line is stripped, lower-cased and split once, not once a rule."""
+    return lines.select("*", F.explode(F.array(looked_at(F.col("text")))).alias("look"))
+
+
 def information_type(text: Column, page: Column) -> Column:
     """Information type of a line; null for a blank one."""
-    stripped = strip(text)
+    return type_of(looked_at(text), page)
+
+
+def type_of(look: Column, page: Column) -> Column:
+    """The same from what the rules look at; cheap tests come before patterns."""
+    stripped = look["stripped"]
     early = page <= 2
     rest = (
-        F.when(F.rlike(stripped, F.lit(rules.EMAIL)), "metadata")
-        .when(early & (F.size(words(stripped)) <= 25) & F.rlike(stripped, F.lit(rules.AFFILIATION)), "metadata")
-        .when(early & F.rlike(stripped, F.lit(rules.PROPER_NAME)), "metadata")
+        F.when(F.contains(stripped, F.lit("@")) & F.rlike(stripped, F.lit(rules.EMAIL)), "metadata")
+        .when(early & (F.size(look["words"]) <= 25) & F.rlike(stripped, F.lit(rules.AFFILIATION)), "metadata")
+        .when(early & F.size(look["words"]).between(2, 5) & F.rlike(stripped, F.lit(rules.PROPER_NAME)), "metadata")
         .otherwise("fact")
     )
-    return F.when(stripped != "", first_rule(F.lower(stripped), rules.INFORMATION_TYPES, rest))
+    return F.when(stripped != "", first_rule(look["low"], rules.INFORMATION_TYPES, rest))
 
 
 def semantic_density(text: Column, information_type_: Column) -> Column:
     """Information density of a line in ten-thousandths (0 to 10000)."""
-    w = words(strip(text))
+    return density_of(looked_at(text), information_type_)
+
+
+def density_of(look: Column, information_type_: Column) -> Column:
+    """The same from what the rules look at."""
+    w = look["words"]
     caps = F.size(F.filter(F.slice(w, 2, F.greatest(F.size(w), F.lit(1))), lambda x: x.rlike(r"^\p{Lu}")))
     numbers = F.size(F.filter(w, lambda x: x.rlike("[0-9]")))
     long = F.size(F.filter(w, lambda x: F.char_length(x) >= 9))
@@ -32,7 +54,7 @@ def semantic_density(text: Column, information_type_: Column) -> Column:
     score = F.lit(5000) + F.least(F.lit(1200), caps * 250) + F.least(F.lit(1200), numbers * 400) + F.least(F.lit(800), long * 200)
     score = score + F.coalesce(weights[F.coalesce(information_type_, F.lit("fact"))], F.lit(0))
     score = F.when(F.size(w) < 3, F.floor(score * 3 / 10)).otherwise(score)
-    return F.when(strip(text) == "", 0).otherwise(F.least(F.lit(10000), F.greatest(F.lit(0), score))).cast("long")
+    return F.when(look["stripped"] == "", 0).otherwise(F.least(F.lit(10000), F.greatest(F.lit(0), score))).cast("long")
 
 
 def table_type(cells: Column) -> Column:

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from evidra.functions import rules
-from evidra.functions.text import common, literals, matches_any, strip, tokens, words
+from evidra.functions.text import common, has_any, literals, matches_any, strip, tokens, words
 from evidra.operators.classify import is_structural_noise
 from evidra.operators.questions import key_entities
 
@@ -45,20 +45,34 @@ def keyword_recall(questions: DataFrame, lines: DataFrame) -> DataFrame:
 
 def metadata_scan(intents: DataFrame, typed: DataFrame) -> DataFrame:
     """Lines that look like the metadata asked for. ``intents``: (query_id, kind); ``typed``: lines with page and
-    information_type. Each line is tested once a kind, and questions join to the results by kind."""
-    text = strip(F.col("text"))
+    information_type and what rules look at. Each line is tested once a kind; its best score is taken once for each set
+    of kinds that questions ask for, and questions join to the results by their set."""
+    text, n = F.col("look.stripped"), F.size("look.words")
     usable = typed.where(F.char_length(text) >= 3)
     early, is_meta = F.col("page") <= 2, F.col("information_type") == "metadata"
-    n = F.size(words(text))
+    # What a line must hold for a pattern to match: literal tests come before patterns, and anchored patterns first.
+    labelled = has_any(text, [":", "-", "–", "—"])
+    gates = {
+        "author": None, "title": labelled, "date": labelled | F.rlike(text, F.lit("[0-9]")), "publisher": labelled,
+        "affiliation": labelled | has_any(F.col("look.low"), ["university", "institute", "department", "school", "college", "laboratory"]),
+        "email": F.contains(text, F.lit("@")), "doi": F.contains(text, F.lit("10.")), "abstract": labelled, "keyword": labelled,
+    }
+
+    def matches(kind: str) -> Column:
+        found = matches_any(text, sorted(rules.METADATA_PATTERNS[kind], key=lambda p: "^" not in p[:5]))
+        return found if gates[kind] is None else gates[kind] & found
 
     def scored(kind: str) -> Column:
         found = F.when(early, 90).otherwise(65) + F.when(is_meta, 5).otherwise(0)
         weak = F.when(F.col("information_type").isin("metadata", "fact") & early & (n <= 15), 45) if kind == "author" else F.when(is_meta & early, 45)
-        return F.when(matches_any(text, rules.METADATA_PATTERNS[kind]), F.least(F.lit(100), found)).otherwise(weak)
+        return F.when(matches(kind), F.least(F.lit(100), found)).otherwise(weak)
 
     kinds = F.array(*[F.struct(F.lit(k).alias("kind"), scored(k).alias("score")) for k in rules.METADATA_PATTERNS])
     hits = usable.select("doc_id", "pos", F.explode(kinds).alias("h")).where("h.score IS NOT NULL").select("doc_id", "pos", F.col("h.kind").alias("kind"), (F.col("h.score") / 100).alias("score"))
-    return merge_best([intents.join(hits, "kind").select("query_id", "doc_id", "pos", "score")])
+    sets = intents.groupBy("query_id").agg(F.array_sort(F.collect_set("kind")).alias("kinds")).withColumn("asked", F.array_join("kinds", "|"))
+    kinds_of = sets.select("asked", F.explode("kinds").alias("kind")).distinct()
+    found = hits.join(kinds_of, "kind").groupBy("asked", "doc_id", "pos").agg(F.max("score").alias("score"))
+    return found.join(sets.select("query_id", "asked"), "asked").select("query_id", "doc_id", "pos", "score")
 
 
 def merge_best(sources: list[DataFrame]) -> DataFrame:

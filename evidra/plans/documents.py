@@ -29,8 +29,8 @@ TYPED = f""", typed AS (
 def typed_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lines with their information type and density."""
     lines = views.lines(table(spark, sf_dir, "documents"))
-    typed = lines.withColumn("information_type", classify.information_type(F.col("text"), F.col("page")))
-    return typed.withColumn("density", classify.semantic_density(F.col("text"), F.col("information_type")))
+    typed = classify.with_looks(lines).withColumn("information_type", classify.type_of(F.col("look"), F.col("page")))
+    return typed.withColumn("density", classify.density_of(F.col("look"), F.col("information_type")))
 
 
 @query("SELECT doc_id, sha256(text) AS checksum, octet_length(encode(text))::BIGINT AS n_bytes, floor(octet_length(encode(text)) / 1048576.0 * 100 + 0.5)::BIGINT AS mb100 FROM documents")

@@ -150,17 +150,24 @@ def _scored(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     return retrieval.consolidate(candidates, asked, lines.select("doc_id", "pos", "section", "text", "confidence")), lines
 
 
-def _match_sql(q: str, t: str) -> str:
-    kept = lambda e: f"list_distinct(list_filter({sql.tokens(e)}, lambda x: length(x) > 2))"
-    w = sql.words(f"lower({q})")
-    phrases = [f"list_max(list_transform(range(1, len({w}) - {k - 2}), lambda i: CASE WHEN length(array_to_string(({w})[i:i + {k - 1}], ' ')) > 5 AND contains(lower({t}), array_to_string(({w})[i:i + {k - 1}], ' ')) THEN {k} ELSE 0 END))" for k in (2, 3, 4)]
-    best = f"greatest(0, {', '.join(f'coalesce({p}, 0)' for p in phrases)})"
-    shared = f"list_intersect({kept(q)}, {kept(t)})"
-    return f"""CASE WHEN len({kept(q)}) = 0 THEN 0.0 ELSE least(1.0, len({shared}) / len({kept(q)}) + {best} * 0.3 / len({w}) + least(0.3, len(list_filter({shared}, lambda x: length(x) >= 6)) * 0.1)) END"""
+def _kept_sql(e: str) -> str:
+    return f"list_distinct(list_filter({sql.tokens(e)}, lambda x: length(x) > 2))"
 
 
-@query(f"""WITH {sql.LINES}, {_TERMS}, r AS (SELECT r.query_id, r.doc_id, r.pos, b.text AS q, l.text AS t FROM recall r JOIN benchmark b ON b.item_id = r.query_id JOIN lines l ON l.doc_id = r.doc_id AND l.pos = r.pos)
-SELECT query_id, doc_id, pos, floor(({_match_sql("q", "t")})::DOUBLE * 1000 + 0.5)::BIGINT AS text_match FROM r""")
+def _phrases_sql(k: int) -> str:
+    return f"list_transform(range(1, len(w) - {k - 2}), lambda i: {{'k': {k}, 'p': array_to_string(w[i:i + {k - 1}], ' ')}})"
+
+
+#: Parts of questions and lines, and the match of a recalled pair in ``r``.
+_MATCH = f"""qp AS (SELECT query_id, kept AS qt, len(w) AS qn, list_filter(list_concat({_phrases_sql(2)}, {_phrases_sql(3)}, {_phrases_sql(4)}), lambda x: length(x.p) > 5) AS ph
+    FROM (SELECT item_id AS query_id, {_kept_sql("text")} AS kept, {sql.words("lower(text)")} AS w FROM benchmark)),
+  lp AS (SELECT doc_id, pos, {_kept_sql("text")} AS lt, lower(text) AS low FROM lines WHERE length(text) >= 15),
+  m AS (SELECT r.*, qt, qn, list_intersect(qt, lt) AS shared, coalesce(list_max(list_transform(ph, lambda x: CASE WHEN contains(low, x.p) THEN x.k ELSE 0 END)), 0) AS best
+    FROM recall r JOIN qp USING (query_id) JOIN lp USING (doc_id, pos)),
+  matched AS (SELECT *, (CASE WHEN len(qt) = 0 THEN 0.0 ELSE least(1.0, len(shared) / len(qt) + best * 0.3 / qn + least(0.3, len(list_filter(shared, lambda x: length(x) >= 6)) * 0.1)) END)::DOUBLE AS text_match FROM m)"""
+
+
+@query(f"WITH {sql.LINES}, {_TERMS}, {_MATCH} SELECT query_id, doc_id, pos, floor(text_match * 1000 + 0.5)::BIGINT AS text_match FROM matched")
 def text_match(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Overlap of recalled lines with benchmark questions."""
     lines, bench = views.lines(table(spark, sf_dir, "documents")), _bench(spark, sf_dir)
