@@ -34,6 +34,29 @@ def structure_edges(sectioned: DataFrame) -> DataFrame:
     return down.unionByName(up).unionByName(chain).unionByName(member).unionByName(order)
 
 
+def paragraph_edges(lines: DataFrame) -> DataFrame:
+    """Edges of paragraphs (lines: doc_id, page, paragraph, pos, section): to their lines, and to the sections of these,
+    which they belong to and sum up, once each."""
+    paragraph = F.concat_ws(":", F.lit("par"), F.col("page").cast("string"), F.col("paragraph").cast("string"))
+    named = lines.select("doc_id", paragraph.alias("src"), F.concat(F.lit("line:"), F.col("pos").cast("string")).alias("line"), F.concat(F.lit("sec:"), F.col("section").cast("string")).alias("sec"))
+    held = named.select("doc_id", "src", F.col("line").alias("dst"), F.lit("PARAGRAPH_CONTAINS").alias("relationship"))
+    sections = named.select("doc_id", "src", F.col("sec").alias("dst")).distinct()
+    both = F.explode(F.array(F.lit("BELONGS_TO"), F.lit("PARAGRAPH_SUMMARY_OF")))
+    return held.unionByName(sections.select("doc_id", "src", "dst", both.alias("relationship")))
+
+
+def table_edges(cells: DataFrame, sectioned: DataFrame) -> DataFrame:
+    """Edges of tables (cells: doc_id, table_no, row, col, pos of the cell's line): cells to their table, tables to their
+    document, and to the section of the first cell that has one."""
+    table = F.concat(F.lit("table:"), F.col("table_no").cast("string"))
+    of_cells = cells.select("doc_id", F.concat(F.lit("line:"), F.col("pos").cast("string")).alias("src"), table.alias("dst"), F.lit("TABLE_CELL_OF").alias("relationship"))
+    of_document = cells.select("doc_id", F.concat(F.lit("doc:"), F.col("doc_id").cast("string")).alias("src"), table.alias("dst"), F.lit("BELONGS_TO").alias("relationship")).distinct()
+    placed = cells.join(sectioned.select("doc_id", "pos", "section"), ["doc_id", "pos"])
+    first = placed.groupBy("doc_id", "table_no").agg(F.min_by("section", F.struct("row", "col")).alias("section"))
+    context = first.select("doc_id", table.alias("src"), F.concat(F.lit("sec:"), F.col("section").cast("string")).alias("dst"), F.lit("TABLE_CONTEXT").alias("relationship"))
+    return of_cells.unionByName(of_document).unionByName(context)
+
+
 def collapse_edges(edges: DataFrame, *keys: str) -> DataFrame:
     """One edge for each pair of ``keys``: the one written last."""
     return edges.groupBy(*keys).agg(F.max_by("relationship", "write_seq").alias("relationship"))

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from evidra.functions import rules
 from evidra.functions.text import common, has_any, literals, matches_any, strip, tokens, words
 from evidra.operators.classify import is_structural_noise
-from evidra.operators.questions import key_entities
+from evidra.operators.questions import answer_type, expanded_claims, expanded_terms, intent, key_entities, search_pool
 
 
 def question_terms(questions: DataFrame) -> DataFrame:
@@ -214,22 +214,89 @@ def retrieval_stats(hits: DataFrame) -> DataFrame:
     )
 
 
+def search_parts(questions: DataFrame) -> DataFrame:
+    """What is searched for by similarity (query_id, part, text, k, factor, boosted): a question's phrasings with a pool
+    by intent, its first five entities and its first five expanded terms with eight hits each, which count less."""
+    text = F.col("text")
+
+    def parts(kind: str, items: Column, k: Column, factor: float, boosted: bool) -> Column:
+        return F.transform(items, lambda t, i: F.struct(F.concat(F.lit(kind), i.cast("string")).alias("part"), t.alias("text"), k.alias("k"), F.lit(factor).alias("factor"), F.lit(boosted).alias("boosted")))
+
+    every = F.concat(
+        parts("c", expanded_claims(text), search_pool(intent(text)), 1.0, True),
+        parts("e", F.slice(key_entities(text), 1, 5), F.lit(8), 0.8, True),
+        parts("t", F.slice(expanded_terms(text), 1, 5), F.lit(8), 0.65, False),
+    )
+    return questions.select("query_id", F.explode(every).alias("p")).select("query_id", "p.*")
+
+
+def content_words(text: Column) -> Column:
+    """Distinct words that carry meaning."""
+    return F.filter(F.array_distinct(tokens(text)), lambda w: (F.char_length(w) > 2) & ~w.isin(rules.RECALL_STOP))
+
+
+def vector_hits(parts: DataFrame, lines: DataFrame) -> DataFrame:
+    """The k most similar lines of each search part (query_id, part, doc_id, pos, score, boosted), score = factor /
+    (1 + distance), distance = 1 - cosine of the word vectors. Without a model a text's vector has a one for each of its
+    content words; such vectors are sparse, so an inverted index finds the neighbours exactly: only texts that share a
+    word meet, and a line's hits are counted before the shuffle. With a model's dense vectors use ``vectors.nearest``."""
+    held = lines.select("doc_id", "pos", content_words(F.col("text")).alias("w")).select("doc_id", "pos", F.size("w").alias("n"), F.explode("w").alias("word"))
+    asked = parts.withColumn("w", content_words(F.col("text"))).select("query_id", "part", F.size("w").alias("m"), F.explode("w").alias("word"))
+    shared = held.join(asked, "word").groupBy("query_id", "part", "m", "doc_id", "pos", "n").agg(F.count(F.lit(1)).alias("common"))
+    cosine = F.round(F.col("common") / F.sqrt(F.col("m") * F.col("n")), 9)
+    order = Window.partitionBy("query_id", "part").orderBy(F.desc("cosine"), "doc_id", "pos")
+    sized = shared.withColumn("cosine", cosine).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= max(50, *rules.SEARCH_POOL.values()))
+    near = sized.join(parts.select("query_id", "part", "k", "factor", "boosted"), ["query_id", "part"]).where(F.col("rank") <= F.col("k"))
+    return near.select("query_id", "part", "doc_id", "pos", "rank", (F.col("factor") / (2 - F.col("cosine"))).alias("score"), "boosted")
+
+
+def boosted(hits: DataFrame, questions: DataFrame, typed: DataFrame) -> DataFrame:
+    """Hits with their lines' boosts added where they are due: early pages of summaries, density, and the information
+    types that fit the question's intent and answer type."""
+    asked = questions.select("query_id", intent(F.col("text")).alias("intent"), answer_type(F.col("text")).alias("answer_type"))
+    about = typed.select("doc_id", "pos", "page", "information_type", "density")
+    early = F.when((F.col("intent") == "summarization") & (F.col("page") <= 2), 0.25).otherwise(0.0)
+    boost = early + F.col("density") / 10000 * 0.04 + type_boost(F.col("intent"), F.col("answer_type"), F.coalesce("information_type", F.lit("")))
+    joined = hits.join(about, ["doc_id", "pos"]).join(asked, "query_id")
+    return joined.select("query_id", "doc_id", "pos", (F.col("score") + F.when(F.col("boosted"), boost).otherwise(0.0)).alias("score"))
+
+
+def _shared_with(questions: DataFrame, described: DataFrame, key: list[str], asked: Column) -> DataFrame:
+    """Numbers of words that questions and described things (key, w: array) share: all (o) and of entities (e)."""
+    words_ = questions.select("query_id", _entity_words(F.col("text")).alias("named"), F.explode(asked).alias("word"))
+    things = described.select(*key, F.explode("w").alias("word"))
+    return words_.join(things, "word").groupBy("query_id", *key).agg(F.count(F.lit(1)).alias("o"), F.count_if(F.array_contains("named", F.col("word"))).alias("e"))
+
+
+def _entity_words(text: Column) -> Column:
+    return F.array_distinct(F.transform(key_entities(text), lambda e: F.lower(e)))
+
+
 def evidence_summary_hits(summaries: DataFrame, claims: DataFrame, questions: DataFrame) -> DataFrame:
-    """Source lines of claims in sections whose digest shares words with a question: at least two words."""
-    digest = summaries.select("doc_id", "section", F.explode(F.array_distinct(words(F.lower("facts_digest")))).alias("w"))
-    asked = questions.select("query_id", F.explode(F.array_distinct(words(F.lower("text")))).alias("w"))
-    shared = asked.join(digest, "w").groupBy("query_id", "doc_id", "section").agg(F.count(F.lit(1)).alias("n")).where("n >= 2")
-    anchored = shared.withColumn("score", F.least(F.lit(70), F.col("n") * 12) / 100)
+    """Source lines of claims in sections whose digest shares two words with a question, or one of an entity."""
+    digest = summaries.select("doc_id", "section", F.array_distinct(words(F.lower("facts_digest"))).alias("w"))
+    asked = F.array_union(F.array_distinct(words(F.lower("text"))), _entity_words(F.col("text")))
+    shared = _shared_with(questions, digest, ["doc_id", "section"], asked).where("o >= 2 OR e >= 1")
+    anchored = shared.withColumn("score", F.least(F.lit(70), F.col("o") * 12 + F.col("e") * 15) / 100)
     return merge_best([anchored.join(claims.select("doc_id", "section", "pos").distinct(), ["doc_id", "section"]).select("query_id", "doc_id", "pos", "score")])
 
 
+def claim_backlinks(hits: DataFrame, claims: DataFrame, edges: DataFrame, factor: float = 0.65) -> DataFrame:
+    """Source lines of the claims that candidates' claims support, depend on or are linked to, weakened."""
+    from_ = claims.select("doc_id", "pos", F.col("claim_no").alias("a_claim_no"))
+    to = claims.select("doc_id", F.col("pos").alias("to_pos"), F.col("claim_no").alias("b_claim_no"))
+    used = edges.where(F.col("relationship").isin("SUPPORTS", "DEPENDS_ON", "LINKED_TO")).select("doc_id", "a_claim_no", "b_claim_no")
+    moved = hits.join(from_, ["doc_id", "pos"]).join(used, ["doc_id", "a_claim_no"]).join(to, ["doc_id", "b_claim_no"])
+    return merge_best([moved.select("query_id", "doc_id", F.col("to_pos").alias("pos"), (F.col("score") * factor).alias("score"))])
+
+
 def theme_hits(members: DataFrame, themes: dict[str, str], questions: DataFrame) -> DataFrame:
-    """Members of themes whose label and description share two words or more with a question."""
+    """Members of themes whose label and description share words with a question: two, or one of an entity."""
     spark = members.sparkSession
-    described = spark.createDataFrame(sorted(themes.items()), "theme string, about string")  # a fixed list
-    about = described.select("theme", F.array_distinct(tokens(F.col("about"))).alias("a"))
-    hit = questions.join(F.broadcast(about), common(tokens(F.col("text")), F.col("a")) >= 2).select("query_id", "theme", (F.least(F.lit(65), common(tokens(F.col("text")), F.col("a")) * 10) / 100).alias("score"))
-    return merge_best([hit.join(members, "theme").select("query_id", "doc_id", "pos", "score")])
+    described = spark.createDataFrame(sorted(themes.items()), "theme string, about string").select("theme", F.array_distinct(tokens(F.col("about"))).alias("w"))  # a fixed list
+    shared = _shared_with(questions, described, ["theme"], F.array_union(F.array_distinct(tokens(F.col("text"))), _entity_words(F.col("text"))))
+    strong = shared.where("o >= 2 OR e >= 1").withColumn("score", F.least(F.lit(65), F.col("o") * 10 + F.col("e") * 15) / 100)
+    return merge_best([strong.join(members, "theme").select("query_id", "doc_id", "pos", "score")])
 
 
 def literal_terms(question: Column) -> Column:

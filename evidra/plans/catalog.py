@@ -25,7 +25,7 @@ def query(sql: str | None = None) -> Callable[[Query], Query]:
 
 
 def _load() -> None:
-    from evidra.plans import answering, documents, evidence, layouts, responding, retrieving  # noqa: F401  they register themselves
+    from evidra.plans import answering, documents, evidence, layouts, responding, retrieving, scans  # noqa: F401  they register themselves
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
