@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from evidra.functions import rules
+from evidra.functions import rules, seams
 from evidra.functions.text import tenthousandths
-from evidra.operators import graph, questions, retrieval
+from evidra.operators import claims, graph, questions, retrieval
 from evidra.plans import sql
 from evidra.plans.catalog import query
 from evidra.plans.documents import TYPED, typed_lines
@@ -213,6 +213,99 @@ def context_expand(spark: SparkSession, sf_dir: str) -> DataFrame:
     return retrieval.with_context(lines.select("doc_id", "pos"), lines)
 
 
+#: What is searched for by similarity in the oracle: the question and its first five entities.
+_CONTENT = lambda e: f"list_filter(list_distinct({sql.tokens(e)}), lambda w: length(w) > 2 AND NOT list_contains({sql.listed(rules.RECALL_STOP)}, w))"
+_B_INTENT, _B_ANSWER = (sql.rule_chain("lower(text)", r, o) for r, o in ((rules.INTENTS, "'factual_lookup'"), (rules.ANSWER_TYPES, "'description'")))
+_BOOST = " + ".join(
+    "CASE " + " ".join(f"WHEN {c} = {sql.text(k)} AND information_type = {sql.text(t)} THEN {v}" for k, row in rules_.items() for t, v in row.items()) + " ELSE 0 END"
+    for c, rules_ in (("intent", rules.INTENT_BOOSTS), ("answer_type", rules.ANSWER_BOOSTS))
+)
+_VECTOR = f"""asked AS (SELECT item_id AS query_id, text, {_B_INTENT} AS intent, {_B_ANSWER} AS answer_type, {_ENTITIES} AS en FROM benchmark),
+  parts AS (SELECT query_id, 'c0' AS part, text, {sql.mapped("intent", rules.SEARCH_POOL, 35)} AS k, 1.0::DOUBLE AS factor FROM asked
+    UNION ALL SELECT query_id, 'e' || (i - 1), e, 8, 0.8 FROM (SELECT query_id, unnest(en[1:5]) AS e, generate_subscripts(en[1:5], 1) AS i FROM asked)),
+  pw AS (SELECT *, unnest(w) AS word FROM (SELECT query_id, part, k, factor, {_CONTENT("text")} AS w FROM parts)), lw AS (SELECT doc_id, pos, len(w) AS n, unnest(w) AS word FROM (SELECT doc_id, pos, {_CONTENT("text")} AS w FROM lines)),
+  near AS (SELECT query_id, part, k, factor, doc_id, pos, round(count(*) / sqrt(len(any_value(w)) * any_value(n)), 9) AS cosine FROM pw JOIN lw USING (word) GROUP BY query_id, part, k, factor, doc_id, pos),
+  top AS (SELECT * FROM near QUALIFY row_number() OVER (PARTITION BY query_id, part ORDER BY cosine DESC, doc_id, pos) <= k)"""
+
+
+@query(f"""WITH {sql.LINES}{TYPED}, {_VECTOR}, b AS (SELECT query_id, doc_id, pos, factor / (2 - cosine) + CASE WHEN intent = 'summarization' AND page <= 2 THEN 0.25 ELSE 0 END + density / 10000.0::DOUBLE * 0.04 + {_BOOST} AS s
+  FROM top JOIN typed USING (doc_id, pos) JOIN asked USING (query_id))
+SELECT query_id, doc_id, pos, floor(max(s) * 1000000 + 0.5)::BIGINT AS score FROM b GROUP BY ALL""")
+def vector_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines that are similar to questions and their entities, with the boosts of their types."""
+    bench = _bench(spark, sf_dir)
+    parts = retrieval.search_parts(bench).where("part = 'c0' OR part LIKE 'e%'")
+    typed = typed_lines(spark, sf_dir)
+    hits = retrieval.merge_best([retrieval.boosted(retrieval.vector_hits(parts, typed), bench, typed)])
+    return hits.select("query_id", "doc_id", "pos", F.floor(F.col("score") * 1000000 + 0.5).cast("long").alias("score"))
+
+
+_CLAIMS = sql.claims(rules.CLAIM_PATTERNS)
+_ORDER_QUESTIONS = ["Which orders mean a purchase with priority 1-URGENT?", "Order Discount within 30 days", "who"]
+_DIGEST = f"""f AS (SELECT doc_id, section, value, claim_no, row_number() OVER (PARTITION BY doc_id, section ORDER BY claim_no) AS r FROM claims),
+  dw AS (SELECT doc_id, section, list_distinct(string_split_regex(lower(string_agg(value, '; ' ORDER BY claim_no)), '\\s+')) AS dw FROM f WHERE r <= 20 GROUP BY ALL),
+  qs AS (SELECT i - 1 AS query_id, text FROM (SELECT unnest({sql.listed(_ORDER_QUESTIONS)}) AS text, generate_subscripts({sql.listed(_ORDER_QUESTIONS)}, 1) AS i)),
+  qw AS (SELECT query_id, list_distinct(list_transform({_ENTITIES}, lambda e: lower(e))) AS en, list_distinct(list_concat(string_split_regex(lower(text), '\\s+'), list_transform({_ENTITIES}, lambda e: lower(e)))) AS w FROM qs),
+  ov AS (SELECT query_id, doc_id, section, len(list_intersect(w, dw)) AS o, len(list_intersect(en, dw)) AS e FROM qw, dw)"""
+
+
+def _order_questions(spark: SparkSession) -> DataFrame:
+    return spark.createDataFrame(list(enumerate(_ORDER_QUESTIONS)), "query_id long, text string")
+
+
+@query(f"""WITH {_CLAIMS}, {_DIGEST} SELECT query_id, doc_id, pos, max(least(70, 12 * o + 15 * e))::BIGINT AS score100 FROM ov JOIN (SELECT DISTINCT doc_id, section, pos FROM claims) USING (doc_id, section)
+WHERE o >= 2 OR e >= 1 GROUP BY ALL""")
+def evidence_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines of claims in sections whose digest speaks of what questions ask."""
+    found = claims.extract(views.fact_lines(spark, sf_dir))
+    hits = retrieval.evidence_summary_hits(claims.section_evidence(found), found, _order_questions(spark))
+    return hits.select("query_id", "doc_id", "pos", F.round(F.col("score") * 100).cast("long").alias("score100"))
+
+
+@query(f"""WITH {_CLAIMS}, h AS (SELECT DISTINCT doc_id, pos, (pos % 9 + 1) / 10.0::DOUBLE AS score FROM claims WHERE claim_type = 'fact_specification'),
+  e AS (SELECT a.doc_id, a.claim_no AS x, b.claim_no AS y FROM claims a JOIN claims b ON a.doc_id = b.doc_id AND a.section = b.section AND a.claim_no < b.claim_no AND a.pos = b.pos
+    UNION ALL SELECT a.doc_id, a.claim_no, b.claim_no FROM claims a JOIN claims b ON a.doc_id = b.doc_id AND a.claim_no < b.claim_no AND length(a.value) > 4 AND contains(lower(b.value), lower(a.value)))
+SELECT 0::BIGINT AS query_id, h.doc_id, t.pos, floor(max(h.score) * 0.65 * 10000 + 0.5)::BIGINT AS score FROM h JOIN claims f ON f.doc_id = h.doc_id AND f.pos = h.pos JOIN e ON e.doc_id = f.doc_id AND e.x = f.claim_no
+JOIN claims t ON t.doc_id = e.doc_id AND t.claim_no = e.y GROUP BY ALL""")
+def claim_backlinks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines of claims that candidates' claims support or are linked to; lines of priorities play the candidates."""
+    found = claims.extract(views.fact_lines(spark, sf_dir))
+    hits = found.where("claim_type = 'fact_specification'").select(F.lit(0).cast("long").alias("query_id"), "doc_id", "pos", ((F.col("pos") % 9 + 1) / 10).alias("score")).distinct()
+    edges = claims.supports(found).unionByName(claims.linked(found))
+    return retrieval.claim_backlinks(hits, found, edges).select("query_id", "doc_id", "pos", F.floor(F.col("score") * 10000 + 0.5).cast("long").alias("score"))
+
+
+def _every_source(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Benchmark questions, typed and sectioned lines, and the candidates of all sources with their best scores."""
+    bench = _bench(spark, sf_dir)
+    typed = views.sectioned(typed_lines(spark, sf_dir)).withColumn("confidence", (F.lit(6) + F.col("pos") % 5) / 10)
+    plain = typed.select("doc_id", "pos", "page", "section", "text", "confidence")
+    near = retrieval.boosted(retrieval.vector_hits(retrieval.search_parts(bench), plain), bench, typed)
+    chained = retrieval.expand_edges(near, graph.next_lines(plain).withColumn("relationship", F.lit("NEXT_LINE")))
+    intents = bench.select("query_id", F.explode(questions.metadata_intents(F.col("text"))).alias("kind"))
+    found = claims.extract(plain)
+    noted = retrieval.evidence_summary_hits(claims.section_evidence(found), found, bench)
+    themes = {name: " ".join([name, *terms]) for name, (_, terms) in rules.THEMES.items()}
+    members = graph.heuristic_themes(plain).join(plain.select("doc_id", "section", "pos"), ["doc_id", "section"]).select("theme", "doc_id", "pos")
+    sources = [chained, retrieval.keyword_recall(bench, plain), retrieval.metadata_scan(intents, typed), retrieval.theme_hits(members, themes, bench), noted]
+    united = retrieval.merge_best(sources)
+    linked = retrieval.claim_backlinks(united, found, claims.supports(found).where("relationship = 'SUPPORTS'").unionByName(claims.linked(found)))
+    return bench, plain, retrieval.merge_best([united, linked])
+
+
+@query()
+def evidence_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """From question to cited passages: candidates of all sources, consolidation, near repeats out, the re-ranking cascade
+    (without a model the order stays), passages with their confidence."""
+    bench, lines, candidates = _every_source(spark, sf_dir)
+    asked = bench.select("query_id", F.col("text").alias("question"), questions.intent(F.col("text")).alias("intent"))
+    scored = retrieval.consolidate(candidates, asked, lines)
+    pool = _unlike(scored, lines, 40)
+    cited = retrieval.citation_confidence(F.col("alignment_score"), F.col("confidence"), F.col("cross_encoder_score"), F.col("rank") <= 3)
+    chosen = retrieval.cascade(pool.drop("rank"), seams.no_score(F.lit(""), F.lit("")))
+    return retrieval.with_context(chosen, lines).select("query_id", "rank", "doc_id", "pos", "context", cited.alias("citation_confidence"))
+
+
 @query("""WITH e AS (SELECT event_id, (event_id % 101) / 100.0::DOUBLE AS a, (event_id % 7) / 7.0::DOUBLE AS o, CASE WHEN event_id % 3 > 0 THEN (event_id % 21 - 10)::DOUBLE END AS c, event_id % 2 = 0 AS k FROM events)
 SELECT event_id, floor(least(1.0, 0.40 * a + 0.30 * o + 0.20 * least(1.0, CASE WHEN c IS NULL THEN 0.5 ELSE greatest((c + 5) / 10, 0.0) END) + 0.10 + CASE WHEN k THEN 0.10 ELSE 0.0 END) * 1000 + 0.5 + 1e-9)::BIGINT AS confidence FROM e""")
 def citation_confidence(spark: SparkSession, sf_dir: str) -> DataFrame:
