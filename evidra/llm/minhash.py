@@ -39,7 +39,7 @@ from evidra.llm.common import WORD_RE, map_rows, table, written
 
 K, ROWS, WORDS, SIMILARITY = 120, 5, 5, 0.8
 ROUNDS, SLACK = 2, 0.17  # SLACK: 4.6 standard deviations of a signature's estimate at 0.8
-BLOCK, BLOCK_BYTES = 2048, 16 << 20  # nodes, and bytes of their layers, that a block holds on average
+BLOCK, BLOCK_BYTES = 256, 16 << 20  # nodes, and bytes of their layers, that a block holds on average
 PIECE = 1 << 18  # layers looked at together
 _U = np.uint64
 _PRIME = _U(0x9E3779B97F4A7C15)
