@@ -12,8 +12,9 @@ of its layers: (shingle, 1) to (shingle, count). Jaccard similarity of layers is
 
 Classes. Documents of equal words are one node. Nodes that agree in a whole band share a bucket. In each bucket all
 members are compared with one leader, and what the exact similarity confirms is united; buckets that still hold several
-classes get other leaders in the next round. Whatever is still apart after the rounds is compared in pairs of blocks of
-bounded size, across classes, by size and signature first and by layers then. So no link between bucket mates is lost,
+classes get other leaders in the next round. Whatever is still apart after the rounds is compared in blocks of bounded
+size, dealt anew ``MIXES`` times, and at last in all pairs of blocks, across classes, by size and signature first and by
+layers then. So no link between bucket mates is lost,
 and a group of near copies costs a few comparisons a member. Exact copies are counted once, before anything is shuffled
 by bucket. Nodes are told apart by two 64-bit prints of their words (128 bits); their names are 56 bits of the first
 and a number among those that agree in these.
@@ -38,7 +39,7 @@ from pyspark.sql import functions as F
 from evidra.llm.common import WORD_RE, map_rows, table, written
 
 K, ROWS, WORDS, SIMILARITY = 120, 5, 5, 0.8
-ROUNDS, SLACK = 2, 0.17  # SLACK: 4.6 standard deviations of a signature's estimate at 0.8
+ROUNDS, MIXES, SLACK = 2, 2, 0.17  # SLACK: 4.6 standard deviations of a signature's estimate at 0.8
 BLOCK, BLOCK_BYTES = 256, 16 << 20  # nodes, and bytes of their layers, that a block holds on average
 PIECE = 1 << 18  # layers looked at together
 _U = np.uint64
@@ -245,14 +246,15 @@ def _verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame
     return map_rows(with_b.select("ca", "cb", "sa", "sb"), "a long, b long", lambda: function)
 
 
-def _block_links(state: DataFrame, apart: DataFrame, sets: DataFrame, similarity: float, rows: int, block: int) -> DataFrame:
-    """Links (a, b: components) between bucket mates of different components, found in pairs of blocks of bounded
-    size. A pair that shares several buckets is looked at in the one of its first common band. A bucket of g nodes sends
-    each of them to g / ``block`` tasks, or to one for every ``BLOCK_BYTES`` of its members' layers."""
+def _block_links(state: DataFrame, apart: DataFrame, sets: DataFrame, similarity: float, rows: int, block: int, seed: int, across: bool) -> DataFrame:
+    """Links (a, b: components) between bucket mates of different components, found in blocks of bounded size, or
+    ``across`` blocks in all their pairs. Across blocks, a pair that shares several buckets is looked at in the one of its
+    first common band, and a bucket of g nodes sends each of them to g / ``block`` tasks, or to one for every
+    ``BLOCK_BYTES`` of its members' layers. Of the links of a task no more are told than connect what they connect."""
     in_bytes = state.join(sets.select("node", F.col("n").cast("long").alias("n")), "node").groupBy("band").agg((8 * F.sum("n")).alias("bytes"))
     sizes = apart.join(in_bytes, "band").select("band", F.ceil(F.greatest(F.col("g") / block, F.col("bytes") / BLOCK_BYTES)).cast("int").alias("blocks"))
-    placed = state.join(written(sizes, "block-sizes"), "band").withColumn("mine", F.pmod(F.xxhash64(F.lit(7), "node"), "blocks").cast("int"))
-    spread = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    placed = state.join(written(sizes, "block-sizes"), "band").withColumn("mine", F.pmod(F.xxhash64(F.lit(seed), "node"), "blocks").cast("int"))
+    spread = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)) if across else F.col("mine"))
     keyed = spread.select("band", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), "node", "comp")
     members = keyed.join(sets, "node")
 
@@ -264,15 +266,17 @@ def _block_links(state: DataFrame, apart: DataFrame, sets: DataFrame, similarity
         order = np.argsort(sizes, kind="stable")  # mates of x lie in a stretch of sizes
         comps, sizes, signatures, bands = comps[order], sizes[order], signatures[order], bands[order]
         ends = np.searchsorted(sizes, sizes / similarity + 1e-9, side="right")
-        found: set[tuple[int, int]] = set()
+        found: list[tuple[int, int]] = []
+        _, names = np.unique(comps, return_inverse=True)  # what is united, by the smallest place of its components
         for x in range(len(comps) - 1):
-            mates = np.flatnonzero(comps[x + 1 : ends[x]] != comps[x]) + x + 1
+            mates = np.flatnonzero(names[x + 1 : ends[x]] != names[x]) + x + 1
             for y in mates[(signatures[mates] == signatures[x]).mean(1) >= similarity - SLACK] if len(mates) else ():
-                name = (min(int(comps[x]), int(comps[y])), max(int(comps[x]), int(comps[y])))
-                if name not in found and bands[x][(bands[x] == bands[y]).argmax()] == band:
-                    a, b = (np.frombuffer(layers[int(order[z])].as_py(), _U) for z in (x, y))
-                    if _similar(a, b, similarity):
-                        found.add(name)
+                if names[x] == names[y] or across and bands[x][(bands[x] == bands[y]).argmax()] != band:
+                    continue
+                a, b = (np.frombuffer(layers[int(order[z])].as_py(), _U) for z in (x, y))
+                if _similar(a, b, similarity):
+                    found.append((min(int(comps[x]), int(comps[y])), max(int(comps[x]), int(comps[y]))))
+                    names[names == names[y]] = names[x]
         return pa.table({n: pa.array([f[i] for f in found], pa.int64()) for i, n in enumerate("ab")})
 
     return members.groupBy("band", "i", "j").applyInArrow(function, "a long, b long")
@@ -365,9 +369,12 @@ def near_duplicate_classes(docs: DataFrame, similarity: float = SIMILARITY, word
         meets = state.join(lead, "band").where("comp <> ca").select(F.xxhash64(F.lit(nth), "a").alias("turn"), "a", "ca", F.col("node").alias("b"), F.col("comp").alias("cb"))
         lowest = meets.groupBy("b", "cb").agg(F.min(F.struct("turn", "a", "ca")).alias("m"))
         labels = unite(_verified(lowest.select("m.a", "b", "m.ca", "cb"), sets, similarity), labels)
-    state, apart = state_of(labels)
-    if not apart.isEmpty():
-        labels = unite(_block_links(state, apart, sets, similarity, rows, block), labels)
+    # Blocks by themselves, dealt anew, connect most of what is left at a linear cost; then all pairs of blocks.
+    for nth in range(MIXES + 1):
+        state, apart = state_of(labels)
+        if apart.isEmpty():
+            break
+        labels = unite(_block_links(state, apart, sets, similarity, rows, block, nth, nth == MIXES), labels)
 
     named = nodes.select("p1", "p2", "node", "rep").join(labels, "node", "left").select("p1", "p2", "rep", F.coalesce("comp", "node").alias("comp"))
     named = written(named, "components")
