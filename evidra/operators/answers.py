@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from evidra.functions import rules
-from evidra.functions.text import bigrams, common, has_any, literals, sentences, tokens, words
+from evidra.functions.text import bigrams, common, has_any, literals, sentences, strip, tokens, words
 
 
 def facts(answer: Column) -> Column:
@@ -34,24 +34,53 @@ def answer_score(answer: Column, n_facts: Column, question: Column) -> Column:
     return F.when(F.coalesce(answer, F.lit("")) == "", 0).otherwise(scored).cast("long")
 
 
-def arbitrate(evidence: Column, evidence_score: Column, direct: Column, direct_score: Column, metadata: Column) -> Column:
-    """Which path answers, from answers and scores in thousandths: without a model to merge them, the better one."""
+def path_status(answer: Column, score: Column) -> Column:
+    """What became of a path: refused up to 100 thousandths (so also without any text), else empty or ok."""
+    return F.when(score <= 100, "refused").when(F.coalesce(answer, F.lit("")) == "", "empty").otherwise("ok")
+
+
+def arbitrate(
+    evidence: Column, evidence_score: Column, direct: Column, direct_score: Column, metadata: Column,
+    authorship: Column | None = None, raw: Column | None = None, deep: Column | None = None, merged: Column | None = None, failsafe: Column | None = None,
+) -> Column:
+    """Which path answers, from answers and scores in thousandths. ``raw`` tells whether there is raw evidence; ``deep``,
+    ``merged`` and ``failsafe`` are answers of models that read raw evidence, the facts of both paths, and the document;
+    without a model they are null, and the better of both paths answers.
+
+    A question about authorship whose evidence is weak goes to the document. Raw evidence read in depth comes next where
+    the question is about the document itself or evidence was refused, which is also what settles a model's claim that
+    the document says nothing."""
     has = lambda c: F.coalesce(c, F.lit("")) != ""
+    given = lambda c: F.lit(False) if c is None else has(c)
+    raw = F.lit(True) if raw is None else raw
+    authorship = F.lit(False) if authorship is None else authorship
     refused_a, refused_b = evidence_score <= 100, direct_score <= 100
-    both_weak = ((evidence_score == 0) & (direct_score == 0)) | (refused_a & refused_b)
+    deepened = raw & given(deep)
     weak = F.when((direct_score > evidence_score) & has(direct), "llm_direct").when(has(evidence) & (evidence_score > 0), "evidence_graph").otherwise("none")
     return (
-        F.when(metadata & (evidence_score > 0) & ~refused_a, "evidence_graph")
-        .when(both_weak, weak)
-        .when(refused_a & ~refused_b, "llm_direct")
-        .when(evidence_score == 0, "llm_direct")
-        .when(direct_score == 0, "evidence_graph")
+        F.when(authorship & (~raw | refused_a) & given(failsafe), "document_failsafe")
+        .when((metadata | refused_a) & deepened, "deep_analysis")
+        .when(refused_a & refused_b, weak)
+        .when(refused_a, "llm_direct")
+        .when(metadata | (direct_score == 0), "evidence_graph")
         .when((evidence_score >= 550) & (evidence_score > direct_score * 1.4), "evidence_graph")
+        .when(deepened, "deep_analysis")
+        .when(given(merged), "merged")
         .when(evidence_score >= direct_score, "evidence_graph")
         .otherwise("llm_direct")
     )
 
 
+def answer_of(path: Column, evidence: Column, direct: Column, deep: Column | None = None, merged: Column | None = None, failsafe: Column | None = None) -> Column:
+    """The text of the path that answers."""
+    texts = {"evidence_graph": evidence, "llm_direct": direct, "deep_analysis": deep, "merged": merged, "document_failsafe": failsafe}
+    found = F.when(path == "none", "No information found in the document.")
+    for name, text in texts.items():
+        if text is not None:
+            found = found.when(path == name, text)
+    return found
+
+
 def merge_facts(first: Column, second: Column) -> Column:
     """Facts of both paths in order, without those that equal, hold or lie in an earlier one. An ordered fold."""
     every = F.concat(F.coalesce(first, F.array().cast("array<string>")), F.coalesce(second, F.array().cast("array<string>")))
@@ -123,6 +152,14 @@ def without_thoughts(text: Column) -> Column:
     return F.trim(F.regexp_replace(closed, r"(?is)<(think|thought|reasoning)>.*$", ""))
 
 
+def suggestions(reply: Column, keyed: Column) -> Column:
+    """Questions to suggest: the first four lines of a model's reply that ask something; fixed ones where it gives none, and
+    others without a model."""
+    lines = F.transform(F.split(without_thoughts(F.coalesce(reply, F.lit(""))), "\n"), lambda x: strip(x))
+    asked = F.filter(lines, lambda x: F.contains(x, F.lit("?")))
+    return F.when(~keyed, literals(rules.SUGGESTED_WITHOUT_MODEL)).when(F.size(asked) == 0, literals(rules.SUGGESTED_WITHOUT_REPLY)).otherwise(F.slice(asked, 1, 4))
+
+
 def facts_used(reply: Column) -> Column:
     """The bullet lines after the marker of a model's reply."""
     after = F.element_at(F.split(reply, r"FACTS_USED:?"), -1)

@@ -90,3 +90,10 @@ def token_budget(question: Column, intent_: Column, answer_type_: Column, eviden
     base = F.when(evidence >= 15, F.floor(base * 125 / 100)).when(evidence >= 8, F.floor(base * 11 / 10)).otherwise(base)
     base = F.when(answer_type_.isin("list", "explanation", "summary"), F.greatest(base, F.lit(1800))).otherwise(base)
     return F.least(base, F.lit(4096)).cast("long")
+
+
+def synthesis_budget(question: Column, items: Column) -> Column:
+    """Length of an answer that a model makes of facts: by their number, longer for long questions."""
+    base = F.when(items >= 20, 3200).when(items >= 12, 2400).when(items >= 6, 1800).otherwise(1400)
+    n = F.size(words(question))
+    return F.least(F.when(n > 30, F.floor(base * 135 / 100)).when(n > 15, F.floor(base * 115 / 100)).otherwise(base), F.lit(4096)).cast("long")

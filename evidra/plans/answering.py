@@ -42,18 +42,41 @@ def answer_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _pairs(spark, sf_dir).select("conv_id", "turn", score.alias("score"))
 
 
-@query("""WITH s AS (SELECT event_id, (event_id * 37 % 1001)::BIGINT AS a, (event_id * 91 % 1001)::BIGINT AS b, event_id % 5 = 0 AS m FROM events),
-  z AS (SELECT event_id, m, CASE WHEN event_id % 11 = 0 THEN 0 WHEN event_id % 13 = 0 THEN 50 ELSE a END AS a, CASE WHEN event_id % 17 = 0 THEN 0 WHEN event_id % 7 = 0 THEN 50 ELSE b END AS b FROM s)
-SELECT event_id, CASE WHEN m AND a > 100 THEN 'evidence_graph'
-  WHEN a <= 100 AND b <= 100 THEN CASE WHEN b > a AND b > 0 THEN 'llm_direct' WHEN a > 0 THEN 'evidence_graph' ELSE 'none' END
-  WHEN a <= 100 THEN 'llm_direct' WHEN b = 0 THEN 'evidence_graph' WHEN a >= 550 AND a > b * 1.4 THEN 'evidence_graph' WHEN a >= b THEN 'evidence_graph' ELSE 'llm_direct' END AS source_path FROM z""")
+@query("""WITH s AS (SELECT event_id, (event_id * 37 % 1001)::BIGINT AS a, (event_id * 91 % 1001)::BIGINT AS b, event_id % 5 = 0 AS m, event_id % 10 = 0 AS au, event_id % 3 > 0 AS ae, event_id % 19 = 0 AS nd,
+    event_id % 4 = 0 AS d, event_id % 9 < 4 AS mg, event_id % 8 < 4 AS fs FROM events),
+  z AS (SELECT * EXCLUDE (a, b), CASE WHEN event_id % 11 = 0 THEN 0 WHEN event_id % 13 = 0 THEN 50 ELSE a END AS a, CASE WHEN event_id % 17 = 0 THEN 0 WHEN event_id % 7 = 0 THEN 50 ELSE b END AS b FROM s)
+SELECT event_id, CASE WHEN au AND (NOT ae OR a <= 100) AND fs THEN 'document_failsafe'
+  WHEN m AND a > 100 AND ae AND d THEN 'deep_analysis' WHEN m AND a > 100 THEN 'evidence_graph' WHEN m AND ae AND d THEN 'deep_analysis'
+  WHEN NOT m AND nd AND a <= 100 AND ae AND d THEN 'deep_analysis'
+  WHEN a <= 100 AND b <= 100 THEN CASE WHEN ae AND d THEN 'deep_analysis' WHEN b > a AND b > 0 THEN 'llm_direct' WHEN a > 0 THEN 'evidence_graph' ELSE 'none' END
+  WHEN a <= 100 THEN CASE WHEN ae AND d THEN 'deep_analysis' ELSE 'llm_direct' END WHEN b = 0 THEN 'evidence_graph' WHEN a >= 550 AND a > b * 1.4 THEN 'evidence_graph'
+  WHEN ae AND d THEN 'deep_analysis' WHEN mg THEN 'merged' WHEN a >= b THEN 'evidence_graph' ELSE 'llm_direct' END AS source_path,
+  CASE WHEN a <= 100 THEN 'refused' ELSE 'ok' END AS evidence_status FROM z""")
 def arbitration(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Which path answers, over made-up scores."""
+    """Which path answers, over made-up scores and models that answer now and then."""
     e = F.col("event_id")
     a = F.when(e % 11 == 0, 0).when(e % 13 == 0, 50).otherwise(e * 37 % 1001)
     b = F.when(e % 17 == 0, 0).when(e % 7 == 0, 50).otherwise(e * 91 % 1001)
-    text = lambda s: F.when(s > 0, "some text")
-    return table(spark, sf_dir, "events").select("event_id", answers.arbitrate(text(a), a, text(b), b, e % 5 == 0).alias("source_path"))
+    text = lambda given: F.when(given, "some text")
+    models = {"deep": text(e % 4 == 0), "merged": text(e % 9 < 4), "failsafe": text(e % 8 < 4)}
+    path = answers.arbitrate(text(a > 0), a, text(b > 0), b, e % 5 == 0, e % 10 == 0, e % 3 > 0, **models)
+    return table(spark, sf_dir, "events").select("event_id", path.alias("source_path"), answers.path_status(text(a > 0), a).alias("evidence_status"))
+
+
+@query(f"""SELECT conv_id, turn, array_to_string(CASE WHEN turn % 2 = 0 THEN {sql.listed(rules.SUGGESTED_WITHOUT_MODEL)} WHEN len(q) = 0 THEN {sql.listed(rules.SUGGESTED_WITHOUT_REPLY)} ELSE q[1:4] END, '|') AS suggested
+FROM (SELECT conv_id, turn, list_filter(list_transform(string_split(coalesce(text, ''), chr(10)), lambda x: {sql.strip("x")}), lambda x: contains(x, '?')) AS q FROM conversations)""")
+def suggestions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Questions to suggest; messages play the replies of a model, which every second turn goes without."""
+    found = answers.suggestions(F.col("text"), F.col("turn") % 2 != 0)
+    return table(spark, sf_dir, "conversations").select("conv_id", "turn", F.array_join(found, "|").alias("suggested"))
+
+
+@query(f"""SELECT doc_id, least(4096, CASE WHEN n > 30 THEN floor(b * 135 / 100) WHEN n > 15 THEN floor(b * 115 / 100) ELSE b END)::BIGINT AS budget
+FROM (SELECT doc_id, len({sql.words("text")}) AS n, CASE WHEN f >= 20 THEN 3200 WHEN f >= 12 THEN 2400 WHEN f >= 6 THEN 1800 ELSE 1400 END AS b FROM (SELECT doc_id, text, len({_FACTS}) AS f FROM documents))""")
+def synthesis_budget(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Length of an answer made of facts; every text is asked about its own facts."""
+    budget = questions.synthesis_budget(F.col("text"), F.size(answers.facts(F.col("text"))))
+    return table(spark, sf_dir, "documents").select("doc_id", budget.alias("budget"))
 
 
 @query()
@@ -96,10 +119,21 @@ def reply_parsing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def answer_view(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Question, reply, scores, choice and grounding as one JSON object each: what an interface would return."""
-    p = _pairs(spark, sf_dir)
-    score = answers.answer_score(F.col("answer"), F.size(answers.facts(F.col("answer"))), F.col("question"))
-    path = answers.arbitrate(F.col("answer"), F.col("score"), F.lit(None).cast("string"), F.lit(0), questions.is_metadata(F.col("question")))
+    """Question, both paths, choice and grounding as one JSON object each: what an interface would return."""
+    p = _pairs(spark, sf_dir).withColumn("facts", answers.facts(F.col("answer"))).withColumn("direct", F.lit(None).cast("string"))
+    scored = p.withColumn("score", answers.answer_score(F.col("answer"), F.size("facts"), F.col("question"))).withColumn("direct_score", F.lit(0).cast("long"))
+    path = answers.arbitrate(F.col("answer"), F.col("score"), F.col("direct"), F.col("direct_score"), questions.is_metadata(F.col("question")), questions.is_authorship(F.col("question")))
     grounding = F.create_map(*[F.lit(v) for pair in rules.GROUNDING.items() for v in pair])
-    rows = p.withColumn("score", score).withColumn("source_path", path).withColumn("grounding", grounding[F.col("source_path")])
-    return rows.select("conv_id", "turn", F.to_json(F.struct("question", "answer", "score", "source_path", "grounding")).alias("response"))
+    rows = scored.withColumn("source_path", path).withColumn("grounding", F.coalesce(grounding[F.col("source_path")], F.lit(0.5)))
+    one = lambda text, score, facts: F.struct(text.alias("answer_text"), score.alias("score"), answers.path_status(text, score).alias("status"), facts.alias("facts"))
+    none = F.array().cast("array<string>")
+    view = F.struct(
+        "question",
+        answers.answer_of(F.col("source_path"), F.col("answer"), F.col("direct")).alias("answer"),
+        "source_path",
+        "grounding",
+        one(F.col("answer"), F.col("score"), F.col("facts")).alias("path_a"),
+        one(F.col("direct"), F.col("direct_score"), none).alias("path_b"),
+        answers.merge_facts(F.col("facts"), none).alias("merged_facts"),
+    )
+    return rows.select("conv_id", "turn", F.to_json(view).alias("response"))

@@ -59,3 +59,40 @@ def delete_document(spark: SparkSession, path: str, doc_id) -> None:
     for name in ("nodes", "edges"):
         target = jvm.org.apache.hadoop.fs.Path(f"{path}/{name}/doc_id={doc_id}")
         target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+
+
+def save_vectors(vectors: DataFrame, path: str, dimension: int, column: str = "v") -> None:
+    """Vectors as Parquet, a partition per document; documents that are written again are replaced. The dimension is kept
+    with every vector, so that a reader can tell what it was written with."""
+    kept = check_vectors(vectors, dimension, column).withColumn("dimension", F.lit(dimension))
+    kept.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("doc_id").parquet(path)
+
+
+def load_vectors(spark: SparkSession, path: str, dimension: int | None = None, doc_id=None) -> DataFrame:
+    """Vectors of all documents, or of one. With a dimension, ``reindex`` marks those that were written with another."""
+    kept = spark.read.parquet(path)
+    kept = kept if doc_id is None else kept.where(F.col("doc_id") == doc_id)
+    return kept if dimension is None else kept.withColumn("reindex", F.col("dimension") != dimension)
+
+
+def save_metadata(metadata: DataFrame, path: str) -> None:
+    """Metadata of documents as JSON, a partition per document; documents that are written again are replaced."""
+    metadata.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("doc_id").json(path)
+
+
+def load_metadata(spark: SparkSession, path: str, schema: str, doc_id=None) -> DataFrame:
+    """Metadata of all documents, or of one, under a stated schema (which saves the pass that would infer it)."""
+    kept = spark.read.schema(schema).json(path)
+    return kept if doc_id is None else kept.where(F.col("doc_id") == doc_id)
+
+
+def save_pictures(images: DataFrame, path: str) -> None:
+    """Pictures (doc_id, image_id, format, content, ...) as Parquet with their bytes, a partition per document. A file each
+    would be as many small files as pictures; ``load_pictures`` gives the name that such a file would have."""
+    images.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("doc_id").parquet(path)
+
+
+def load_pictures(spark: SparkSession, path: str, doc_id=None) -> DataFrame:
+    """Pictures of all documents, or of one, with their file names."""
+    kept = spark.read.parquet(path).withColumn("filename", F.concat_ws(".", "image_id", "format"))
+    return kept if doc_id is None else kept.where(F.col("doc_id") == doc_id)

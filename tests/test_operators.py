@@ -158,6 +158,44 @@ def test_arbitration(spark, a, b, path):
     assert one(spark, answers.arbitrate(F.col("a"), score("a"), F.col("b"), score("b"), F.lit(False)), a=a, b=b) == path
 
 
+@pytest.mark.parametrize(
+    ("a", "b", "flags", "path"),
+    [
+        (600, 300, {}, "evidence_graph"),  # dominates
+        (600, 300, {"metadata": True, "deep": "d"}, "deep_analysis"),
+        (600, 590, {"deep": "d"}, "deep_analysis"),
+        (600, 590, {"deep": "d", "raw": False, "merged": "m"}, "merged"),
+        (500, 590, {"merged": "m"}, "merged"),
+        (500, 590, {}, "llm_direct"),
+        (500, 590, {"metadata": True, "merged": "m"}, "evidence_graph"),
+        (50, 590, {"deep": "d"}, "deep_analysis"),
+        (50, 590, {"metadata": True}, "llm_direct"),
+        (50, 590, {"authorship": True, "failsafe": "f", "deep": "d"}, "document_failsafe"),
+        (500, 590, {"authorship": True, "failsafe": "f"}, "llm_direct"),
+        (500, 590, {"authorship": True, "failsafe": "f", "raw": False}, "document_failsafe"),
+        (0, 0, {"deep": "d"}, "deep_analysis"),
+        (700, 0, {"deep": "d"}, "evidence_graph"),
+        (0, 0, {}, "none"),
+    ],
+)
+def test_arbitration_with_models(spark, a, b, flags, path):
+    given = {"metadata": False, "authorship": False, "raw": True, "deep": None, "merged": None, "failsafe": None} | flags
+    given = {k: F.lit(v).cast("string") if k in ("deep", "merged", "failsafe") else F.lit(v) for k, v in given.items()}
+    text = lambda s: F.lit("x" if s else None).cast("string")
+    chosen = answers.arbitrate(text(a), F.lit(a), text(b), F.lit(b), **given)
+    said = answers.answer_of(F.col("p"), F.lit("ev"), F.lit("llm"), given["deep"], given["merged"], given["failsafe"])
+    row = spark.range(1).select(chosen.alias("p")).select("p", said.alias("t")).first()
+    texts = {"evidence_graph": "ev", "llm_direct": "llm", "none": "No information found in the document."} | flags
+    assert row.p == path and row.t == texts[{"deep_analysis": "deep", "document_failsafe": "failsafe"}.get(path, path)]
+
+
+def test_suggestions(spark):
+    t = F.col("t")
+    assert one(spark, answers.suggestions(t, F.lit(True)), t="<think>why?</think>A?\nno\n B? \nC?\nD?\nE?") == ["A?", "B?", "C?", "D?"]
+    assert one(spark, answers.suggestions(t, F.lit(True)), t="nothing")[2] == "Who authored this document?"
+    assert one(spark, answers.suggestions(t, F.lit(False)), t="A?")[1] == "Key takeaways?"
+
+
 def test_answers(spark):
     t = F.col("t")
     assert one(spark, answers.facts(t), t="- First fact here. Too short! Second fact follows") == ["First fact here.", "Second fact follows"]

@@ -1,5 +1,6 @@
 import json
 
+import pytest
 from pyspark.sql import functions as F
 
 from evidra.functions import seams
@@ -32,7 +33,32 @@ def test_graph_round_trip(spark, tmp_path):
     assert [r.doc_id for r in files.documents_in(spark, path).collect()] == [2]
 
 
+def test_vector_store(spark, tmp_path):
+    path, made = str(tmp_path / "v"), lambda rows: spark.createDataFrame(rows, "doc_id int, node string, v array<float>")
+    files.save_vectors(made([(1, "a", [1.0, 0.0]), (2, "b", [0.0, 1.0])]), path, 2)
+    files.save_vectors(made([(1, "c", [0.5, 0.5, 0.0])]), path, 3)
+    got = {r.node: (r.doc_id, list(r.v), r.reindex) for r in files.load_vectors(spark, path, 2).collect()}
+    assert got == {"b": (2, [0.0, 1.0], False), "c": (1, [0.5, 0.5, 0.0], True)}
+    assert files.load_vectors(spark, path, doc_id=2).count() == 1
+    with pytest.raises(Exception, match="components"):
+        files.save_vectors(made([(3, "d", [1.0])]), path, 2)
+
+
+def test_metadata_and_pictures(spark, tmp_path):
+    meta, pics = str(tmp_path / "m"), str(tmp_path / "p")
+    for rows in ([(1, "one", None), (2, "two\nlines", 2.5)], [(1, "anew", 1.0)]):
+        files.save_metadata(spark.createDataFrame(rows, "doc_id int, title string, mb double"), meta)
+    got = sorted((r.doc_id, r.title, r.mb) for r in files.load_metadata(spark, meta, "title string, mb double, doc_id int").collect())
+    assert got == [(1, "anew", 1.0), (2, "two\nlines", 2.5)]
+    files.save_pictures(spark.createDataFrame([(1, "img_a_p0_0", "png", b"\x89P"), (2, "x", "jpeg", None)], "doc_id int, image_id string, format string, content binary"), pics)
+    row = files.load_pictures(spark, pics, 1).first()
+    assert (row.filename, bytes(row.content)) == ("img_a_p0_0.png", b"\x89P") and files.load_pictures(spark, pics).count() == 2
+
+
 def test_seams(spark):
+    row = spark.createDataFrame([("t", None)], "t string, s string").select(seams.encoder_text("query", F.col("t")).alias("q"), seams.encoder_text("passage", F.col("t"), F.lit("S")).alias("p"), seams.encoder_text("table", F.col("t"), F.col("s")).alias("n")).first()
+    assert row.q == "Represent this query for retrieving relevant document content: t"
+    assert row.p == "Represent this document passage for retrieval: Section: S. t" and row.n == "Represent this table for retrieval: t"
     row = spark.createDataFrame([("a b a",)], "t string").select(seams.hashed_words(F.col("t")).alias("v")).first()
     assert len(row.v) == seams.DIMENSION and abs(sum(x * x for x in row.v) - 1) < 1e-6
 
