@@ -91,18 +91,21 @@ def expand_edges(candidates: DataFrame, edges: DataFrame) -> DataFrame:
 
 
 def question_parts(question: Column) -> Column:
-    """What a question is matched by: its distinct tokens of over two characters, its phrases of 2 to 4 words with
-    their lengths, and its number of words."""
-    w = words(F.lower(question))
-    size = F.size(w)
+    """What a question is matched by: its distinct tokens of over two characters, its phrases of 2 to 4 words by the word
+    they begin with, what stands around the first space of each, and its number of words."""
+    asked = words(F.lower(question))
 
-    def phrases(k: int) -> Column:
-        starts = F.sequence(F.lit(1), F.greatest(size - k + 1, F.lit(1)))
-        made = F.transform(starts, lambda i: F.struct(F.lit(k).alias("k"), F.array_join(F.slice(w, i, k), " ").alias("p")))
-        return F.when(size >= k, made).otherwise(F.filter(made, lambda p: F.lit(False)))
+    def starts(w: Column) -> Column:
+        def phrase(i: Column, k: int) -> Column:
+            p = F.array_join(F.slice(w, i + 1, k), " ")
+            return F.when((i + k <= F.size(w)) & (F.char_length(p) > 5), p)
 
-    every = F.filter(F.concat(phrases(2), phrases(3), phrases(4)), lambda p: F.char_length(p["p"]) > 5)
-    return F.struct(_long_tokens(question).alias("tokens"), every.alias("phrases"), size.alias("size"))
+        around = lambda i: F.concat(F.substring(F.get(w, i), -1, 1), F.lit(" "), F.substring(F.get(w, i + 1), 1, 1))
+        every = F.transform(F.sequence(F.lit(0), F.greatest(F.size(w) - 2, F.lit(0))), lambda i: F.struct(around(i).alias("space"), *[phrase(i, k).alias(f"p{k}") for k in (2, 3, 4)]))
+        return F.filter(every, lambda s: F.coalesce(s["p2"], s["p3"], s["p4"]).isNotNull())
+
+    phrases = F.transform(F.array(asked), starts)[0]  # binds the words, which lambdas would make anew for each of them
+    return F.struct(_long_tokens(question).alias("tokens"), phrases.alias("phrases"), F.array_distinct(F.transform(phrases, lambda s: s["space"])).alias("spaces"), F.size(asked).alias("size"))
 
 
 def _long_tokens(text: Column) -> Column:
@@ -110,15 +113,37 @@ def _long_tokens(text: Column) -> Column:
 
 
 def line_parts(text: Column) -> Column:
-    """What a line is matched by: its distinct tokens of over two characters and its text in lower case."""
-    return F.struct(_long_tokens(text).alias("tokens"), F.lower(text).alias("low"))
+    """What a line is matched by: its distinct tokens of over two characters, its text in lower case, and the characters
+    around its spaces."""
+    low = F.lower(text)
+    spaces = F.array_distinct(F.regexp_extract_all(low, F.lit(r"(?=(\S \S))"), 1))
+    return F.struct(_long_tokens(text).alias("tokens"), low.alias("low"), spaces.alias("spaces"))
+
+
+def line_worth(text: Column) -> Column:
+    """What a line's form takes from its score and adds to it, whatever is asked."""
+    n, length = F.size(words(strip(text))), F.char_length(text)
+    added = F.when(length > 120, 0.06).when(length > 60, 0.03).otherwise(0.0)
+    return F.struct(
+        F.when(is_structural_noise(text), 0.12).otherwise(0.0).alias("noise"), added.alias("long"), F.when((n >= 8) & (length > 60), 0.04).otherwise(0.0).alias("full")
+    )
 
 
 def text_match(question: Column, line: Column) -> Column:
     """Overlap of a line with a question (0 to 1): shared words, a shared phrase of 2 to 4 words, long shared words.
-    Both sides come as parts, which are made once a question and once a line, not once a pair."""
+    Both sides come as parts, which are made once a question and once a line, not once a pair. A line can hold a phrase
+    only where it has a space between the same two characters, so few phrases are looked for in it."""
     shared = F.array_intersect(question["tokens"], line["tokens"])
-    longest = F.aggregate(question["phrases"], F.lit(0), lambda best, p: F.when((p["k"] > best) & F.contains(line["low"], p["p"]), p["k"]).otherwise(best))
+    spaces = F.array_intersect(question["spaces"], line["spaces"])
+
+    def longer(best: Column, s: Column) -> Column:
+        held = F.lit(None).cast("int")
+        for k in (2, 3, 4):
+            held = F.when((best < k) & F.contains(line["low"], s[f"p{k}"]), k).otherwise(held)
+        return F.coalesce(held, best)
+
+    # The array of one item binds the shared spaces to a name: inside a lambda they would be found anew for each phrase.
+    longest = F.transform(F.array(spaces), lambda held: F.aggregate(F.filter(question["phrases"], lambda s: F.array_contains(held, s["space"])), F.lit(0), longer))[0]
     rare = F.least(F.lit(0.3), F.size(F.filter(shared, lambda x: F.char_length(x) >= 6)) * 0.1)
     score = F.size(shared) / F.size(question["tokens"]) + longest * 0.3 / question["size"] + rare
     return F.when(F.size(question["tokens"]) == 0, 0.0).otherwise(F.least(F.lit(1.0), score))
@@ -138,17 +163,15 @@ def consolidate(candidates: DataFrame, questions: DataFrame, lines: DataFrame, b
     """Final scores of candidates. ``questions``: query_id, question, intent; ``lines``: doc_id, pos, section, text,
     confidence. Lines outside a question's three best sections count less unless the intent is broad."""
     questions = questions.select("query_id", "intent", question_parts(F.col("question")).alias("q_parts"))
-    c = candidates.join(lines.withColumn("l_parts", line_parts(F.col("text"))), ["doc_id", "pos"])
+    c = candidates.join(lines.withColumns({"l_parts": line_parts(F.col("text")), "worth": line_worth(F.col("text"))}), ["doc_id", "pos"])
     sections = c.groupBy("query_id", "doc_id", "section").agg(F.max("score").alias("best"))
     top = sections.withColumn("r", F.row_number().over(Window.partitionBy("query_id", "doc_id").orderBy(F.desc("best"), "section"))).where("r <= 3").select("query_id", "doc_id", "section", F.lit(True).alias("in_top"))
     joined = c.join(top, ["query_id", "doc_id", "section"], "left").join(questions, "query_id")
-    text = F.col("text")
     match = text_match(F.col("q_parts"), F.col("l_parts"))
-    n, length = F.size(words(strip(text))), F.char_length(text)
     score = F.lit(0.7) * F.col("score") + F.lit(0.3) * F.col("match")
-    score = score - F.when(is_structural_noise(text), 0.12).otherwise(0.0)
+    score = score - F.col("worth.noise")
     score = score + F.when((F.col("match") > 0.5) & (F.col("score") < 0.4), 0.15).otherwise(0.0)
-    score = score + F.when(length > 120, 0.06).when(length > 60, 0.03).otherwise(0.0) + F.when((n >= 8) & (length > 60), 0.04).otherwise(0.0)
+    score = score + F.col("worth.long") + F.col("worth.full")
     score = score * F.when(F.col("intent").isin(*broad) | F.col("in_top"), 1.0).otherwise(0.85)
     score = score * F.pow(F.coalesce("confidence", F.lit(1.0)), 1.5)
     return joined.withColumn("match", match).select("query_id", "doc_id", "pos", "section", "text", "confidence", F.col("score").alias("semantic"), F.least(score, F.lit(1.0)).alias("alignment_score"))
