@@ -2,8 +2,9 @@ import random
 import zlib
 
 import numpy as np
+import pytest
 
-from evidra.llm.toxicity import Scorer, isotonic, score_toxicity, undone
+from evidra.llm.toxicity import Scorer, Trees, features, fit_scorer, isotonic, score_toxicity, undone
 
 BAD = ["grobnik", "flarpent", "zotterish", "mukelade"]
 
@@ -58,3 +59,65 @@ def test_isotonic_rises():
     x = r.random(200)
     knots, values = isotonic(x, (r.random(200) < x).astype(float))
     assert all(a <= b for a, b in zip(knots, knots[1:], strict=False)) and 0 < min(values) and max(values) < 1
+
+
+def naive_score(scorer, text):
+    """The score by recursion through the trees and a search for the knots around the sum."""
+
+    def walk(tree, at, row):
+        f, value, left, right = tree[at]
+        return value if f < 0 else walk(tree, left if row[f] <= value else right, row)
+
+    row = features(text, *scorer.lexicons)
+    raw = scorer.trees.base + sum(walk(tree, 0, row) for tree in scorer.trees.trees)
+    knots, values = list(scorer.knots), list(scorer.values)
+    if raw <= knots[0] or raw >= knots[-1]:
+        return values[0] if raw <= knots[0] else values[-1]
+    i = max(k for k in range(len(knots)) if knots[k] <= raw)
+    return values[i] + (values[i + 1] - values[i]) * (raw - knots[i]) / (knots[i + 1] - knots[i])
+
+
+def test_scores_by_walking_the_trees(spark, make_docs):
+    rows = corpus()
+    kind = "doc_id long, toxic int, score double, predicted int, text string, line string"
+    labels = spark.createDataFrame([(i, y, 0.5, 1, "x", "y") for i, _, y in rows], kind)
+    long = " ".join(t for _, t, _ in rows) * 4
+    docs = make_docs([(i, t, "s") for i, t, _ in rows] + [(1000, None, "s"), (1001, long, "s"), (5, rows[5][1], "s"), (5, rows[5][1], "s")])
+    docs = docs.withColumn("score", docs.n_chars).withColumn("toxic", docs.n_chars).withColumn("predicted", docs.text)
+    got = score_toxicity(docs, labels).collect()
+    scorer, texts = fit_scorer(docs, labels), {i: t for i, t, _ in rows} | {1000: None, 1001: long}
+    assert len(got) == len(rows) + 4 and sum(r.doc_id == 5 for r in got) == 3
+    assert all(abs(r.score - naive_score(scorer, texts[r.doc_id])) < 1e-9 for r in got)
+
+
+def test_first_split_is_the_best_one():
+    r = np.random.default_rng(1)
+    x = np.round(r.normal(size=(80, 3)), 1)
+    y = (x[:, 1] + 0.3 * r.normal(size=80) > 0.2).astype(float)
+    fitted = Trees.fit(x, y, rounds=1, depth=1)
+    p = y.mean()
+    grad, h = y - p, p * (1 - p)
+
+    def gain(left):
+        part = lambda rows: grad[rows].sum() ** 2 / (h * rows.sum() + 1)
+        return part(left) + part(~left)
+
+    ((f, cut, left, right), *leaves) = fitted.trees[0]
+    chosen = x[:, f] <= cut
+    assert all(gain(x[:, g] <= c) <= gain(chosen) + 1e-9 for g in range(3) for c in np.quantile(x[:, g], np.linspace(0, 1, 33)[1:-1]))
+    for at, rows in ((left, chosen), (right, ~chosen)):
+        assert leaves[at - 1][:2] == (-1, pytest.approx(0.2 * grad[rows].sum() / (h * rows.sum() + 1)))
+
+
+def test_isotonic_means_are_the_least_squares_ones():
+    r = np.random.default_rng(2)
+    raw, y = np.sort(r.random(60)), (r.random(60) < np.linspace(0.1, 0.9, 60)).astype(float)
+    mean = lambda j, k: y[j : k + 1].mean()
+    fit = [max(min(mean(j, k) for k in range(i, 60)) for j in range(i + 1)) for i in range(60)]
+    blocks = [[i for i in range(60) if abs(fit[i] - m) < 1e-12] for m in sorted({round(v, 12) for v in fit})]
+    blocks = [b for b in blocks if b]
+    knots, values = isotonic(raw, y)
+    assert len(knots) == len(blocks)
+    for b, at, value in zip(blocks, knots, values, strict=True):
+        m = y[b].mean()
+        assert at == pytest.approx(raw[b].mean()) and value == pytest.approx((m * len(b) + 0.5 * (0.02 + 0.96 * (m >= 0.5))) / (len(b) + 0.5))
