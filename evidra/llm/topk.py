@@ -36,9 +36,9 @@ STEPS = (4, 32)  # blocks that a query has seen after the first rounds, those of
 _RESULT = "query_id long, rank int, vec_id long, score long"
 
 
-def integers(vectors: DataFrame, vector: str = "embedding") -> DataFrame:
+def integers(vectors: DataFrame, vector: str = "embedding", also: tuple[str, ...] = ()) -> DataFrame:
     """Rows that take part: vec_id, dimension, floor(256 x) as 64-bit integers without zeros at the end, squared norm,
-    largest component."""
+    largest component, and columns of 64-bit integers that come along."""
     usable = F.col("vec_id").isNotNull() & F.expr(f"{vector} IS NOT NULL AND forall({vector}, x -> x IS NOT NULL AND NOT isnan(x) AND abs(x) < double('Infinity'))")
 
     def run(batches):
@@ -53,10 +53,12 @@ def integers(vectors: DataFrame, vector: str = "embedding") -> DataFrame:
                 pa.array([f.astype(np.int64).tobytes() for f in floats], pa.binary()),
                 pa.array([float(f @ f) for f in floats], pa.float64()),
                 pa.array(top, pa.float64()),
+                *batch.columns[2:],
             ]
-            yield pa.RecordBatch.from_arrays(columns, names=["vec_id", "d", "v", "norm2", "top"])
+            yield pa.RecordBatch.from_arrays(columns, names=["vec_id", "d", "v", "norm2", "top", *also])
 
-    return vectors.where(usable).select("vec_id", vector).mapInArrow(run, "vec_id long, d int, v binary, norm2 double, top double")
+    schema = "vec_id long, d int, v binary, norm2 double, top double" + "".join(f", {c} long" for c in also)
+    return vectors.where(usable).select("vec_id", vector, *(F.col(c).cast("long") for c in also)).mapInArrow(run, schema)
 
 
 def _matrix(values, d: int) -> np.ndarray:
