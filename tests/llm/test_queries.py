@@ -22,6 +22,9 @@ COLUMNS = {
     "op8_html_text": ("pages", ["page_id", "url", "text", "n_chars"]),
     "op9_lm_score": ("documents", ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"]),
     "op10_warc": ("pages", ["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"]),
+    "op11_token_counts": ("documents", ["doc_id", "n_bytes", "n_tokens", "over_limit"]),
+    "op12_negatives": (None, ["anchor_id", "positive_id", "rank", "negative_id", "positive_score", "negative_score"]),
+    "op13_resampling": ("documents", ["doc_id", "n_features", "weight", "score", "rank"]),
 }
 
 
@@ -39,7 +42,7 @@ def test_query(spark, name):
         assert len(rows) == spark.read.parquet(f"{DATA}/{source}.parquet").count()
     if name in registry.oracle_sql():
         connection = duckdb.connect()
-        for table in ("documents", "pages", "embeddings"):
+        for table in ("documents", "pages", "embeddings", "benchmark"):
             connection.execute(f"CREATE VIEW {table} AS SELECT * FROM read_parquet('{DATA}/{table}.parquet')")
         cursor = connection.execute(registry.oracle_sql()[name])
         names = [d[0] for d in cursor.description]
