@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 
 from evidra.functions import rules
 from evidra.functions.text import has_any, strip
+from evidra.operators.paths import shortest_paths
+from evidra.operators.substrings import contained
 
 
 def extract(lines: DataFrame) -> DataFrame:
@@ -72,18 +74,25 @@ def contradictions(claims: DataFrame, kinds: tuple[str, ...] = ("entity_date", "
     return _pairs(typed, "doc_id", "section", "claim_type").where("a_value <> b_value").select("doc_id", "a_claim_no", "b_claim_no", F.lit("CONTRADICTS").alias("relationship"))
 
 
-def linked(claims: DataFrame) -> DataFrame:
-    """Pairs of which the later value holds the earlier one (of more than four characters)."""
-    pairs = _pairs(claims, "doc_id").where((F.char_length("a_value") > 4) & F.contains(F.lower("b_value"), F.lower("a_value")))
+def linked(claims: DataFrame, least: int = 4) -> DataFrame:
+    """Pairs of which the later value holds the earlier one (of more than ``least`` characters). Different values are
+    looked up in each other first; claims that have them follow."""
+    values = claims.select("doc_id", F.col("value").alias("needle")).where(F.char_length("needle") > least)
+    held = contained(values, claims.select("doc_id", F.col("value").alias("text")), "doc_id")
+    a = claims.select("doc_id", F.col("claim_no").alias("a_claim_no"), F.col("value").alias("needle"))
+    b = claims.select("doc_id", F.col("claim_no").alias("b_claim_no"), F.col("value").alias("text"))
+    pairs = held.join(a, ["doc_id", "needle"]).join(b, ["doc_id", "text"]).where("a_claim_no < b_claim_no")
     return pairs.select("doc_id", "a_claim_no", "b_claim_no", F.lit("LINKED_TO").alias("relationship"))
 
 
 def depends(claims: DataFrame) -> DataFrame:
-    """Claims whose value holds a term that another claim of the document defines."""
-    term = F.lower(strip(F.element_at(F.split("value", " = "), 1)))
-    terms = claims.where("claim_type = 'fact_definition'").select("doc_id", F.col("claim_no").alias("definition_no"), term.alias("term")).where(F.char_length("term") > 2)
-    uses = claims.join(terms, "doc_id").where((F.col("claim_no") != F.col("definition_no")) & F.contains(F.lower("value"), F.col("term")))
-    return uses.select("doc_id", "claim_no", "definition_no").distinct()
+    """Claims whose value holds a term that another claim of the document defines; the last one that defines it counts."""
+    term = F.lower(strip(F.element_at(F.split("value", "="), 1)))
+    defined = claims.where((F.col("claim_type") == "fact_definition") & F.contains("value", F.lit("="))).select("doc_id", "claim_no", term.alias("needle"))
+    terms = defined.groupBy("doc_id", "needle").agg(F.max("claim_no").alias("definition_no"))
+    valued = claims.select("doc_id", "claim_no", F.lower("value").alias("text"))
+    uses = contained(terms, valued, "doc_id", q=3).join(terms, ["doc_id", "needle"]).join(valued, ["doc_id", "text"])
+    return uses.where("claim_no <> definition_no").select("doc_id", "claim_no", "definition_no").distinct()
 
 
 def section_evidence(claims: DataFrame, values: int = 20) -> DataFrame:
@@ -104,11 +113,16 @@ def claim_edges(claims: DataFrame) -> DataFrame:
     return reduce(DataFrame.unionByName, [p.withColumn("write_seq", F.lit(i)) for i, p in enumerate(parts)])
 
 
-def evidence_chains(claims: DataFrame, window: int = 40) -> DataFrame:
-    """Pairs of claim-bearing lines of different sections, fewer than ``window`` such lines apart and not neighbours:
-    these are at most four steps apart through their sections and the document."""
+def evidence_chains(claims: DataFrame, edges: DataFrame, window: int = 40) -> DataFrame:
+    """Pairs of claim-bearing lines of different sections, fewer than ``window`` such lines apart, that a shortest path of
+    two to four edges connects in the graph (doc_id, src, dst): lines p1 and p2, chain_length (nodes) and via (the inner
+    ones). Lines that are neighbours already make no chain."""
     bearing = claims.select("doc_id", "section", "pos").distinct()
     ranked = bearing.withColumn("idx", F.row_number().over(Window.partitionBy("doc_id").orderBy("pos")))
     spread = ranked.select("doc_id", F.col("section").alias("s1"), F.col("pos").alias("p1"), "idx").withColumn("idx2", F.explode(F.sequence(F.col("idx") + 1, F.col("idx") + window - 1)))
     other = ranked.select("doc_id", F.col("section").alias("s2"), F.col("pos").alias("p2"), F.col("idx").alias("idx2"))
-    return spread.join(other, ["doc_id", "idx2"]).where("s1 <> s2 AND p2 <> p1 + 1").select("doc_id", "p1", "p2")
+    line = lambda c: F.concat(F.lit("line:"), F.col(c).cast("string"))
+    pairs = spread.join(other, ["doc_id", "idx2"]).where("s1 <> s2").select("doc_id", line("p1").alias("a"), line("p2").alias("b"))
+    found = shortest_paths(edges, pairs).where("steps >= 2")
+    at = lambda c: F.substring(c, 6, 20).cast("int")
+    return found.select("doc_id", at("a").alias("p1"), at("b").alias("p2"), (F.col("steps") + 1).alias("chain_length"), "via")

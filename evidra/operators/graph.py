@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from evidra.functions import rules
 from evidra.functions.text import has_any, strip, words
+from evidra.operators.substrings import contained
 
 
 def next_lines(sectioned: DataFrame) -> DataFrame:
@@ -87,9 +88,11 @@ def definition_terms(lines: DataFrame) -> DataFrame:
 
 def definition_uses(lines: DataFrame) -> DataFrame:
     """Lines that use a term which another line defines; of several terms of one line the first defined counts."""
-    uses = lines.join(definition_terms(lines), "doc_id").where((F.col("pos") != F.col("def_pos")) & F.contains(F.lower("text"), F.col("term")))
-    first = Window.partitionBy("doc_id", "def_pos", "pos").orderBy("first_pos", "term")
-    return uses.withColumn("r", F.row_number().over(first)).where("r = 1").select("doc_id", "def_pos", F.col("pos").alias("use_pos"), "term")
+    terms = definition_terms(lines).withColumnRenamed("term", "needle")
+    low = lines.select("doc_id", "pos", F.lower("text").alias("text"))
+    uses = contained(terms, low, "doc_id", q=3).join(terms, ["doc_id", "needle"]).join(low, ["doc_id", "text"]).where("pos <> def_pos")
+    first = Window.partitionBy("doc_id", "def_pos", "pos").orderBy("first_pos", "needle")
+    return uses.withColumn("r", F.row_number().over(first)).where("r = 1").select("doc_id", "def_pos", F.col("pos").alias("use_pos"), F.col("needle").alias("term"))
 
 
 def type_rollup(typed: DataFrame, *group: str) -> DataFrame:

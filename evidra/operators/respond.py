@@ -138,22 +138,6 @@ def extractive_answers(evidence: DataFrame, label_match: Column, least: float =
     return best.select("query_id", strip(F.regexp_replace("span", r"\.+$", "")).alias("answer"), "doc_id", "pos")
 
 
-def claim_backlinks(hits: DataFrame, edges: DataFrame, claims: DataFrame, factor: float = 0.65) -> DataFrame:
-    """Source lines of claims that a found claim supports, depends on or is linked to, at a weaker score.
-    Hits are (query_id, doc_id, claim_no, score)."""
-    along = edges.where(F.col("relationship").isin("SUPPORTS", "DEPENDS_ON", "LINKED_TO")).select("doc_id", F.col("a_claim_no").alias("claim_no"), F.col("b_claim_no").alias("to_no"))
-    moved = hits.join(along, ["doc_id", "claim_no"]).select("query_id", "doc_id", F.col("to_no").alias("claim_no"), (F.col("score") * factor).alias("score"))
-    return moved.join(claims.select("doc_id", "claim_no", "pos"), ["doc_id", "claim_no"]).groupBy("query_id", "doc_id", "pos").agg(F.max("score").alias("score"))
-
-
-def concept_hits(concepts: DataFrame, asked: DataFrame) -> DataFrame:
-    """Sections whose concepts hold, or lie in, a question's entities. Concepts are (doc_id, section, concept), questions
-    (query_id, entity): few rows a question, matched by substring."""
-    pairs = asked.join(concepts, F.contains(F.lower("concept"), F.lower("entity")) | F.contains(F.lower("entity"), F.lower("concept")))
-    found = pairs.groupBy("query_id", "doc_id", "section").agg(F.count(F.lit(1)).alias("n"))
-    return found.select("query_id", "doc_id", "section", (F.least(F.lit(55), F.col("n") * 15) / 100).alias("score"))
-
-
 def step_log(source_path: Column, n_evidence: Column) -> Column:
     """What happened to a question, step by step."""
     steps = ["interpret", "retrieve", "rerank", "generate", "arbitrate", "format"]

@@ -322,11 +322,6 @@ def theme_hits(members: DataFrame, themes: dict[str, str], questions: DataFrame)
     return merge_best([strong.join(members, "theme").select("query_id", "doc_id", "pos", "score")])
 
 
-def literal_terms(question: Column) -> Column:
-    """Search terms of a question as an array."""
-    return F.array_except(F.filter(tokens(question), lambda w: F.char_length(w) > 2), literals(rules.RECALL_STOP))
-
-
 def rerank(hits: DataFrame, score: Column, k: int = 25) -> DataFrame:
     """Hits ordered anew by a cross-encoder's score: its logistic value blended with their alignment. Without scores
     (null) the order stays."""

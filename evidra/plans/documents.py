@@ -151,14 +151,24 @@ def knn_l2(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vectors.nearest(v.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), F.col("v").alias("q")), v, 5, "l2").select("query_id", "vec_id", "rank")
 
 
-@query("""WITH v AS (SELECT vec_id, embedding, label AS section FROM embeddings), f AS (SELECT * FROM v ORDER BY vec_id LIMIT 15), s AS (
-  SELECT f.vec_id AS query_id, f.section AS qs, c.vec_id, c.section, round(list_sum(list_transform(list_zip(f.embedding, c.embedding), lambda p: p[1]::DOUBLE * p[2]::DOUBLE)), 9) AS score
-  FROM f JOIN v c ON f.vec_id <> c.vec_id), r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INTEGER AS rank FROM s QUALIFY rank <= 3)
-SELECT query_id, vec_id, rank FROM r WHERE greatest(0, 1 - score) < 0.95 AND qs <> section""")
+_LETTERS = "etaonisrhldcumpfgwybvkxjqz"
+_UNIT = f"[{', '.join(f"length(text) - length(replace(low, '{c}', ''))" for c in _LETTERS)}]::DOUBLE[]"
+
+
+def letter_vectors(lines: DataFrame) -> DataFrame:
+    """Lines with their letters' numbers as vectors v, which stand in for a model's."""
+    low = F.lower("text")
+    return lines.withColumn("v", F.array(*[(F.char_length("text") - F.char_length(F.replace(low, F.lit(c), F.lit("")))).cast("double") for c in _LETTERS]))
+
+
+@query(f"""WITH {sql.SECTIONED}{TYPED.replace("FROM paged", "FROM sectioned")}, v AS (SELECT doc_id, pos, section, density, {_UNIT} AS v FROM (SELECT *, lower(text) AS low FROM typed)),
+  u AS (SELECT *, greatest(sqrt(list_dot_product(v, v)), 1e-12) AS n FROM v), f AS (SELECT * FROM u WHERE density >= 6500 QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY pos) <= 15),
+  s AS (SELECT f.doc_id, f.pos AS query_pos, f.section AS qs, u.pos, u.section, round(greatest(0, 1 - list_dot_product(f.v, u.v) / (f.n * u.n)), 9) AS d FROM f JOIN u ON f.doc_id = u.doc_id),
+  r AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY doc_id, query_pos ORDER BY d, pos) <= 3)
+SELECT doc_id, query_pos, pos, round(1 - d, 4) AS similarity FROM r WHERE d < 0.35 AND qs <> section AND pos <> query_pos""")
 def semantic_links(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Links between near vectors of different sections (threshold widened for the synthetic vectors)."""
-    v = table(spark, sf_dir, "embeddings").select("vec_id", F.col("embedding").alias("v"), F.col("label").alias("section"))
-    return vectors.semantic_links(v, largest=0.95).select("query_id", "vec_id", "rank")
+    """Links from the first dense lines of each document to near lines of its other sections."""
+    return vectors.semantic_links(letter_vectors(views.sectioned(typed_lines(spark, sf_dir))).select("doc_id", "pos", "section", "density", "v"))
 
 
 @query(f"""WITH {sql.LINES}, t AS (SELECT doc_id, pos, text, row_number() OVER (PARTITION BY doc_id ORDER BY pos) AS r FROM lines WHERE {sql.strip("text")} <> '')

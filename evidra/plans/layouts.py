@@ -139,11 +139,11 @@ def section_sessionize(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _sectioned(spark, sf_dir).select("doc_id", "pos", "section")
 
 
-@query(f"""WITH {sql.SECTIONED}, n AS (SELECT *, lead(pos) OVER o AS next_pos, lead(page) OVER o AS np, lead(section) OVER o AS ns, lead(text) OVER o AS nt FROM sectioned WINDOW o AS (PARTITION BY doc_id ORDER BY pos))
+@query(f"""WITH {sql.sectioned(7)}, n AS (SELECT *, lead(pos) OVER o AS next_pos, lead(page) OVER o AS np, lead(section) OVER o AS ns, lead(text) OVER o AS nt FROM sectioned WINDOW o AS (PARTITION BY doc_id ORDER BY pos))
 SELECT doc_id, pos, next_pos FROM n WHERE np = page + 1 AND ns = section AND NOT {sql.is_header("nt")}""")
 def cross_page_continuity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Lines that go on on the next page."""
-    return layout.continuity(_sectioned(spark, sf_dir))
+    """Lines that go on on the next page; sections of seven lines, so that some reach over a page's end."""
+    return layout.continuity(views.sectioned(views.lines(table(spark, sf_dir, "documents")), 7))
 
 
 _SPANS = ", spans AS (SELECT doc_id, section, min(page) AS page_start, max(page) AS page_end, count(*)::BIGINT AS n_lines FROM sectioned GROUP BY doc_id, section)"
@@ -220,7 +220,7 @@ def next_line_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.next_lines(_sectioned(spark, sf_dir))
 
 
-_EDGES = """, secs AS (SELECT DISTINCT doc_id, section FROM sectioned), chain AS (
+EDGES = """, secs AS (SELECT DISTINCT doc_id, section FROM sectioned), chain AS (
   SELECT doc_id, pos, section, lead(pos) OVER o AS np, lead(section) OVER o AS ns FROM sectioned WINDOW o AS (PARTITION BY doc_id ORDER BY pos)), edges AS (
   SELECT doc_id, 'doc:' || doc_id AS src, 'sec:' || section AS dst, 'BELONGS_TO' AS relationship, 0 AS write_seq FROM secs
   UNION ALL SELECT doc_id, 'sec:' || section, 'doc:' || doc_id, 'SECTION_SUMMARY_OF', 1 FROM secs
@@ -229,7 +229,7 @@ _EDGES = """, secs AS (SELECT DISTINCT doc_id, section FROM sectioned), chain AS
   UNION ALL SELECT doc_id, 'line:' || pos, 'line:' || np, 'NEXT_LINE', 4 FROM chain WHERE ns = section)"""
 
 
-@query(f"WITH {sql.SECTIONED}{_EDGES} SELECT doc_id, src, dst, arg_max(relationship, write_seq) AS relationship FROM edges GROUP BY doc_id, src, dst")
+@query(f"WITH {sql.SECTIONED}{EDGES} SELECT doc_id, src, dst, arg_max(relationship, write_seq) AS relationship FROM edges GROUP BY doc_id, src, dst")
 def structure_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Edges of the document tree, one for each pair of nodes."""
     return graph.collapse_edges(graph.structure_edges(_sectioned(spark, sf_dir)), "doc_id", "src", "dst")
@@ -272,22 +272,31 @@ def confidence_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.confidence_rollup(lines.select("doc_id", "section").distinct(), lines)
 
 
-def _theme_sql() -> str:
+def _themes_sql() -> str:
     cases = [f"CASE WHEN {sql.any_of('three', t)} THEN {sql.text(label)} END" for label, (t, _) in rules.THEMES.items()]
     cases.append(f"CASE WHEN {sql.any_of('five', ['author', 'abstract', 'keyword', 'affiliation'])} THEN 'Document Metadata' END")
-    return f"""WITH {sql.SECTIONED}, r AS (SELECT *, row_number() OVER (PARTITION BY doc_id, section ORDER BY pos) AS r FROM sectioned),
+    return f"""{sql.REPORTS}, r AS (SELECT *, row_number() OVER (PARTITION BY doc_id, section ORDER BY pos) AS r FROM reports),
   s AS (SELECT doc_id, section, lower(string_agg(text, ' ' ORDER BY pos) FILTER (WHERE r <= 3)) AS three, lower(string_agg(text, ' ' ORDER BY pos) FILTER (WHERE r <= 5)) AS five FROM r GROUP BY ALL),
-  u AS (SELECT doc_id, section, unnest([{", ".join(cases)}]) AS theme FROM s) SELECT doc_id, section, theme FROM u WHERE theme IS NOT NULL"""
+  u AS (SELECT doc_id, section, unnest([{", ".join(cases)}]) AS theme FROM s), themes AS (SELECT doc_id, section, theme FROM u WHERE theme IS NOT NULL)"""
 
 
-@query(_theme_sql())
+@query(f"WITH {_themes_sql()} SELECT doc_id, section, theme FROM themes")
 def heuristic_themes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Themes of sections."""
-    return graph.heuristic_themes(_sectioned(spark, sf_dir))
+    """Themes of the sections of reports."""
+    return graph.heuristic_themes(views.report_lines(spark, sf_dir))
 
 
-@query()
+_KEYWORDS = sorted({(label, w) for label, (_, keywords) in rules.THEMES.items() for k in keywords for w in k.split()} | {("Document Metadata", w) for w in rules.METADATA_THEME})
+_MEMBERS = f"""keywords AS (SELECT * FROM (VALUES {", ".join(f"({sql.text(t)}, {sql.text(w)})" for t, w in _KEYWORDS)}) v(theme, word)), present AS (SELECT DISTINCT doc_id, theme FROM themes),
+  spoken AS (SELECT doc_id, section, pos, unnest(list_distinct({sql.words("lower(text)")})) AS word FROM reports),
+  hits AS (SELECT doc_id, section, pos, theme, count(*) AS n FROM spoken JOIN keywords USING (word) JOIN present USING (doc_id, theme) GROUP BY ALL
+    UNION ALL SELECT doc_id, section, pos, theme, 1000 FROM reports JOIN themes USING (doc_id, section)),
+  members AS (SELECT doc_id, section, pos, theme FROM hits QUALIFY row_number() OVER (PARTITION BY doc_id, pos ORDER BY n DESC, theme) = 1),
+  few AS (SELECT * FROM members QUALIFY row_number() OVER (PARTITION BY doc_id, theme, section ORDER BY pos) <= 3)"""
+
+
+@query(f"WITH {_themes_sql()}, {_MEMBERS} SELECT a.doc_id, a.theme, a.pos AS p1, b.pos AS p2 FROM few a JOIN few b ON a.doc_id = b.doc_id AND a.theme = b.theme AND a.section < b.section")
 def semantic_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Lines of one theme in different sections."""
-    sectioned = _sectioned(spark, sf_dir)
-    return graph.semantic_alignment(graph.theme_members(sectioned, graph.heuristic_themes(sectioned)))
+    """Lines of one theme in different sections of a report."""
+    lines = views.report_lines(spark, sf_dir)
+    return graph.semantic_alignment(graph.theme_members(lines, graph.heuristic_themes(lines)))

@@ -7,11 +7,12 @@ from pyspark.sql import functions as F
 
 from evidra.functions import rules, seams
 from evidra.functions.text import tenthousandths
-from evidra.operators import claims, graph, questions, retrieval
+from evidra.operators import claims, concepts, graph, questions, retrieval
 from evidra.plans import sql
 from evidra.plans.catalog import query
 from evidra.plans.documents import TYPED, typed_lines
 from evidra.sources import views
+from evidra.sources.scratch import written
 from evidra.sources.views import table
 
 _Q = sql.QUESTIONS
@@ -264,7 +265,7 @@ def evidence_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"""WITH {_CLAIMS}, h AS (SELECT DISTINCT doc_id, pos, (pos % 9 + 1) / 10.0::DOUBLE AS score FROM claims WHERE claim_type = 'fact_specification'),
   e AS (SELECT a.doc_id, a.claim_no AS x, b.claim_no AS y FROM claims a JOIN claims b ON a.doc_id = b.doc_id AND a.section = b.section AND a.claim_no < b.claim_no AND a.pos = b.pos
-    UNION ALL SELECT a.doc_id, a.claim_no, b.claim_no FROM claims a JOIN claims b ON a.doc_id = b.doc_id AND a.claim_no < b.claim_no AND length(a.value) > 4 AND contains(lower(b.value), lower(a.value)))
+    UNION ALL SELECT a.doc_id, a.claim_no, b.claim_no FROM claims a JOIN claims b ON a.doc_id = b.doc_id AND a.claim_no < b.claim_no AND length(a.value) > 4 AND contains(b.value, a.value))
 SELECT 0::BIGINT AS query_id, h.doc_id, t.pos, floor(max(h.score) * 0.65 * 10000 + 0.5)::BIGINT AS score FROM h JOIN claims f ON f.doc_id = h.doc_id AND f.pos = h.pos JOIN e ON e.doc_id = f.doc_id AND e.x = f.claim_no
 JOIN claims t ON t.doc_id = e.doc_id AND t.claim_no = e.y GROUP BY ALL""")
 def claim_backlinks(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -275,6 +276,36 @@ def claim_backlinks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return retrieval.claim_backlinks(hits, found, edges).select("query_id", "doc_id", "pos", F.floor(F.col("score") * 10000 + 0.5).cast("long").alias("score"))
 
 
+_STOPS = sql.listed(sorted(set(rules.RECALL_STOP)))
+_CONCEPTS = f"""pieces AS (SELECT doc_id, section, list_transform(regexp_extract_all(lower(text), '[\\p{{L}}\\p{{N}}_]+|[^\\p{{L}}\\p{{N}}_\\s]'), lambda w: CASE WHEN regexp_matches(w, '^[\\p{{L}}_]') AND length(w) > 2 AND NOT list_contains({_STOPS}, w) THEN w ELSE '|' END) AS p FROM sectioned),
+  phrased AS (SELECT doc_id, section, trim(unnest(string_split(array_to_string(p, ' '), '|'))) AS concept FROM pieces),
+  counted AS (SELECT doc_id, section, concept, string_split(concept, ' ') AS w, count(*) AS n FROM phrased WHERE concept <> '' AND len(string_split(concept, ' ')) <= 3 GROUP BY ALL),
+  spread AS (SELECT doc_id, section, concept, n, len(w) AS size, unnest(w) AS word FROM counted), weights AS (SELECT doc_id, section, word, sum(n * size) / sum(n) AS weight FROM spread GROUP BY ALL),
+  scored AS (SELECT doc_id, section, concept, n, floor(sum(weight) * 1000 + 0.5 + 1e-6)::BIGINT AS weight FROM spread JOIN weights USING (doc_id, section, word) GROUP BY ALL),
+  concepts AS (SELECT doc_id, section, concept, weight, row_number() OVER (PARTITION BY doc_id, section ORDER BY weight DESC, n DESC, concept)::INTEGER AS rank FROM scored QUALIFY rank <= 10)"""
+
+
+@query(f"WITH {sql.SECTIONED}, {_CONCEPTS} SELECT doc_id, section, concept, rank, weight FROM concepts")
+def section_concepts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Key concepts of every section, by the words that occur in its phrases."""
+    return concepts.section_concepts(_lines(spark, sf_dir))
+
+
+@query(f"""WITH {sql.SECTIONED}, {_CONCEPTS}, q AS (SELECT item_id AS query_id, text, list_distinct(list_transform({_ENTITIES}, lambda e: lower(e))) AS en FROM benchmark),
+  e AS (SELECT query_id, unnest(en) AS entity FROM q), s AS (SELECT * FROM (SELECT query_id, unnest(list_distinct({sql.words("lower(text)")})) AS word FROM q WHERE len(en) > 0) WHERE length(word) > 3),
+  names AS (SELECT DISTINCT concept FROM concepts), ec AS (SELECT entity, concept FROM (SELECT DISTINCT entity FROM e), names WHERE contains(concept, entity) OR contains(entity, concept)),
+  wc AS (SELECT word, concept FROM (SELECT DISTINCT word FROM s), names WHERE contains(concept, word)),
+  h AS (SELECT query_id, doc_id, section, 2 AS halves FROM e JOIN ec USING (entity) JOIN concepts USING (concept)
+    UNION ALL SELECT DISTINCT ON (query_id, doc_id, section, word) query_id, doc_id, section, 1 FROM s JOIN wc USING (word) JOIN concepts USING (concept)),
+  f AS (SELECT query_id, doc_id, section, sum(halves) AS halves FROM h GROUP BY ALL HAVING sum(halves) >= 2)
+SELECT query_id, doc_id, pos, floor(least(0.55, halves * 0.075) * 1000 + 0.5)::BIGINT AS score FROM f JOIN sectioned USING (doc_id, section)""")
+def concept_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines of the sections whose concepts fit benchmark questions."""
+    lines = _lines(spark, sf_dir)
+    hits = concepts.concept_hits(written(concepts.section_concepts(lines), "concepts"), _bench(spark, sf_dir), lines)
+    return hits.select("query_id", "doc_id", "pos", F.floor(F.col("score") * 1000 + 0.5).cast("long").alias("score"))
+
+
 def _every_source(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Benchmark questions, typed and sectioned lines, and the candidates of all sources with their best scores."""
     bench = _bench(spark, sf_dir)

@@ -74,11 +74,22 @@ def is_header(column: str) -> str:
     return f"({any_match(s, HEADERS)} AND length({s}) < 80)"
 
 
-SECTIONED = (
-    LINES
-    + f""", sectioned AS (
-  SELECT *, sum(CASE WHEN {is_header("text")} OR pos % 10 = 0 THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY pos)::INTEGER AS section FROM paged)"""
-)
+def sectioned(every: int = 10) -> str:
+    """Lines with their section."""
+    return (
+        LINES
+        + f""", sectioned AS (
+  SELECT *, sum(CASE WHEN {is_header("text")} OR pos % {every} = 0 THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY pos)::INTEGER AS section FROM paged)"""
+    )
+
+
+SECTIONED = sectioned()
+
+REPORTS = """reports AS (
+  SELECT o_custkey AS doc_id, o_orderkey::INTEGER AS section, (o_orderkey * 10 + generate_subscripts([1, 2, 3, 4], 1) - 1)::INTEGER AS pos, unnest([
+    CASE o_orderstatus WHEN 'F' THEN 'Results of order ' WHEN 'O' THEN 'Shipping method of order ' ELSE 'About order ' END || o_orderkey,
+    'Paid ' || floor(o_totalprice)::BIGINT, 'Rank ' || o_orderpriority, 'Outcome on ' || strftime(o_orderdate, '%Y-%m-%d')]) AS text
+  FROM orders)"""
 
 FACTS = """made AS (
   SELECT o_custkey AS doc_id, o_orderkey AS section, unnest([
@@ -95,8 +106,8 @@ _ALL = r"""
   FROM (SELECT *, regexp_extract_all(text, {pattern}) AS v FROM facts)"""
 
 
-def claims(patterns: list) -> str:
-    """All claims of the fact lines, numbered."""
+def claims(patterns: list, facts: str | None = None) -> str:
+    """All claims of the fact lines, or of other lines (CTEs that end with ``facts``), numbered."""
     parts = [_ALL.format(rule=rule, kind=text(kind), pattern=text(pattern)) for rule, kind, pattern, _ in patterns]
     w = r"[\p{L}\p{N}_\s]+"
     definition = rf"""(?i)["']?({w})["']?\s+(?:means|is defined as|refers to)\s+([\p{{L}}\p{{N}}_\s,]+)"""
@@ -108,7 +119,7 @@ def claims(patterns: list) -> str:
         f" WHERE regexp_matches(text, {text(pair)}) AND length(regexp_extract(text, {text(pair)}, 2)) < 50"
     )
     union = " UNION ALL ".join(parts)
-    return FACTS + f", found AS ({union}), claims AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY pos, rule, nth) AS claim_no FROM found)"
+    return (facts or FACTS) + f", found AS ({union}), claims AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY pos, rule, nth) AS claim_no FROM found)"
 
 
 QUESTIONS = """questions AS (

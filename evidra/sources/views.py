@@ -68,6 +68,21 @@ def fact_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.withColumn("pos", F.col("section") * 10 + F.col("nth")).drop("nth")
 
 
+def report_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Reports on customers' orders: a document per customer, a section per order, which its status titles."""
+    orders = table(spark, sf_dir, "orders")
+    ident = F.col("o_orderkey").cast("string")
+    title = F.when(F.col("o_orderstatus") == "F", "Results of order ").when(F.col("o_orderstatus") == "O", "Shipping method of order ").otherwise("About order ")
+    made = [
+        F.concat(title, ident),
+        F.concat(F.lit("Paid "), F.floor("o_totalprice").cast("string")),
+        F.concat(F.lit("Rank "), F.col("o_orderpriority")),
+        F.concat(F.lit("Outcome on "), F.date_format("o_orderdate", "yyyy-MM-dd")),
+    ]
+    rows = orders.select(F.col("o_custkey").alias("doc_id"), F.col("o_orderkey").cast("int").alias("section"), F.posexplode(F.array(*made)).alias("nth", "text"))
+    return rows.withColumn("pos", F.col("section") * 10 + F.col("nth")).drop("nth")
+
+
 def questions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Questions: the benchmark's texts and what users say in conversations."""
     bench = table(spark, sf_dir, "benchmark").select(F.concat(F.lit("b"), F.col("item_id").cast("string")).alias("query_id"), "text")
