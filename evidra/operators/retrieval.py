@@ -6,7 +6,6 @@ from __future__ import annotations
 
 from functools import reduce
 
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -25,11 +24,11 @@ def question_terms(questions: DataFrame) -> DataFrame:
     return asked.select("query_id", "term", F.array_contains("named", F.col("term")).alias("entity"))
 
 
-def keyword_recall(questions: DataFrame, lines: DataFrame) -> DataFrame:
+def keyword_counts(questions: DataFrame, lines: DataFrame) -> DataFrame:
     """Lines that share words or word beginnings with a question, through an inverted index: a question is exploded to
     its search terms and their beginnings, a line to its distinct tokens and beginnings, and both are joined on them, so
     only pairs that share something meet. A line's hits leave the join one after another, so that they are counted
-    before the shuffle; words that questions don't ask for never leave it."""
+    before the shuffle; words that questions don't ask for never leave it. ``exact`` counts the search terms a line has."""
     terms = question_terms(questions)
     stems = lambda w: F.array(F.when(F.char_length(w) >= 4, F.substring(w, 1, 4)), F.when(F.char_length(w) >= 5, F.substring(w, 1, 5)))
     q_stems = terms.select("query_id", F.explode(F.array_compact(stems(F.col("term")))).alias("key")).distinct()
@@ -40,7 +39,12 @@ def keyword_recall(questions: DataFrame, lines: DataFrame) -> DataFrame:
     hits = long.select("doc_id", "pos", F.explode(keys).alias("key")).join(asked, "key").groupBy("query_id", "doc_id", "pos").agg(*[F.sum(c).alias(c) for c in "enf"])
     strong = hits.where((F.col("e") * 10 + F.col("n") * 15 + F.col("f") * 4 >= 15) | (F.col("n") > 0))
     score = F.least(F.lit(55), F.lit(15) + F.col("e") * 6 + F.col("n") * 10 + F.col("f") * 3) / 100
-    return strong.select("query_id", "doc_id", "pos", score.alias("score"))
+    return strong.select("query_id", "doc_id", "pos", score.alias("score"), F.col("e").alias("exact"))
+
+
+def keyword_recall(questions: DataFrame, lines: DataFrame) -> DataFrame:
+    """The candidates of ``keyword_counts`` with their scores."""
+    return keyword_counts(questions, lines).select("query_id", "doc_id", "pos", "score")
 
 
 def metadata_scan(intents: DataFrame, typed: DataFrame) -> DataFrame:
@@ -159,24 +163,6 @@ def type_boost(intent: Column, answer_type: Column, information_type: Column) ->
     return looked_up(rules.INTENT_BOOSTS, intent) + looked_up(rules.ANSWER_BOOSTS, answer_type)
 
 
-def consolidate(candidates: DataFrame, questions: DataFrame, lines: DataFrame, broad: tuple[str, ...] = ("summarization", "comparative", "enumerative", "causal")) -> DataFrame:
-    """Final scores of candidates. ``questions``: query_id, question, intent; ``lines``: doc_id, pos, section, text,
-    confidence. Lines outside a question's three best sections count less unless the intent is broad."""
-    questions = questions.select("query_id", "intent", question_parts(F.col("question")).alias("q_parts"))
-    c = candidates.join(lines.withColumns({"l_parts": line_parts(F.col("text")), "worth": line_worth(F.col("text"))}), ["doc_id", "pos"])
-    sections = c.groupBy("query_id", "doc_id", "section").agg(F.max("score").alias("best"))
-    top = sections.withColumn("r", F.row_number().over(Window.partitionBy("query_id", "doc_id").orderBy(F.desc("best"), "section"))).where("r <= 3").select("query_id", "doc_id", "section", F.lit(True).alias("in_top"))
-    joined = c.join(top, ["query_id", "doc_id", "section"], "left").join(questions, "query_id")
-    match = text_match(F.col("q_parts"), F.col("l_parts"))
-    score = F.lit(0.7) * F.col("score") + F.lit(0.3) * F.col("match")
-    score = score - F.col("worth.noise")
-    score = score + F.when((F.col("match") > 0.5) & (F.col("score") < 0.4), 0.15).otherwise(0.0)
-    score = score + F.col("worth.long") + F.col("worth.full")
-    score = score * F.when(F.col("intent").isin(*broad) | F.col("in_top"), 1.0).otherwise(0.85)
-    score = score * F.pow(F.coalesce("confidence", F.lit(1.0)), 1.5)
-    return joined.withColumn("match", match).select("query_id", "doc_id", "pos", "section", "text", "confidence", F.col("score").alias("semantic"), F.least(score, F.lit(1.0)).alias("alignment_score"))
-
-
 def best(scored: DataFrame, k: int | None) -> DataFrame:
     """The k best candidates of each question (or all) with their rank; a group limit before the shuffle."""
     order = Window.partitionBy("query_id").orderBy(F.desc(F.round("alignment_score", 9)), "doc_id", "pos")
@@ -191,30 +177,6 @@ def with_context(hits: DataFrame, sectioned: DataFrame, before: int = 2, after:
     return hits.join(texts, ["doc_id", "pos"])
 
 
-def without_near_duplicates(hits: DataFrame, text: str = "context", largest: float = 0.6, k: int | None = None) -> DataFrame:
-    """Hits whose words don't overlap too much with a better hit that stays: all of them, or the k best. An ordered fold
-    over each question's hits, however many there are: they pass by sorted, and only those that stay are held."""
-    schema = hits.drop(text).schema
-    items = hits.withColumn("w", F.array_distinct(words(F.lower(text)))).drop(text)
-
-    def fold(batches):
-        question, kept = None, []
-        for batch in batches:
-            stays, w = [], batch.column("w")
-            for i, asked in enumerate(batch.column("query_id").to_pylist()):
-                if asked != question:
-                    question, kept = asked, []
-                if k is not None and len(kept) == k:
-                    continue
-                own = set(w[i].as_py() or ())
-                if not any(own and x and len(own & x) / min(len(own), len(x)) > largest for x in kept):
-                    kept.append(own)
-                    stays.append(i)
-            yield batch.select(schema.names).take(pa.array(stays, pa.int64()))
-
-    return items.repartition("query_id").sortWithinPartitions("query_id", "rank").mapInArrow(fold, schema)
-
-
 def renumbered(hits: DataFrame) -> DataFrame:
     """Hits of each question with ranks from 1 on, in the order of their ranks."""
     return hits.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy("rank")))
@@ -314,12 +276,14 @@ def claim_backlinks(hits: DataFrame, claims: DataFrame, edges: DataFrame, factor
 
 
 def theme_hits(members: DataFrame, themes: dict[str, str], questions: DataFrame) -> DataFrame:
-    """Members of themes whose label and description share words with a question: two, or one of an entity."""
+    """Members of themes whose label and description share words with a question: two, or one of an entity. Members are
+    (theme, doc_id, pos) and, with edges of several kinds, ``relationship``: what a theme is aligned with counts less."""
     spark = members.sparkSession
     described = spark.createDataFrame(sorted(themes.items()), "theme string, about string").select("theme", F.array_distinct(tokens(F.col("about"))).alias("w"))  # a fixed list
     shared = _shared_with(questions, described, ["theme"], F.array_union(F.array_distinct(tokens(F.col("text"))), _entity_words(F.col("text"))))
     strong = shared.where("o >= 2 OR e >= 1").withColumn("score", F.least(F.lit(65), F.col("o") * 10 + F.col("e") * 15) / 100)
-    return merge_best([strong.join(members, "theme").select("query_id", "doc_id", "pos", "score")])
+    factor = F.when(F.col("relationship") == "SEMANTIC_ALIGNMENT", 0.8).otherwise(1.0) if "relationship" in members.columns else F.lit(1.0)
+    return merge_best([strong.join(members, "theme").select("query_id", "doc_id", "pos", (F.col("score") * factor).alias("score"))])
 
 
 def rerank(hits: DataFrame, score: Column, k: int = 25) -> DataFrame:

@@ -121,11 +121,13 @@ def semantic_density(spark: SparkSession, sf_dir: str) -> DataFrame:
     return typed_lines(spark, sf_dir).select("doc_id", "pos", "density")
 
 
-_NOISE = f"""regexp_matches(s, '\\.{{4,}}|-{{4,}}') OR regexp_matches(s, '^[\\d\\.\\s\\-]+$') OR (regexp_matches(s, '\\.\\s*\\d+\\s*$') AND contains(s, '...'))
-  OR (upper(s) = s AND regexp_matches(s, '\\p{{L}}') AND NOT regexp_matches(s, '[0-9]') AND len({sql.words("s")}) <= 3)"""
+def noise(s: str) -> str:
+    """Whether a stripped line only structures its document."""
+    return f"""(regexp_matches({s}, '\\.{{4,}}|-{{4,}}') OR regexp_matches({s}, '^[\\d\\.\\s\\-]+$') OR (regexp_matches({s}, '\\.\\s*\\d+\\s*$') AND contains({s}, '...'))
+  OR (upper({s}) = {s} AND regexp_matches({s}, '\\p{{L}}') AND NOT regexp_matches({s}, '[0-9]') AND len({sql.words(s)}) <= 3))"""
 
 
-@query(f"WITH {sql.LINES}, s AS (SELECT doc_id, pos, {sql.strip('text')} AS s FROM lines) SELECT doc_id, pos FROM s WHERE {_NOISE}")
+@query(f"WITH {sql.LINES}, s AS (SELECT doc_id, pos, {sql.strip('text')} AS s FROM lines) SELECT doc_id, pos FROM s WHERE {noise('s')}")
 def structural_noise(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lines that only structure a document."""
     return views.lines(table(spark, sf_dir, "documents")).where(classify.is_structural_noise(F.col("text"))).select("doc_id", "pos")

@@ -7,10 +7,11 @@ from pyspark.sql import functions as F
 
 from evidra.functions import rules, seams
 from evidra.functions.text import tenthousandths
-from evidra.operators import claims, concepts, graph, questions, retrieval
+from evidra.operators import claims, concepts, graph, layout, questions, ranking, retrieval, vectors
+from evidra.operators import property_graph as graphs
 from evidra.plans import sql
 from evidra.plans.catalog import query
-from evidra.plans.documents import TYPED, typed_lines
+from evidra.plans.documents import TYPED, letter_vectors, noise, typed_lines
 from evidra.sources import views
 from evidra.sources.scratch import written
 from evidra.sources.views import table
@@ -144,11 +145,11 @@ def edge_expand(spark: SparkSession, sf_dir: str) -> DataFrame:
     return retrieval.expand_edges(retrieval.keyword_recall(_bench(spark, sf_dir), lines), edges).select("query_id", "doc_id", "pos", F.round(F.col("score") * 10000).cast("long").alias("score"))
 
 
-def _scored(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+def _recalled(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Recalled candidates of benchmark questions with the bounds of their matches, the questions, and all lines."""
     lines, bench = _lines(spark, sf_dir), _bench(spark, sf_dir)
     asked = bench.select("query_id", F.col("text").alias("question"), questions.intent(F.col("text")).alias("intent"))
-    candidates = retrieval.keyword_recall(bench, lines)
-    return retrieval.consolidate(candidates, asked, lines.select("doc_id", "pos", "section", "text", "confidence")), lines
+    return ranking.most_match(retrieval.keyword_counts(bench, lines), bench), asked, lines.select("doc_id", "pos", "section", "text", "confidence")
 
 
 def _kept_sql(e: str) -> str:
@@ -177,34 +178,41 @@ def text_match(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pairs.select("query_id", "doc_id", "pos", F.floor(retrieval.text_match(F.col("q"), F.col("l")) * 1000 + 0.5).cast("long").alias("text_match"))
 
 
-@query()
-def consolidate_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The eight best lines for each benchmark question."""
-    scored, _ = _scored(spark, sf_dir)
-    return retrieval.best(scored, 8).select("query_id", "doc_id", "pos", "rank", tenthousandths(F.col("alignment_score")).alias("score"))
+_STRIPPED = sql.strip("text")
+_CONSOLIDATED = f"""sec AS (SELECT query_id, doc_id, section, max(score100) AS best FROM recall JOIN sectioned USING (doc_id, pos) GROUP BY ALL),
+  top3 AS (SELECT * FROM sec QUALIFY row_number() OVER (PARTITION BY query_id, doc_id ORDER BY best DESC, section) <= 3), asking AS (SELECT item_id AS query_id, {sql.rule_chain("lower(text)", rules.INTENTS, "'factual_lookup'")} AS intent FROM benchmark),
+  worth AS (SELECT doc_id, pos, section, text, CASE WHEN {noise(_STRIPPED)} THEN 0.12 ELSE 0 END::DOUBLE AS noise,
+    CASE WHEN length(text) > 120 THEN 0.06 WHEN length(text) > 60 THEN 0.03 ELSE 0 END::DOUBLE + CASE WHEN len({sql.words(_STRIPPED)}) >= 8 AND length(text) > 60 THEN 0.04 ELSE 0 END::DOUBLE AS added FROM sectioned),
+  aligned AS (SELECT query_id, doc_id, pos, least(1.0, (0.7::DOUBLE * score100 / 100 + 0.3::DOUBLE * text_match - noise + CASE WHEN text_match > 0.5 AND score100 < 40 THEN 0.15 ELSE 0 END + added)
+      * CASE WHEN intent IN ('summarization', 'comparative', 'enumerative', 'causal') OR t.section IS NOT NULL THEN 1.0 ELSE 0.85 END * pow((6 + pos % 5) / 10, 1.5)) AS score
+    FROM matched JOIN worth USING (doc_id, pos) JOIN asking USING (query_id) LEFT JOIN top3 t USING (query_id, doc_id, section))"""
 
 
-def _unlike(scored: DataFrame, lines: DataFrame, k: int) -> DataFrame:
-    """The k best candidates of each question that aren't near repeats of better ones, numbered anew."""
-    every = retrieval.best(scored, None).select("query_id", "rank", "doc_id", "pos", "alignment_score", "confidence")
-    return retrieval.renumbered(retrieval.without_near_duplicates(retrieval.with_context(every, lines), k=k))
+@query(f"""WITH {sql.SECTIONED}, {_TERMS}, {_MATCH}, {_CONSOLIDATED} SELECT query_id, doc_id, pos, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, doc_id, pos)::INTEGER AS rank,
+  floor(score * 10000 + 0.5)::BIGINT AS score FROM aligned QUALIFY rank <= 8""")
+def consolidate_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The eight best lines for each benchmark question; only those that may be among them are scored."""
+    candidates, asked, lines = _recalled(spark, sf_dir)
+    ready = written(ranking.prepared(candidates, asked, lines), "candidates")
+    return ranking.best_by_bounds(ready, asked, lines, 8).select("query_id", "doc_id", "pos", "rank", tenthousandths(F.col("alignment_score")).alias("score"))
 
 
-def _passages(scored: DataFrame, lines: DataFrame) -> DataFrame:
+def _passages(chosen: DataFrame, lines: DataFrame) -> DataFrame:
     cited = retrieval.citation_confidence(F.col("alignment_score"), F.col("confidence"), F.lit(None).cast("double"), F.col("rank") <= 3)
-    return retrieval.with_context(_unlike(scored, lines, 8), lines).select("query_id", "rank", "doc_id", "pos", "context", cited.alias("citation_confidence"))
+    return retrieval.with_context(chosen, lines).select("query_id", "rank", "doc_id", "pos", "context", cited.alias("citation_confidence"))
 
 
 @query()
 def near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The 25 best hits of each question when near repeats among all its hits, widened by the lines around them, are out."""
-    return _unlike(*_scored(spark, sf_dir), 25).select("query_id", "rank", "doc_id", "pos")
+    return ranking.best_unlike(*_recalled(spark, sf_dir), 25).select("query_id", "rank", "doc_id", "pos")
 
 
 @query()
 def best_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Passages that answer benchmark questions, with the confidence of their citation."""
-    return _passages(*_scored(spark, sf_dir))
+    candidates, asked, lines = _recalled(spark, sf_dir)
+    return _passages(ranking.best_unlike(candidates, asked, lines, 8), lines)
 
 
 @query(f"""WITH {sql.SECTIONED} SELECT doc_id, pos, string_agg(text, ' ') OVER (PARTITION BY doc_id, section ORDER BY pos ROWS BETWEEN 2 PRECEDING AND 4 FOLLOWING) AS context FROM sectioned""")
@@ -307,21 +315,28 @@ def concept_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _every_source(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Benchmark questions, typed and sectioned lines, and the candidates of all sources with their best scores."""
+    """Benchmark questions, typed and sectioned lines, and the candidates of all sources with their best scores. Search walks
+    along the edges of all kinds of one property graph."""
     bench = _bench(spark, sf_dir)
-    typed = views.sectioned(typed_lines(spark, sf_dir)).withColumn("confidence", (F.lit(6) + F.col("pos") % 5) / 10)
+    typed = written(views.sectioned(typed_lines(spark, sf_dir)).withColumn("confidence", (F.lit(6) + F.col("pos") % 5) / 10).drop("look"), "typed")
     plain = typed.select("doc_id", "pos", "page", "section", "text", "confidence")
+    found = written(claims.extract(plain), "claims")
+    members = written(graph.theme_members(plain, graph.heuristic_themes(plain)), "members")
+    links = vectors.semantic_links(letter_vectors(typed).select("doc_id", "pos", "section", "density", "v"))
+    continued = layout.continuity(plain).select("doc_id", F.concat(F.lit("line:"), "pos").alias("src"), F.concat(F.lit("line:"), "next_pos").alias("dst"), F.lit("CONTINUES_ON_PAGE").alias("relationship"))
+    edges = written(graphs.property_graph(plain, found, links, members, [continued]), "graph")
     near = retrieval.boosted(retrieval.vector_hits(retrieval.search_parts(bench), plain), bench, typed)
-    chained = retrieval.expand_edges(near, graph.next_lines(plain).withColumn("relationship", F.lit("NEXT_LINE")))
+    chained = retrieval.expand_edges(near, graphs.line_edges(edges))
     intents = bench.select("query_id", F.explode(questions.metadata_intents(F.col("text"))).alias("kind"))
-    found = claims.extract(plain)
     noted = retrieval.evidence_summary_hits(claims.section_evidence(found), found, bench)
     themes = {name: " ".join([name, *terms]) for name, (_, terms) in rules.THEMES.items()}
-    members = graph.heuristic_themes(plain).join(plain.select("doc_id", "section", "pos"), ["doc_id", "section"]).select("theme", "doc_id", "pos")
-    sources = [chained, retrieval.keyword_recall(bench, plain), retrieval.metadata_scan(intents, typed), retrieval.theme_hits(members, themes, bench), noted]
-    united = retrieval.merge_best(sources)
+    counted = written(retrieval.keyword_counts(bench, plain), "recalled")
+    named = concepts.concept_hits(written(concepts.section_concepts(plain), "concepts"), bench, plain)
+    sources = [chained, counted.drop("exact"), retrieval.metadata_scan(intents, typed_lines(spark, sf_dir)), retrieval.theme_hits(graphs.theme_edges(edges), themes, bench), named, noted]
+    united = written(retrieval.merge_best(sources), "united")
     linked = retrieval.claim_backlinks(united, found, claims.supports(found).where("relationship = 'SUPPORTS'").unionByName(claims.linked(found)))
-    return bench, plain, retrieval.merge_best([united, linked])
+    every = retrieval.merge_best([united, linked]).join(counted.drop("score"), ["query_id", "doc_id", "pos"], "left").withColumn("exact", F.coalesce("exact", F.lit(1 << 20)))
+    return bench, plain, ranking.most_match(every, bench)
 
 
 @query()
@@ -330,8 +345,7 @@ def evidence_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     (without a model the order stays), passages with their confidence."""
     bench, lines, candidates = _every_source(spark, sf_dir)
     asked = bench.select("query_id", F.col("text").alias("question"), questions.intent(F.col("text")).alias("intent"))
-    scored = retrieval.consolidate(candidates, asked, lines)
-    pool = _unlike(scored, lines, 40)
+    pool = ranking.best_unlike(candidates, asked, lines, 40)
     cited = retrieval.citation_confidence(F.col("alignment_score"), F.col("confidence"), F.col("cross_encoder_score"), F.col("rank") <= 3)
     chosen = retrieval.cascade(pool.drop("rank"), seams.no_score(F.lit(""), F.lit("")))
     return retrieval.with_context(chosen, lines).select("query_id", "rank", "doc_id", "pos", "context", cited.alias("citation_confidence"))

@@ -119,28 +119,6 @@ def test_text_match(spark):
     assert one(spark, match, q="a b", t="a b") == 0.0
 
 
-def test_near_duplicates_fold(spark):
-    rows = [(1, 1, 1, 0, "a b c d"), (1, 2, 1, 1, "a b c e"), (1, 3, 1, 2, "x y z"), (1, 4, 1, 3, "x y q r s t")]
-    hits = spark.createDataFrame(rows, "query_id int, rank int, doc_id long, pos int, context string")
-    assert sorted(r["rank"] for r in retrieval.without_near_duplicates(hits).collect()) == [1, 3]
-
-
-def test_copies_take_no_places(spark):
-    from evidra.plans import retrieving
-
-    words = lambda i: " ".join(f"w{i}x{j}" for j in range(6))
-    texts = [words(0)] * 30 + [words(i) for i in range(1, 30)]  # the first 30 hits are copies
-    made = [(1, d, 0, 1, t, 1.0, 1.0 - d / 100) for d, t in enumerate(texts)]
-    scored = spark.createDataFrame(made, "query_id int, doc_id long, pos int, section int, text string, confidence double, alignment_score double")
-    lines = scored.select("doc_id", "pos", "section", "text")
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "10")  # so that in whole batches nothing stays
-    got = retrieving._passages(scored, lines).orderBy("rank").collect()
-    assert [(r["rank"], r.doc_id, r.context) for r in got] == [(i + 1, d, texts[d]) for i, d in enumerate([0, *range(30, 37)])]
-    wide = retrieving._unlike(scored, lines, 25).orderBy("rank").collect()
-    spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
-    assert [(r["rank"], r.doc_id) for r in wide] == [(i + 1, d) for i, d in enumerate([0, *range(30, 54)])]
-
-
 def test_edges_weaken_scores(spark):
     c = spark.createDataFrame([(1, 1, 5, 0.5), (1, 1, 6, 0.1)], "query_id int, doc_id int, pos int, score double")
     e = spark.createDataFrame([(1, 5, 6, "NEXT_LINE"), (1, 6, 7, "UNKNOWN")], "doc_id int, pos int, next_pos int, relationship string")
