@@ -5,16 +5,19 @@ and white space collapsed. Every line gets a weight from its length and the evid
 
 * plain characters count for a line, characters in links against it (twice, so that a line of links is below 0; links
   inside headings count as plain);
-* lines inside ``article`` or ``main`` get ``THRESHOLD`` more, unless they are mostly links;
-* on a page that names its article, an eighth of other lines' characters counts, less twice the threshold;
+* a line inside ``article`` or ``main`` costs ``COST`` and gets ``BONUS`` back, which is less than a surge takes: a short
+  one is below 0 and stays only where its neighbours lift it;
+* on a page that names its article, an eighth of other lines' characters counts, less twice the penalty;
 * lines in what surrounds an article (by element, or by the words of class, id and role) count a sixteenth of their
-  characters, less four times the threshold; those in forms a quarter, less a threshold and a quarter.
+  characters, less four times the penalty; those in forms a quarter, less a penalty and a quarter. Long text outweighs
+  these.
 
-Weights are summed over windows of up to ``WINDOW`` lines. A line whose own weight is ``-THRESHOLD`` or less breaks the
+Weights are summed over windows of up to ``WINDOW`` lines. A line whose own weight is ``-PENALTY`` or less breaks the
 page. Between breaks the text surges at a line above 0 from which some window reaches the threshold. It dives where
 all windows are at 0 or below; between two surges without such a point it goes on, after the last one it lasts for the
-rest of the window. Article lines beside a surge or a dive stay if fewer than a window of them lie between it and the
-break. Lines between surge and dive are the text. If no line of a page surges, all lines above 0 are.
+rest of the window. Fewer than a window of article lines between a surge or dive and a break stay. Lines between surge and
+dive are the text. If no line of a page surges, all lines above 0 are. Nothing of an article is dropped for being short:
+its own lines that no window lifts (cells of a table, say), unless mostly links, stay too.
 
 Defined cases: a null or empty html gives an empty text; unclosed elements end with their parent or the page; an
 unclosed comment, script or tag runs to the page's end; a quote that is never closed is an ordinary character; rows
@@ -33,7 +36,9 @@ from pyspark.sql import DataFrame, SparkSession
 
 from evidra.llm.common import map_rows, table
 
-WINDOW, THRESHOLD = 3, 80
+WINDOW, THRESHOLD = 3, 30
+COST, BONUS = 30, 26  # what an article's line costs, and what it gets for being one: less than a surge takes
+PENALTY = 80
 #: Elements whose content isn't markup.
 RAW = frozenset("script style textarea title xmp noembed noframes iframe".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -61,7 +66,7 @@ _MARKS = re.compile(r"""\b(?:class|id|role)\s*+=\s*+(?:"([^"]*+)"|'([^']*+)'|([^
 _PARTS = re.compile(r"[^a-z]+")
 _BESIDE = re.compile(r"\b(?:has|with|no|without)[-_ ]\w+")
 _HIDDEN = re.compile(r"\bhidden\b|aria-hidden\s*+=\s*+[\"']?true|display\s*+:\s*+none", re.I)
-_RAW_END = {name: re.compile(rf"</{name}(?=[\s/>])[^>]*+>", re.I) for name in RAW}
+_RAW_END = {name: re.compile(rf"</{name}(?=[\s/>])", re.I) for name in RAW}
 
 
 class Line(NamedTuple):
@@ -128,9 +133,10 @@ def _tokens(html: str):
         at = end + 1
         if tag in RAW and not closing and not attributes.endswith("/"):
             close = _RAW_END[tag].search(html, at)
-            if close is None:
-                return
-            at = close.end()
+            end = -1 if close is None else html.find(">", close.end())
+            if end < 0:
+                return  # no later close can end either
+            at = end + 1
 
 
 def _collapsed(parts: list[str]) -> str:
@@ -209,33 +215,36 @@ def page_lines(html: str) -> list[Line]:
     return lines
 
 
-def line_weights(lines: list[Line], threshold: int = THRESHOLD) -> list[float]:
+def line_weights(lines: list[Line]) -> list[float]:
     """What each line adds to the sums of its windows."""
     named = any(x.article and not x.around for x in lines)
     weights = []
     for x in lines:
         plain = len(x.text) - 2 * x.linked
         if x.around:
-            weight = plain / 16 - 4 * threshold
+            weight = plain / 16 - 4 * PENALTY
         elif x.form:
-            weight = plain / 4 - 1.25 * threshold
+            weight = plain / 4 - 1.25 * PENALTY
         elif x.article:
-            weight = plain + threshold * (plain >= 0)
+            weight = plain - COST + BONUS
         else:
-            weight = plain / 8 - 2 * threshold if named else plain
+            weight = plain / 8 - 2 * PENALTY if named else plain
         weights.append(weight)
     return weights
 
 
 def text_lines(lines: list[Line], window: int = WINDOW, threshold: int = THRESHOLD) -> list[int]:
     """Numbers of the lines between surge and dive points."""
-    weights = line_weights(lines, threshold)
+    weights = line_weights(lines)
     kept: list[int] = []
     start = 0
-    for end in [i for i, w in enumerate(weights) if w <= -threshold] + [len(lines)]:
+    for end in [i for i, w in enumerate(weights) if w <= -PENALTY] + [len(lines)]:
         kept += _stretch(lines, weights, start, end, window, threshold)
         start = end + 1
-    return kept or [i for i, w in enumerate(weights) if w > 0]
+    unlifted = {i for i, x in enumerate(lines) if x.article and weights[i] > -PENALTY and len(x.text) >= 2 * x.linked and not x.around and not x.form}
+    if not kept:
+        return sorted(unlifted | {i for i, w in enumerate(weights) if w > 0})
+    return sorted(unlifted.union(kept)) if unlifted else kept
 
 
 def _stretch(lines: list[Line], weights: list[float], start: int, end: int, window: int, threshold: int) -> list[int]:
