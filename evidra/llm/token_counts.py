@@ -324,8 +324,7 @@ def prefix_table(docs: DataFrame, model_path: str | None = None) -> DataFrame:
             found = c.differences(text)
             yield doc_id, len((text or "").encode()), int(unzigzag(found).sum()), zlib.compress(found, 1)
 
-        row.finish = c.forget
-        return row
+        return row  # what a worker has kept, a bounded store, serves its next tasks
 
     return map_rows(docs.select("doc_id", "text"), "doc_id long, n_bytes long, n_tokens long, prefixes binary", factory)
 
