@@ -142,6 +142,11 @@ METADATA_PATTERNS = {
     "abstract": [r"(?i)(?:abstract)\s*[:\-–—]\s*(.+)"],
     "keyword": [r"(?i)(?:keywords?|index\s+terms?|tags)\s*[:\-–—]\s*(.+)"],
 }
+# Words of a question that don't say what label it asks for.
+HINT_STOP = [
+    "the", "a", "an", "is", "are", "was", "were", "of", "in", "for", "and", "or", "what", "who", "which", "where", "when", "this", "that", "does",
+    "do", "did", "how", "by", "to", "with", "at",
+]
 RECALL_STOP = [
     "the", "a", "an", "is", "are", "was", "were", "of", "in", "for", "and", "or", "what", "who", "which", "where", "when", "this", "that", "does",
     "do", "did", "how", "by", "to", "with", "at", "on", "it", "be", "not", "from", "as", "but", "has", "have", "had", "can", "will", "would",

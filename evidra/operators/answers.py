@@ -99,12 +99,31 @@ def high_value_tokens(text: Column) -> Column:
     return F.array_union(F.array_union(found[0], found[1]), found[2])
 
 
-def attribution(answer: Column, evidence: Column, alignment: Column) -> Column:
-    """How far evidence supports an answer: shared words, word pairs and high-value tokens, and its own score."""
+def _support(answer: Column, evidence: Column, alignment: Column) -> tuple[Column, Column]:
+    """How far evidence supports an answer, and how many words they share."""
     kept = lambda c: F.filter(tokens(c), lambda w: (F.char_length(w) > 1) & ~w.isin(rules.CITATION_STOP))
     share = lambda a, b: common(a, b) / F.greatest(F.size(F.array_distinct(a)), F.lit(1))
     a, e = kept(answer), kept(evidence)
-    return 0.25 * share(a, e) + 0.30 * share(bigrams(a), bigrams(e)) + 0.25 * share(high_value_tokens(answer), high_value_tokens(evidence)) + 0.20 * alignment
+    score = 0.25 * share(a, e) + 0.30 * share(bigrams(a), bigrams(e)) + 0.25 * share(high_value_tokens(answer), high_value_tokens(evidence)) + 0.20 * alignment
+    return score, common(a, e)
+
+
+def attribution(answer: Column, evidence: Column, alignment: Column) -> Column:
+    """How far evidence supports an answer: shared words, word pairs and high-value tokens, and its own score."""
+    return _support(answer, evidence, alignment)[0]
+
+
+def citations(evidence: DataFrame, least: float = 0.05, words_: int = 3, first: int = 3) -> DataFrame:
+    """The evidence that an answer cites, best first (nth): what supports it more than ``least`` or shares ``words_`` words
+    with it; where nothing does, the first few by rank. Evidence is (query_id, answer, rank, doc_id, pos, text,
+    alignment_score)."""
+    score, shared = _support(F.col("answer"), F.col("text"), F.col("alignment_score"))
+    rated = evidence.select("query_id", "rank", "doc_id", "pos", F.round(score, 9).alias("support"), shared.alias("shared"))
+    fits = (F.col("support") > least) | (F.col("shared") >= words_)
+    any_fits = F.max(fits.cast("int")).over(Window.partitionBy("query_id")) == 1
+    chosen = rated.withColumn("grounded", any_fits).where(F.when(F.col("grounded"), fits).otherwise(F.col("rank") <= first))
+    order = Window.partitionBy("query_id").orderBy(F.when(F.col("grounded"), -F.col("support")).otherwise(F.lit(0.0)), "rank")
+    return chosen.withColumn("nth", F.row_number().over(order)).select("query_id", "nth", "doc_id", "pos", "support", "grounded")
 
 
 def fallback_sentences(evidence: DataFrame, k: int = 3) -> DataFrame:
@@ -119,7 +138,7 @@ def fallback_sentences(evidence: DataFrame, k: int = 3) -> DataFrame:
 
 def hint_words(question: Column) -> Column:
     """Words of a question that say what it asks for."""
-    return F.filter(F.array_distinct(tokens(question)), lambda w: (F.char_length(w) > 2) & ~w.isin(rules.RECALL_STOP[:27]))
+    return F.filter(F.array_distinct(tokens(question)), lambda w: (F.char_length(w) > 2) & ~w.isin(rules.HINT_STOP))
 
 
 def expanded_hints(question: Column) -> Column:

@@ -369,16 +369,20 @@ def retrieval_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return retrieval.retrieval_stats(hits)
 
 
-_CROSS = [(i, a, t) for i in rules.INTENT_BOOSTS for a in [*rules.ANSWER_BOOSTS, "description"] for t in rules.DENSITY_WEIGHTS]
+_CROSS = [(i, a) for i in rules.INTENT_BOOSTS for a in [*rules.ANSWER_BOOSTS, "description"]]
+_BOOST_CASES = " ".join(
+    f"WHEN intent = '{i}' AND answer_type = '{a}' AND information_type = '{t}' THEN {round(rules.INTENT_BOOSTS[i].get(t, 0) * 100) + round(rules.ANSWER_BOOSTS.get(a, {}).get(t, 0) * 100)}"
+    for i, a in _CROSS for t in rules.DENSITY_WEIGHTS
+)
 
 
-@query(
-    "SELECT * FROM (VALUES "
-    + ", ".join(f"('{i}', '{a}', '{t}', {round(rules.INTENT_BOOSTS[i].get(t, 0) * 100) + round(rules.ANSWER_BOOSTS.get(a, {}).get(t, 0) * 100)}::BIGINT)" for i, a, t in _CROSS)
-    + ") v(intent, answer_type, information_type, boost)"
-)
+@query(f"""WITH {sql.LINES}{TYPED}, n AS (SELECT information_type, count(*)::BIGINT AS n_lines FROM typed WHERE information_type IS NOT NULL GROUP BY ALL),
+  c AS (SELECT * FROM (VALUES {", ".join(f"('{i}', '{a}')" for i, a in _CROSS)}) v(intent, answer_type))
+SELECT intent, answer_type, information_type, n_lines, (CASE {_BOOST_CASES} ELSE 0 END)::BIGINT AS boost FROM n, c""")
 def type_boosts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Boosts for all combinations of intent, answer type and information type."""
-    every = spark.createDataFrame(_CROSS, "intent string, answer_type string, information_type string")
+    """What lines of each type get for all intents and answer types, and how many such lines there are."""
+    kinds = F.array(*[F.struct(F.lit(i).alias("intent"), F.lit(a).alias("answer_type")) for i, a in _CROSS])
+    counted = typed_lines(spark, sf_dir).where("information_type IS NOT NULL").groupBy("information_type").agg(F.count(F.lit(1)).alias("n_lines"))
+    every = counted.select("information_type", "n_lines", F.explode(kinds).alias("k")).select("k.intent", "k.answer_type", "information_type", "n_lines")
     boost = retrieval.type_boost(F.col("intent"), F.col("answer_type"), F.col("information_type"))
     return every.select("*", F.round(boost * 100).cast("long").alias("boost"))

@@ -90,3 +90,21 @@ def test_members_and_alignment_need_a_theme(spark):
     members = graph.theme_members(lines, graph.heuristic_themes(lines))
     assert {(r.pos, r.theme) for r in members.collect()} == {(0, "Results & Findings"), (1, "Results & Findings")}
     assert [(r.p1, r.p2) for r in graph.semantic_alignment(members).select(F.col("p1"), F.col("p2")).collect()] == [(0, 1)]
+
+
+def test_citations_keep_what_supports_or_fall_back(spark):
+    from evidra.operators import answers
+
+    rows = [
+        (1, "The Bridge opened 1932", 1, 1, 0, "nothing alike", 0.1), (1, "The Bridge opened 1932", 2, 1, 1, "The Bridge opened 1932 in spring", 0.5), (1, "The Bridge opened 1932", 3, 1, 2, "the year 1932", 0.2),
+        (2, "quite other words", 4, 1, 6, "none", 0.0), (2, "quite other words", 1, 1, 3, "none", 0.0), (2, "quite other words", 2, 1, 4, "none", 0.0), (2, "quite other words", 3, 1, 5, "none", 0.0),
+        (3, "alpha beta gamma " + " ".join(f"w{i}" for i in range(60)), 1, 1, 7, "gamma x beta y alpha", 0.0),
+    ]
+    evidence = spark.createDataFrame(rows, "query_id int, answer string, rank int, doc_id long, pos int, text string, alignment_score double")
+    got = {(r.query_id, r.nth, r.pos, round(r.support, 4), r.grounded) for r in answers.citations(evidence).collect()}
+    # 1: all words, all pairs, both names and numbers; then a third of the words, and one of three names and numbers
+    assert got == {
+        (1, 1, 1, 0.9, True), (1, 2, 2, round(0.25 / 3 + 0.25 / 3 + 0.04, 4), True),
+        (2, 1, 3, 0.0, False), (2, 2, 4, 0.0, False), (2, 3, 5, 0.0, False),
+        (3, 1, 7, round(0.25 * 3 / 63, 4), True),
+    }
