@@ -88,3 +88,10 @@ def test_tables(spark):
     lines = spark.createDataFrame([(1, 11, 3), (1, 12, 2)], "doc_id long, pos int, section int")
     edges = {(r.src, r.dst, r.relationship) for r in graph.table_edges(cells, lines).collect()}
     assert ("table:4", "sec:3", "TABLE_CONTEXT") in edges and len(edges) == 5
+
+
+def test_a_phrase_of_three_words_counts_nine_tenths(spark):
+    # No word of over two characters is shared; of eight words three are: 0.9 / 8 is 0.1125, which rounds to 113.
+    row = spark.createDataFrame([("a bb cc dd ee ff gg hundred", "x a bb cc y")], "q string, l string")
+    match = retrieval.text_match(retrieval.question_parts(F.col("q")), retrieval.line_parts(F.col("l")))
+    assert row.select(F.floor(match * 1000 + 0.5).alias("m")).first().m == 113
