@@ -113,3 +113,13 @@ def test_questions_scan_for_all_kinds(spark, tmp_path):
     assert score["b1", 90] in (65, 70) and score["b10", 1] >= 90 and score["b10", 2] >= 90
     assert score["b0", 9] == 45 and ("b1", 9) not in score  # the weak rule of authors only
     assert {p: s for (q, p), s in score.items() if q == "c7.0"} == {p: s for (q, p), s in score.items() if q == "b0"}
+
+
+def test_themes_of_documents_and_of_reports(spark, tmp_path):
+    orders = [(7, 3, "X", 10.0, "2020-01-01", "low")]
+    got = run(
+        spark, tmp_path, "heuristic_themes",
+        documents=([(1, "first\nthe author speaks")], "doc_id long, text string"),
+        orders=(orders, "o_orderkey long, o_custkey long, o_orderstatus string, o_totalprice double, o_orderdate string, o_orderpriority string"),
+    )
+    assert (1, 1, "Document Metadata") in [tuple(r) for r in got]
