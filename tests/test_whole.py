@@ -122,4 +122,14 @@ def test_themes_of_documents_and_of_reports(spark, tmp_path):
         documents=([(1, "first\nthe author speaks")], "doc_id long, text string"),
         orders=(orders, "o_orderkey long, o_custkey long, o_orderstatus string, o_totalprice double, o_orderdate string, o_orderpriority string"),
     )
-    assert (1, 1, "Document Metadata") in [tuple(r) for r in got]
+    assert (1, 2, "Document Metadata") in [tuple(r) for r in got]
+
+
+@pytest.mark.parametrize("query", ["ocr_lines", "digital_lines"])
+def test_texts_move_instead_of_their_words(spark, tmp_path, query):
+    spark.createDataFrame([(1, "a b\nc d")], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    plan = catalog.queries()[query](spark, str(tmp_path))._jdf.queryExecution().executedPlan().toString()
+    above = plan[: plan.index("Generate")]
+    lists = [line for line in above.splitlines() if "Exchange" in line or "collect_list" in line]
+    partial = max(i for i, line in enumerate(lists) if "partial_collect_list" in line)
+    assert partial and "Exchange" not in lists[partial - 1]  # both halves of the aggregation are in one stage
