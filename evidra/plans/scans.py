@@ -18,7 +18,7 @@ _SPANS = f"""spans AS (SELECT doc_id, page, pos AS line_no, i - 1 AS span_no, w
 
 
 def _spans(spark: SparkSession, sf_dir: str) -> DataFrame:
-    words = views.lines(table(spark, sf_dir, "documents")).select("doc_id", "page", F.col("pos").alias("line_no"), F.posexplode(F.split("text", " ", -1)).alias("span_no", "text"))
+    words = views.lines(views.whole_texts(table(spark, sf_dir, "documents").select("doc_id", "text"))).select("doc_id", "page", F.col("pos").alias("line_no"), F.posexplode(F.split("text", " ", -1)).alias("span_no", "text"))
     i = F.col("span_no") + 1
     font = F.element_at(F.array(*map(F.lit, _FONTS)), ((i + F.col("line_no")) % 9 % 4 + 1).cast("int"))
     return words.withColumn("size", (9 + (i * 7 + F.col("line_no")) % 4).cast("double")).withColumn("font", font)
