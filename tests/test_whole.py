@@ -6,8 +6,8 @@ import pytest
 
 from pyspark.sql import functions as F
 
-from evidra.operators import answers, respond
-from evidra.plans import catalog
+from evidra.operators import answers, ranking, respond
+from evidra.plans import catalog, retrieving
 
 
 def run(spark, folder, query, **tables):
@@ -133,3 +133,25 @@ def test_texts_move_instead_of_their_words(spark, tmp_path, query):
     lists = [line for line in above.splitlines() if "Exchange" in line or "collect_list" in line]
     partial = max(i for i, line in enumerate(lists) if "partial_collect_list" in line)
     assert partial and "Exchange" not in lists[partial - 1]  # both halves of the aggregation are in one stage
+
+
+def shuffles(frame):
+    """The exchanges of a plan that move what documents hold."""
+    plan = frame._jdf.queryExecution().executedPlan().toString()
+    return [line for line in plan.splitlines() if "Exchange hashpartitioning" in line and "doc_id" in line]
+
+
+@pytest.mark.parametrize("query", ["keyword_recall", "edge_expand"])
+def test_hits_of_questions_stay_with_their_documents(spark, query):
+    (only,) = shuffles(catalog.queries()[query](spark, "/root/testdata/sf0.001"))
+    assert "REPARTITION_BY_NUM" in only  # whole texts move, candidates don't
+
+
+@pytest.mark.parametrize("query", ["section_concepts", "structure_edges", "topic_bridge", "context_expand", "semantic_links"])
+def test_lines_are_ordered_in_many_parts(spark, query):
+    assert any("REPARTITION_BY_NUM" in line for line in shuffles(catalog.queries()[query](spark, "/root/testdata/sf0.001")))
+
+
+def test_candidates_are_prepared_where_they_are(spark):
+    candidates, asked, lines = retrieving._recalled(spark, "/root/testdata/sf0.001")
+    assert len(shuffles(ranking.prepared(candidates, asked, lines))) == 1
