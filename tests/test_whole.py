@@ -155,3 +155,13 @@ def test_lines_are_ordered_in_many_parts(spark, query):
 def test_candidates_are_prepared_where_they_are(spark):
     candidates, asked, lines = retrieving._recalled(spark, "/root/testdata/sf0.001")
     assert len(shuffles(ranking.prepared(candidates, asked, lines))) == 1
+
+
+def test_hits_of_scans_stay_where_they_are(spark):
+    broadcast = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = catalog.queries()["metadata_scan"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", broadcast)
+    assert "SortMergeJoin" not in plan
