@@ -21,7 +21,7 @@ _CITED = f""", once AS (SELECT * FROM evidence WHERE {_S} <> '' QUALIFY row_numb
 
 
 def _evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
-    lines = views.sectioned(views.lines(table(spark, sf_dir, "documents")))
+    lines = views.sectioned(views.dealt_lines(table(spark, sf_dir, "documents")))
     return lines.select(F.col("doc_id").alias("query_id"), "doc_id", "pos", "page", "section", "text", ((F.col("pos") * 37 + F.col("doc_id")) % 101 / 100).alias("alignment_score"))
 
 
@@ -86,7 +86,7 @@ def authorship_context(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def fact_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The evidence that fits each fact of a document best."""
-    facts = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("query_id"), F.posexplode(answers.facts(F.col("text"))).alias("nth", "fact"))
+    facts = views.whole_texts(table(spark, sf_dir, "documents")).select(F.col("doc_id").alias("query_id"), F.posexplode(answers.facts(F.col("text"))).alias("nth", "fact"))
     return respond.attribute_facts(facts, _evidence(spark, sf_dir)).drop("fact")
 
 

@@ -6,7 +6,7 @@ import pytest
 
 from pyspark.sql import functions as F
 
-from evidra.operators import answers, ranking, respond
+from evidra.operators import answers, ranking, respond, substrings
 from evidra.plans import catalog, retrieving
 
 
@@ -165,3 +165,28 @@ def test_hits_of_scans_stay_where_they_are(spark):
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", broadcast)
     assert "SortMergeJoin" not in plan
+
+
+@pytest.mark.parametrize("query", ["context_expand", "section_concepts", "topic_bridge", "evidence_summary"])
+def test_grouping_inside_documents_moves_them_once(spark, query):
+    broadcast = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = catalog.queries()[query](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", broadcast)
+    (only,) = [line for line in plan.splitlines() if "Exchange" in line]
+    assert "REPARTITION_BY_NUM" in only and "SortMergeJoin" not in plan
+
+
+def test_only_hit_lines_are_typed(spark):
+    plan = catalog.queries()["vector_candidates"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert "LeftSemi" in plan
+
+
+def test_texts_without_a_needle_of_their_key_are_not_posted(spark):
+    needles = spark.createDataFrame([(1, "river")], "doc_id long, needle string")
+    texts = spark.createDataFrame([(1, "a river bed"), (2, "a river bank")], "doc_id long, text string")
+    found = substrings.contained(needles, texts, "doc_id")
+    assert [tuple(r) for r in found.collect()] == [(1, "river", "a river bed")]
+    assert "LeftSemi" in found._jdf.queryExecution().executedPlan().toString()
