@@ -149,15 +149,18 @@ def expanded_hints(question: Column) -> Column:
     return F.array_distinct(F.concat(asked, *added))
 
 
-def label_matches(label: Column, question: Column) -> Column:
-    """How well the label of a 'label: value' line names what a question asks for: 1 a word, 0.7 a beginning."""
-    hints = expanded_hints(question)
-
-    def one(word: Column) -> Column:
-        begins = F.exists(hints, lambda h: (F.char_length(word) >= 4) & (F.char_length(h) >= 4) & (F.substring(word, 1, 4) == F.substring(h, 1, 4)))
-        return F.when(F.array_contains(hints, word), 1.0).when(begins, 0.7).otherwise(0.0)
-
-    return F.aggregate(F.transform(F.array_distinct(words(F.lower(label))), one), F.lit(0.0), lambda s, x: s + x)
+def label_matches(label: Column, question: Column, hints: Column | None = None) -> Column:
+    """How well the label of a 'label: value' line names what a question asks for: 1 a word, 0.7 a beginning. ``hints``:
+    its expanded hints, if they were made once for many lines."""
+    expanded = expanded_hints(question) if hints is None else hints
+
+    def one(word: Column, held: Column) -> Column:
+        begins = F.exists(held, lambda h: (F.char_length(word) >= 4) & (F.char_length(h) >= 4) & (F.substring(word, 1, 4) == F.substring(h, 1, 4)))
+        return F.when(F.array_contains(held, word), 1.0).when(begins, 0.7).otherwise(0.0)
+
+    labelled = F.array_distinct(words(F.lower(label)))
+    # The array of one item binds the hints, which would be made anew for each word.
+    return F.transform(F.array(expanded), lambda held: F.aggregate(F.transform(labelled, lambda w: one(w, held)), F.lit(0.0), lambda s, x: s + x))[0]
 
 
 def first_json(text: Column) -> Column:

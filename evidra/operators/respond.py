@@ -114,28 +114,29 @@ def authorship_context(typed: DataFrame, max_chars: int = 9000, max_lines: int =
 def extractive_answers(evidence: DataFrame, label_match: Column, least: float = 0.3) -> DataFrame:
     """The best span for each question, by the first of three ways that a line allows: the value of a 'label: value' line
     whose label names what is asked for; a line of up to 20 words with names or numbers that shares words with the question or
-    their synonyms; a line of up to 25 words that shares words with it. Evidence also holds ``question``; ``label_match``
-    scores its column ``label``."""
+    their synonyms; a line of up to 25 words that shares words with it. Evidence also holds ``question``, and may hold its
+    ``hints`` and ``expanded_hints``, made once a question; ``label_match`` scores its column ``label``. What a way
+    looks at is only made for lines that the ways before have left, and of a question's lines the best of each task move."""
     pattern = r"^([A-Za-z][A-Za-z\s]{0,30})\s*[:\-–—]\s*(.+)"
     w = r"[\p{L}\p{N}_]"
     edge = f"(?:(?<={w})(?!{w})|(?<!{w})(?={w}))"
     found = lambda p: F.size(F.array_distinct(F.regexp_extract_all("line", F.lit(p), 0)))
     line = evidence.select("*", F.posexplode(F.split("text", "\n")).alias("nth", "line")).withColumn("line", strip(F.col("line"))).where("line <> ''")
-    parts = line.withColumn("label", F.lower(strip(F.regexp_extract("line", pattern, 1)))).withColumn("value", strip(F.regexp_extract("line", pattern, 2)))
-    seen, n = F.array_distinct(tokens(F.col("line"))), F.size(words(F.col("line")))
-    counted = parts.withColumn("match", label_match).withColumns({
-        "valuable": found(f"{edge}[A-Z][a-z]{{2,}}{edge}") + found(rf"{edge}\p{{Nd}}[\p{{Nd}}.,]*{edge}"),
-        "expanded": F.size(F.array_intersect(answers.expanded_hints(F.col("question")), seen)),
-        "shared": F.size(F.array_intersect(answers.hint_words(F.col("question")), seen)),
-        "n": n,
-    })
-    labelled = (F.col("label") != "") & (F.char_length("value") > 1) & (F.col("match") >= 0.7)
-    high, short = (F.col("valuable") >= 1) & (F.col("n") <= 20) & (F.col("expanded") > 0), (F.col("shared") > 0) & (F.col("n") <= 25)
+    if "hints" not in line.columns:
+        line = line.withColumns({"hints": answers.hint_words(F.col("question")), "expanded_hints": answers.expanded_hints(F.col("question"))})
+    parts = line.withColumn("label", F.lower(strip(F.regexp_extract("line", pattern, 1)))).withColumn("value", F.when(F.col("label") != "", strip(F.regexp_extract("line", pattern, 2))))
+    matched = parts.withColumn("match", F.when((F.col("label") != "") & (F.char_length("value") > 1), label_match))
+    labelled = F.coalesce(F.col("match") >= 0.7, F.lit(False))
+    seen = matched.withColumn("seen", F.when(~labelled, F.array_distinct(tokens(F.col("line"))))).withColumn("n", F.when(~labelled, F.size(words(F.col("line")))))
+    counted = seen.withColumn("expanded", F.size(F.array_intersect("expanded_hints", "seen"))).withColumn("shared", F.size(F.array_intersect("hints", "seen")))
+    may = (F.col("n") <= 20) & (F.col("expanded") > 0)
+    valued = counted.withColumn("valuable", F.when(may, found(f"{edge}[A-Z][a-z]{{2,}}{edge}") + found(rf"{edge}\p{{Nd}}[\p{{Nd}}.,]*{edge}")))
+    high, short = F.col("valuable") >= 1, (F.col("shared") > 0) & (F.col("n") <= 25)
     added = F.when(labelled, 0.3 + 0.12 * F.col("match")).when(high, 0.06 * F.col("expanded") + 0.04 * F.col("valuable")).when(short, 0.05 * F.col("shared"))
-    scored = counted.withColumn("score", F.col("alignment_score") + added).withColumn("span", F.when(labelled, F.col("value")).otherwise(F.col("line")))
-    order = Window.partitionBy("query_id").orderBy(F.desc(F.round("score", 9)), "doc_id", "pos", "nth")
-    best = scored.where(F.col("score") > least).withColumn("r", F.row_number().over(order)).where("r = 1")
-    return best.select("query_id", strip(F.regexp_replace("span", r"\.+$", "")).alias("answer"), "doc_id", "pos")
+    scored = valued.withColumn("score", F.col("alignment_score") + added).withColumn("span", F.when(labelled, F.col("value")).otherwise(F.col("line")))
+    order = F.struct((-F.round("score", 9)).alias("s"), "doc_id", "pos", "nth")
+    best = scored.where(F.col("score") > least).groupBy("query_id").agg(F.min_by(F.struct("span", "doc_id", "pos"), order).alias("b"))
+    return best.select("query_id", strip(F.regexp_replace("b.span", r"\.+$", "")).alias("answer"), "b.doc_id", "b.pos")
 
 
 def step_log(source_path: Column, n_evidence: Column) -> Column:

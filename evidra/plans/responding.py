@@ -94,8 +94,11 @@ def fact_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 def extractive_answer(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Priorities read off 'Priority: value' lines of orders; label scores depend on many synonyms."""
     lines = views.fact_lines(spark, sf_dir)
-    evidence = lines.select(F.col("section").alias("query_id"), "doc_id", "pos", "text", F.lit(0.5).alias("alignment_score"), F.lit("Which priority has the order?").alias("question"))
-    return respond.extractive_answers(evidence, answers.label_matches(F.col("label"), F.col("question")))
+    evidence = lines.select(F.col("section").alias("query_id"), "doc_id", "pos", "text", F.lit(0.5).alias("alignment_score"))
+    asked = spark.createDataFrame([("Which priority has the order?",)], "question string")
+    asked = asked.select("question", answers.hint_words(F.col("question")).alias("hints"), answers.expanded_hints(F.col("question")).alias("expanded_hints"))
+    evidence = evidence.crossJoin(F.broadcast(asked))
+    return respond.extractive_answers(evidence, answers.label_matches(F.col("label"), F.col("question"), F.col("expanded_hints")))
 
 
 @query("SELECT event_id, 6::BIGINT AS n_steps, CASE WHEN event_id % 4 = 0 THEN 'empty' ELSE 'done' END AS arbitrated FROM events")

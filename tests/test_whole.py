@@ -190,3 +190,12 @@ def test_texts_without_a_needle_of_their_key_are_not_posted(spark):
     found = substrings.contained(needles, texts, "doc_id")
     assert [tuple(r) for r in found.collect()] == [(1, "river", "a river bed")]
     assert "LeftSemi" in found._jdf.queryExecution().executedPlan().toString()
+
+
+def test_hints_made_once_give_the_same_answers(spark):
+    rows = [(i, 1, 0, t, 0.3, q) for i, (t, q) in enumerate([("Priority: 2-HIGH", "Which priority has it?"), ("order of Ann", "Which order?"), ("an order", "Which order?"), ("Prioritised: xy", "Which priority?")])]
+    evidence = spark.createDataFrame(rows, "query_id int, doc_id long, pos int, text string, alignment_score double, question string")
+    made = evidence.withColumns({"hints": answers.hint_words(F.col("question")), "expanded_hints": answers.expanded_hints(F.col("question"))})
+    plain = respond.extractive_answers(evidence, answers.label_matches(F.col("label"), F.col("question")))
+    once = respond.extractive_answers(made, answers.label_matches(F.col("label"), F.col("question"), F.col("expanded_hints")))
+    assert sorted(map(tuple, once.collect())) == sorted(map(tuple, plain.collect())) == [(0, "2-HIGH", 1, 0), (1, "order of Ann", 1, 0), (2, "an order", 1, 0), (3, "xy", 1, 0)]
