@@ -40,3 +40,15 @@ def test_the_last_definition_counts(spark):
     rows = [(1, 1, "AI = a field", "fact_definition"), (1, 2, "about ai", "x"), (1, 3, "ai = another", "fact_definition"), (1, 4, "none", "x")]
     found = claims.depends(spark.createDataFrame(rows, "doc_id long, claim_no long, value string, claim_type string"))
     assert sorted(map(tuple, found.collect())) == [(1, 1, 3), (1, 2, 3)]
+
+
+def test_needles_meet_only_longer_texts(spark):
+    """Values of one length can only be equal, so no grams of them are posted: needles equal to a text are found all the same."""
+    rows = [(1, f"2024-01-{d:02d}") for d in range(10, 30)] * 2 + [(2, "ab"), (2, "abc"), (3, "zz")]
+    needles, texts = spark.createDataFrame(rows, "key long, needle string"), spark.createDataFrame(rows[:-1], "key long, text string")
+    got = contained(needles, texts, "key")
+    assert sorted(map(tuple, got.collect())) == brute(rows, rows[:-1])
+    alone = contained(needles.where("key = 1"), texts.where("key = 1"), "key")
+    got = alone.collect()
+    plan = alone._jdf.queryExecution().executedPlan().toString()
+    assert len(got) == 20 and "explode" not in plan.split("== Initial Plan ==")[0]
