@@ -51,7 +51,7 @@ def test_links_lead_where_edges_do(both):
     same(retrieval.claim_backlinks(hits, flat, edges), retrieval.along_links(hits, claims.packed_links(packed)))
 
 
-@pytest.mark.parametrize("query", ["claim_linked", "claim_edges"])
+@pytest.mark.parametrize("query", ["claim_linked", "claim_edges", "claim_depends"])
 def test_pairs_move_no_claims(spark, query):
     plan = getattr(evidence, query)(spark, DATA)._jdf.queryExecution().executedPlan().toString()
     assert "Exchange" not in plan and "Join" not in plan
